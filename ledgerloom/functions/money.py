@@ -1,20 +1,38 @@
-"""Sums and shares of decimal amounts."""
+"""Sums and shares of decimal amounts.
+
+Totals are added up in cents as 64-bit integers, several times faster than wide
+decimals in an aggregation buffer.  That is exact, and any total that fits the
+emitted decimal(18,2) fits; beyond it ANSI mode raises instead of wrapping.
+"""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.model import MONEY, PERCENT
 
 
 def money(value: Column) -> Column:
-    """A total as emitted: decimal(18,2), with nothing summed counted as 0."""
+    """A value as emitted: decimal(18,2), with NULL counted as 0."""
     return F.coalesce(value, F.lit(0)).cast(MONEY)
 
 
+def _cents(amount: Column) -> Column:
+    return (amount * F.lit(100)).cast("bigint")
+
+
+def total(amount: Column) -> Column:
+    """Aggregate: the sum of amounts, 0 if there are none."""
+    cents = F.coalesce(F.sum(_cents(amount)), F.lit(0))
+    return (cents.cast(T.DecimalType(18, 0)) * F.lit(Decimal("0.01"))).cast(MONEY)
+
+
 def sum_of_type(kind: str, amount: str = "amount", by: str = "type") -> Column:
-    return money(F.sum(F.when(F.col(by) == kind, F.col(amount))))
+    return total(F.when(F.col(by) == kind, F.col(amount)))
 
 
 def type_totals(by: str = "type", amount: str = "amount") -> list[Column]:

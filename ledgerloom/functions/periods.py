@@ -16,6 +16,11 @@ YEAR_PARTITION = "date_year"
 
 Period = tuple[date, date]
 
+# Month names.
+_MONTH_NAMES = (
+    "January February March April May June July August September October November December"
+).split()
+
 
 def check_month(month: int) -> None:
     if not 1 <= month <= 12:
@@ -53,4 +58,5 @@ def months_shown(year: int, as_of: date) -> int:
 
 
 def month_name(month: Column) -> Column:
-    return F.date_format(F.make_date(F.lit(2000), month, F.lit(1)), "MMMM")
+    """The English name; a lookup, as formatting a date per row is slow."""
+    return F.elt(month, *[F.lit(name) for name in _MONTH_NAMES])

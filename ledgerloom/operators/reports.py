@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import money, net_of_all, percent, share, sum_of_type
+from ledgerloom.functions.money import money, net_of_all, percent, share, sum_of_type, total
 from ledgerloom.functions.periods import (
     month_name,
     month_period,
@@ -224,7 +224,7 @@ def category_trend(
     rows = activity(ledger, year_period(year), user_id)
     rows = _of_user(rows, category_id, "category_id").where(F.col("category_id").isNotNull())
     monthly = rows.groupBy("user_id", "category_id", F.month("date").alias("month")).agg(
-        money(F.sum("amount")).alias("amount"), F.max("last_date").alias("last_date")
+        total(F.col("amount")).alias("amount"), F.max("last_date").alias("last_date")
     )
     # At most 12 entries per category.
     yearly = monthly.groupBy("user_id", "category_id").agg(
@@ -267,7 +267,7 @@ def _year_by_user(ledger: Ledger, year: int, user_id: object | None) -> DataFram
     monthly = totals_by(rows, "user_id", F.month("date").alias("month"))
     sums = F.struct("income", "expense", "investment")
     return monthly.groupBy("user_id").agg(
-        *[money(F.sum(t)).alias(f"{t}_year_total") for t in TRANSACTION_TYPES],
+        *[total(F.col(t)).alias(f"{t}_year_total") for t in TRANSACTION_TYPES],
         F.map_from_entries(F.collect_list(F.struct("month", sums.alias("sums")))).alias("by_month"),
     )
 
@@ -428,11 +428,11 @@ def yearly_trends(
     rows = activity(ledger, None, user_id)
     if kind is not None:
         rows = rows.where(F.col("type") == kind)
-    total, count = money(F.sum("amount")), F.sum("n")
+    amount, count = total(F.col("amount")), F.sum("n")
     report = rows.groupBy("user_id", *_year_and_month()).agg(
-        total.alias("total_amount"),
+        amount.alias("total_amount"),
         count.alias("transaction_count"),
-        F.round(total / count, 2).cast(MONEY).alias("average_amount"),
+        F.round(amount / count, 2).cast(MONEY).alias("average_amount"),
     )
     return _arranged(report, user_id, ordered, "year", "month")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import money, type_totals
+from ledgerloom.functions.money import total, type_totals
 from ledgerloom.functions.periods import YEAR_PARTITION, Period, within
 from ledgerloom.model import Ledger
 
@@ -44,7 +44,7 @@ def activity(
 def monthly_rollup(rows: DataFrame) -> DataFrame:
     """Activity rows condensed to one per user, category, type and month."""
     return rows.groupBy(*_KEYS, F.trunc("date", "month").alias("date")).agg(
-        money(F.sum("amount")).alias("amount"),
+        total(F.col("amount")).alias("amount"),
         F.sum("n").alias("n"),
         F.max("last_date").alias("last_date"),
     )
@@ -60,5 +60,5 @@ def by_category(rows: DataFrame, *more_keys) -> DataFrame:
     return (
         rows.where(F.col("category_id").isNotNull())
         .groupBy("user_id", "category_id", *more_keys)
-        .agg(money(F.sum("amount")).alias("amount"))
+        .agg(total(F.col("amount")).alias("amount"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import money, percent
+from ledgerloom.functions.money import percent, total
 from ledgerloom.model import PERCENT
 
 TOP = 5
@@ -44,7 +44,7 @@ def named_groups(per_category: DataFrame, categories: DataFrame, keys: list[str]
     return (
         per_category.join(labels, "category_id")
         .groupBy(*keys, "name", "icon", "color")
-        .agg(money(F.sum("amount")).alias("amount"))
+        .agg(total(F.col("amount")).alias("amount"))
     )
 
 
@@ -57,7 +57,7 @@ def top_with_others(groups: DataFrame, keys: list[str], icon: str) -> DataFrame:
     """
     ranked = Window.partitionBy(*keys).orderBy(F.desc("amount"), "name", "icon", "color")
     top = groups.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= TOP)
-    grand = groups.groupBy(*keys).agg(money(F.sum("amount")).alias("grand"))
+    grand = groups.groupBy(*keys).agg(total(F.col("amount")).alias("grand"))
     shares = top.join(grand, keys).withColumn("pct", percent(F.col("amount"), F.col("grand")))
     # Largest percentage first; rank decides ties.
     sortable = F.struct((-F.col("pct")).alias("order"), "rank", "pct", "name", "icon", "color")

@@ -8,121 +8,116 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.model import AMOUNT, FREQUENCIES, GOAL_STATUSES, RATE, Ledger
+from ledgerloom.model import Ledger
 
 AS_OF = date(2001, 8, 1)
 
-# Position of each type in the adapter's formulas.
-_TYPES = ("income", "expense", "investment")
-_PER_TYPE = 5
-
-
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+# Declared schemas of the tables used: opening a table reads no footers.
+TABLES = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE,"
+    " c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,"
+    " p_retailprice DOUBLE",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,"
+    " l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,"
+    " l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def profiles(customer: DataFrame) -> DataFrame:
-    return customer.select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_name").alias("name"),
-        F.lit(None).cast("string").alias("email"),
-        F.lit("USD").alias("currency"),
-        F.col("c_acctbal").cast(AMOUNT).alias("initial_balance"),
+    return customer.selectExpr(
+        "c_custkey AS id",
+        "c_name AS name",
+        "CAST(NULL AS STRING) AS email",
+        "'USD' AS currency",
+        "CAST(c_acctbal AS DECIMAL(12,2)) AS initial_balance",
     )
 
 
 def categories(customer: DataFrame) -> DataFrame:
-    t, p = F.col("t"), F.col("p")
-    kind = _pick(_TYPES, t)
-    misc = p == _PER_TYPE
+    """Fifteen categories per customer: three types t, five priorities p."""
     return (
-        customer.select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("t"))
-        .select("c_custkey", "t", F.explode(F.sequence(F.lit(1), F.lit(_PER_TYPE))).alias("p"))
-        .select(
-            (F.col("c_custkey") * 100 + t * 10 + p).alias("id"),
-            F.col("c_custkey").alias("user_id"),
-            F.when(misc, "Misc").otherwise(F.concat_ws(" ", kind, p)).alias("name"),
-            kind.alias("type"),
-            F.when(misc, "more").otherwise(F.concat(F.lit("icon-"), t, p)).alias("icon"),
-            F.when(misc, "#808080")
-            .otherwise(F.concat(F.lit("#"), t, p, F.lit("0000")))
-            .alias("color"),
-            (p <= 2).alias("is_default"),
+        customer.selectExpr("c_custkey", "explode(sequence(1, 3)) AS t")
+        .selectExpr("c_custkey", "t", "explode(sequence(1, 5)) AS p")
+        .selectExpr(
+            "c_custkey", "t", "p", "elt(t, 'income', 'expense', 'investment') AS type"
+        )
+        .selectExpr(
+            "c_custkey * 100 + t * 10 + p AS id",
+            "c_custkey AS user_id",
+            "IF(p = 5, 'Misc', concat_ws(' ', type, p)) AS name",
+            "type",
+            "IF(p = 5, 'more', concat('icon-', t, p)) AS icon",
+            "IF(p = 5, '#808080', concat('#', t, p, '0000')) AS color",
+            "p <= 2 AS is_default",
         )
     )
 
 
 def transactions(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    t = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
-    shifted = (t - 1 + F.when(key % 50 == 7, 1).otherwise(0)) % 3 + 1
-    p = F.substring("o_orderpriority", 1, 1).cast("int")
-    return orders.select(
-        key.alias("id"),
-        F.col("o_custkey").alias("user_id"),
-        F.when(key % 20 != 0, F.col("o_custkey") * 100 + shifted * 10 + p).alias("category_id"),
-        F.col("o_totalprice").cast(AMOUNT).alias("amount"),
-        F.lit(None).cast("string").alias("note"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        _pick(_TYPES, t).alias("type"),
-        F.col("o_orderdate").alias("created_at"),
+    return orders.selectExpr(
+        "*", "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS t"
+    ).selectExpr(
+        "o_orderkey AS id",
+        "o_custkey AS user_id",
+        "CASE WHEN o_orderkey % 20 <> 0 THEN o_custkey * 100"
+        " + ((t - 1 + IF(o_orderkey % 50 = 7, 1, 0)) % 3 + 1) * 10"
+        " + CAST(substring(o_orderpriority, 1, 1) AS INT) END AS category_id",
+        "CAST(o_totalprice AS DECIMAL(12,2)) AS amount",
+        "CAST(NULL AS STRING) AS note",
+        "CAST(o_orderdate AS DATE) AS date",
+        "elt(t, 'income', 'expense', 'investment') AS type",
+        "o_orderdate AS created_at",
     )
 
 
 def financial_goals(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    deadline = F.date_add(F.lit(date(2001, 1, 1)), (key % 730).cast("int"))
-    return customer.select(
-        key.alias("id"),
-        key.alias("user_id"),
-        F.col("c_name").alias("name"),
-        F.lit("10000.00").cast(AMOUNT).alias("target_amount"),
-        F.greatest(F.col("c_acctbal").cast(AMOUNT), F.lit(0).cast(AMOUNT)).alias("current_amount"),
-        F.when(key % 10 != 3, deadline).alias("deadline"),
-        _pick(GOAL_STATUSES, key % 3 + 1).alias("status"),
+    return customer.selectExpr(
+        "c_custkey AS id",
+        "c_custkey AS user_id",
+        "c_name AS name",
+        "CAST(10000.00 AS DECIMAL(12,2)) AS target_amount",
+        "greatest(CAST(c_acctbal AS DECIMAL(12,2)), CAST(0 AS DECIMAL(12,2))) AS current_amount",
+        "IF(c_custkey % 10 <> 3, date_add(DATE '2001-01-01', CAST(c_custkey % 730 AS INT)), NULL)"
+        " AS deadline",
+        "elt(CAST(c_custkey % 3 + 1 AS INT), 'in_progress', 'completed', 'cancelled') AS status",
     )
 
 
 def schedules(part: DataFrame, kind: int) -> DataFrame:
     """Schedules of one kind: 0 fixed costs, 1 periodic income, 2 fixed investments."""
-    key = F.col("p_partkey")
-
-    def div(n: int) -> Column:
-        return F.floor(key / n)
-
-    start = F.date_add(F.lit(date(1999, 1, 1)), (key % 1000).cast("int"))
-    ending, activity = div(6) % 3, div(18) % 10
-    owner = key % 150
     category = (2, 1, 3)[kind] * 10 + 1
     columns = [
-        key.alias("id"),
-        owner.alias("user_id"),
-        (owner * 100 + category).alias("category_id"),
-        F.col("p_retailprice").cast(AMOUNT).alias("amount"),
-        _pick(FREQUENCIES, key % 6 + 1).alias("frequency"),
-        start.alias("start_date"),
-        F.when(ending == 1, F.date_add(start, 730))
-        .when(ending == 2, F.lit(date(2001, 12, 31)))
-        .alias("end_date"),
-        F.lit(None).cast("string").alias("note"),
-        F.when(activity == 9, None).otherwise(activity != 8).alias("is_active"),
-        F.lit(None).cast("timestamp").alias("created_at"),
-        F.when(div(7) % 4 == 0, F.lit(date(2001, 5, 31))).alias("last_generated_date"),
+        "p_partkey AS id",
+        "p_partkey % 150 AS user_id",
+        f"(p_partkey % 150) * 100 + {category} AS category_id",
+        "CAST(p_retailprice AS DECIMAL(12,2)) AS amount",
+        "elt(CAST(p_partkey % 6 + 1 AS INT), 'daily', 'weekly', 'biweekly', 'monthly',"
+        " 'quarterly', 'annually') AS frequency",
+        "start_date",
+        "CASE p_partkey div 6 % 3 WHEN 1 THEN date_add(start_date, 730)"
+        " WHEN 2 THEN DATE '2001-12-31' END AS end_date",
+        "CAST(NULL AS STRING) AS note",
+        "CASE p_partkey div 18 % 10 WHEN 9 THEN NULL WHEN 8 THEN false ELSE true END AS is_active",
+        "CAST(NULL AS TIMESTAMP) AS created_at",
+        "IF(p_partkey div 7 % 4 = 0, DATE '2001-05-31', NULL) AS last_generated_date",
     ]
     if kind == 2:
-        rate = ((key % 2000) / 100).cast(RATE)
         columns += [
-            F.when(div(10) % 4 != 0, rate).alias("expected_return_rate"),
-            F.col("p_type").alias("investment_type"),
+            "IF(p_partkey div 10 % 4 <> 0, CAST(p_partkey % 2000 / 100 AS DECIMAL(5,2)), NULL)"
+            " AS expected_return_rate",
+            "p_type AS investment_type",
         ]
-    return part.where(div(5) % 3 == kind).select(*columns)
+    start = "date_add(DATE '1999-01-01', CAST(p_partkey % 1000 AS INT)) AS start_date"
+    return part.where(f"p_partkey div 5 % 3 = {kind}").selectExpr("*", start).selectExpr(*columns)
 
 
 def load_ledger(spark: SparkSession, sf_dir: str) -> Ledger:

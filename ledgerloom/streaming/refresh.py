@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.functions.money import money
+from ledgerloom.functions.money import total
 from ledgerloom.plans.activity import monthly_rollup
 
 _KEYS = ("user_id", "category_id", "type", "date")
@@ -90,7 +90,7 @@ def read_activity(spark: SparkSession, root: str, through: int | None = None) ->
         raise ValueError(f"no finished batch under {root}")
     rows = spark.read.parquet(*paths)
     return rows.groupBy(*_KEYS).agg(
-        money(F.sum("amount")).alias("amount"),
+        total(F.col("amount")).alias("amount"),
         F.sum("n").alias("n"),
         F.max("last_date").alias("last_date"),
     )
@@ -113,5 +113,5 @@ def compact(spark: SparkSession, root: str) -> int:
 def monthly_totals(activity: DataFrame) -> DataFrame:
     """Totals per user, month and type; also the batch twin on plain activity."""
     return activity.groupBy("user_id", F.trunc("date", "month").alias("month"), "type").agg(
-        money(F.sum("amount")).alias("total_amount"), F.sum("n").alias("transaction_count")
+        total(F.col("amount")).alias("total_amount"), F.sum("n").alias("transaction_count")
     )
