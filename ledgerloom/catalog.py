@@ -81,9 +81,11 @@ def _expansion(table: str | None, mode: str = "reference") -> Query:
         # Text ids, as stored ledgers have: generated rows get UUID-shaped ones.
         texts = ledger.transactions.withColumn("id", F.col("id").cast("string"))
         ledger = ledger.with_tables(transactions=texts)
+        # These are back-fills of several years.
+        spread = spark.sparkContext.defaultParallelism
         if table is None:
-            return recurring.expand_all_schedules(ledger, AS_OF, mode)
-        return recurring.expand(ledger, table, AS_OF, mode)
+            return recurring.expand_all_schedules(ledger, AS_OF, mode, spread)
+        return recurring.expand(ledger, table, AS_OF, mode, spread)
 
     return query
 

@@ -31,6 +31,7 @@ ISO_DATE = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
 )
+BASIC_DATE = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
 BOOLEANS = ("true", "false", "1", "0")
 
 ERRORS = "errors"
@@ -45,7 +46,9 @@ def is_number(text: Column) -> Column:
 
 def iso_date(text: Column) -> Column:
     """The date of an ISO 8601 text, else NULL.  The cast alone is too lenient."""
-    return F.when(text.rlike(ISO_DATE), F.substring(text, 1, 10).try_cast("date"))
+    extended = F.when(text.rlike(ISO_DATE), F.substring(text, 1, 10))
+    basic = F.when(text.rlike(BASIC_DATE), F.regexp_replace(text, BASIC_DATE, "$1-$2-$3"))
+    return F.coalesce(extended, basic).try_cast("date")
 
 
 def float_value(text: Column) -> Column:
@@ -84,7 +87,11 @@ def validate_transactions(raw: DataFrame) -> DataFrame:
         raw,
         [
             _unless(is_number(amount), "amount", "Amount must be a number"),
-            _unless(fits | ~is_number(amount), "amount", "Amount is out of range"),
+            _unless(
+                fits | ~F.coalesce(is_number(amount), F.lit(False)),
+                "amount",
+                "Amount is out of range",
+            ),
             _unless(F.col("type").isin(*TRANSACTION_TYPES), "type", "Invalid transaction type"),
             _unless(iso_date(F.col("date")).isNotNull(), "date", "Invalid date format"),
             _unless(F.col("category_id").rlike(UUID), "category_id", "Invalid category ID"),

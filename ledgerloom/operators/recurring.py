@@ -1,6 +1,7 @@
 """Expansion of recurring schedules into dated transactions.
 
-Everything is computed within a schedule's own row: no shuffle.
+Everything is computed within a schedule's own row: no shuffle, unless ``spread``
+asks for one of the schedules themselves.
 
 Modes
   reference  steps from the last generation mark (or the start date), that date
@@ -98,8 +99,18 @@ def _amount_and_note(table: str) -> tuple[Column, Column]:
     return grown, F.coalesce("note", F.concat(F.lit(default_note), F.col("investment_type")))
 
 
-def expand(ledger: Ledger, table: str, as_of: date, mode: str = "reference") -> DataFrame:
-    """Transactions due up to ``as_of`` from one schedule table."""
+def expand(
+    ledger: Ledger,
+    table: str,
+    as_of: date,
+    mode: str = "reference",
+    spread: int | None = None,
+) -> DataFrame:
+    """Transactions due up to ``as_of`` from one schedule table.
+
+    A back-fill turns one schedule into many rows within its task.  ``spread``
+    first hashes the eligible schedules over that many tasks by their id.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
     kind, _ = SCHEDULES[table]
@@ -109,6 +120,8 @@ def expand(ledger: Ledger, table: str, as_of: date, mode: str = "reference") ->
     due = schedules.where(eligible(as_of)).select(
         "*", _step(DAY_STEPS).alias("day_step"), _step(MONTH_STEPS).alias("month_step")
     )
+    if spread:
+        due = due.repartition(spread, "id")
     if mode == "reference":
         due = due.withColumn("first", F.coalesce(mark, start)).withColumn("k0", F.lit(0))
         wanted = F.lit(True)
@@ -144,25 +157,33 @@ def expand(ledger: Ledger, table: str, as_of: date, mode: str = "reference") ->
     )
 
 
-def expand_fixed_costs(ledger: Ledger, as_of: date, mode: str = "reference") -> DataFrame:
+def expand_fixed_costs(
+    ledger: Ledger, as_of: date, mode: str = "reference", spread: int | None = None
+) -> DataFrame:
     """G1: due expenses."""
-    return expand(ledger, "fixed_costs", as_of, mode)
+    return expand(ledger, "fixed_costs", as_of, mode, spread)
 
 
-def expand_periodic_income(ledger: Ledger, as_of: date, mode: str = "reference") -> DataFrame:
+def expand_periodic_income(
+    ledger: Ledger, as_of: date, mode: str = "reference", spread: int | None = None
+) -> DataFrame:
     """Due income."""
-    return expand(ledger, "periodic_income", as_of, mode)
+    return expand(ledger, "periodic_income", as_of, mode, spread)
 
 
-def expand_fixed_investments(ledger: Ledger, as_of: date, mode: str = "reference") -> DataFrame:
+def expand_fixed_investments(
+    ledger: Ledger, as_of: date, mode: str = "reference", spread: int | None = None
+) -> DataFrame:
     """Due investments, each amount grown by the expected return rate."""
-    return expand(ledger, "fixed_investments", as_of, mode)
+    return expand(ledger, "fixed_investments", as_of, mode, spread)
 
 
-def expand_all_schedules(ledger: Ledger, as_of: date, mode: str = "reference") -> DataFrame:
+def expand_all_schedules(
+    ledger: Ledger, as_of: date, mode: str = "reference", spread: int | None = None
+) -> DataFrame:
     """Everything due."""
     return reduce(
-        DataFrame.unionByName, [expand(ledger, table, as_of, mode) for table in SCHEDULES]
+        DataFrame.unionByName, [expand(ledger, table, as_of, mode, spread) for table in SCHEDULES]
     )
 
 
