@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4000",
     "spark.sql.shuffle.partitions": "16",
+    # One file per task.
+    "spark.sql.files.openCostInBytes": "134217728",
 }
 
 
@@ -28,7 +30,9 @@ def small_pieces(spark):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def skewed_ledger(spark):
+@pytest.fixture(scope="module")
+def skewed_ledger(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("skewed") / "transactions")
     book = load_ledger(spark, "/root/testdata/sf0.01")
     hot = F.col("id") % 3 == 0
     moved = book.transactions.withColumns(
@@ -40,8 +44,10 @@ def skewed_ledger(spark):
             .otherwise(F.col("category_id")),
         }
     )
-    # Several map tasks, as splitting works by map output.
-    return book.with_tables(transactions=moved.repartition(16, "id"))
+    # Several files, so several map tasks: splitting works by map output.
+    moved.repartition(16, "id").write.parquet(path)
+    stored = spark.read.schema(moved.schema).parquet(path)
+    return book.with_tables(transactions=stored)
 
 
 def users(book):
@@ -63,8 +69,8 @@ def executed(df):
         (lambda book: listings.scope_to_users(book.transactions, users(book)), "user_id"),
     ],
 )
-def test_hot_keys_are_split(small_pieces, query, key):
-    book = skewed_ledger(small_pieces)
+def test_hot_keys_are_split(small_pieces, skewed_ledger, query, key):
+    book = skewed_ledger
     rows, final = executed(query(book))
     assert f"Join(skew=true) [{key}#" in final
     for key in list(SETTINGS)[:2]:
@@ -75,9 +81,9 @@ def test_hot_keys_are_split(small_pieces, query, key):
     assert sorted(map(str, rows)) == sorted(map(str, plain))
 
 
-def test_hot_user_totals(spark):
+def test_hot_user_totals(skewed_ledger):
     """Totals of the hot user against one plain aggregate."""
-    book = skewed_ledger(spark)
+    book = skewed_ledger
     expected = {
         r.type: r.total
         for r in book.transactions.where("user_id = 7").groupBy("type").agg(F.sum("amount").alias("total")).collect()
