@@ -96,7 +96,7 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
-# Schedule table -> (type of the transactions it generates, default note).
+# Schedule table -> (type of the transactions it generates, default note).
 SCHEDULES = {
     "fixed_costs": ("expense", "Auto-generated fixed cost"),
     "periodic_income": ("income", "Auto-generated periodic income"),
@@ -130,6 +130,11 @@ class Ledger:
             tables.setdefault("monthly_activity", None)
         return replace(self, **tables)
 
+    def create_views(self, prefix: str = "") -> None:
+        """Make the tables available to SQL as temporary views."""
+        for name, table in self.tables().items():
+            table.createOrReplaceTempView(prefix + name)
+
     def tables(self) -> dict[str, DataFrame]:
         return {
             f.name: getattr(self, f.name) for f in fields(self) if f.name != "monthly_activity"

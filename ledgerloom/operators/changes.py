@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.ids import stable_id
 from ledgerloom.model import AMOUNT, DEFAULT_CATEGORIES, SCHEDULES, Ledger
-from ledgerloom.operators.quality import is_number
+from ledgerloom.operators.quality import BALANCE_MESSAGES, is_number
 
 KEYS = ("id", "user_id")
 # Optional array column of a change batch: the fields a change sets.
@@ -250,9 +250,9 @@ def update_initial_balances(
     """
     value = F.col("initial_balance")
     reason = (
-        F.when(value.isNull(), "Initial balance is required")
-        .when(~is_number(value), "Initial balance must be a valid number")
-        .when(value.try_cast(AMOUNT).isNull(), "Initial balance is out of range")
+        F.when(value.isNull(), BALANCE_MESSAGES["missing"])
+        .when(~is_number(value), BALANCE_MESSAGES["not a number"])
+        .when(value.try_cast(AMOUNT).isNull(), BALANCE_MESSAGES["out of range"])
     )
     checked = requests.withColumn("error", reason)
     accepted = checked.where(F.col("error").isNull()).drop("error")

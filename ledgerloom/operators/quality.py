@@ -34,6 +34,38 @@ ISO_DATE = (
 BASIC_DATE = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
 BOOLEANS = ("true", "false", "1", "0")
 
+# Messages, by check.
+TRANSACTION_MESSAGES = {
+    "amount": "Amount must be a number",
+    "amount range": "Amount is out of range",
+    "type": "Invalid transaction type",
+    "date": "Invalid date format",
+    "category_id": "Invalid category ID",
+}
+GOAL_MESSAGES = {
+    "name": "Name is required",
+    "target_amount": "Target amount must be greater than 0",
+    "current_amount": "Current amount must be 0 or greater",
+    "deadline": "Deadline must be a valid date",
+    "status": "Invalid status",
+    "user_id": "User ID is required",
+}
+SCHEDULE_MESSAGES = {
+    "amount": "Amount must be greater than 0",
+    "frequency": "Invalid frequency",
+    "start_date": "Start date must be a valid date",
+    "end_date": "End date must be a valid date",
+    "category_id": "Category ID must be a valid UUID",
+    "is_active": "Is active must be a boolean",
+    "expected_return_rate": "Expected return rate must be a valid percentage",
+    "investment_type": "Investment type is required",
+}
+BALANCE_MESSAGES = {
+    "missing": "Initial balance is required",
+    "not a number": "Initial balance must be a valid number",
+    "out of range": "Initial balance is out of range",
+}
+
 ERRORS = "errors"
 
 
@@ -55,19 +87,25 @@ def float_value(text: Column) -> Column:
     return F.when(text.rlike(FLOAT), text.try_cast("double"))
 
 
-def _unless(valid: Column, field: str, message: str) -> Column:
-    """An error unless ``valid``; an unknown result is not valid."""
-    problem = F.struct(F.lit(field).alias("field"), F.lit(message).alias("msg"))
-    return F.when(~F.coalesce(valid, F.lit(False)), problem)
-
-
 def _optional(field: str, valid: Column) -> Column:
     return F.col(field).isNull() | valid
 
 
-def _with_errors(rows: DataFrame, checks: list[Column]) -> DataFrame:
-    found = F.filter(F.array(*checks), lambda e: e.isNotNull())
-    return rows.withColumn(ERRORS, found)
+def _with_errors(
+    rows: DataFrame, messages: dict[str, str], checks: dict[str, Column]
+) -> DataFrame:
+    """Adds an error for every check that is not true; unknown is not true.
+
+    A check is named by its field, or by the field and what about it.
+    """
+    problems = [
+        F.when(
+            ~F.coalesce(valid, F.lit(False)),
+            F.struct(F.lit(name.split(" ")[0]).alias("field"), F.lit(messages[name]).alias("msg")),
+        )
+        for name, valid in checks.items()
+    ]
+    return rows.withColumn(ERRORS, F.filter(F.array(*problems), lambda e: e.isNotNull()))
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,17 +123,14 @@ def validate_transactions(raw: DataFrame) -> DataFrame:
     fits = amount.try_cast(AMOUNT).isNotNull()
     return _with_errors(
         raw,
-        [
-            _unless(is_number(amount), "amount", "Amount must be a number"),
-            _unless(
-                fits | ~F.coalesce(is_number(amount), F.lit(False)),
-                "amount",
-                "Amount is out of range",
-            ),
-            _unless(F.col("type").isin(*TRANSACTION_TYPES), "type", "Invalid transaction type"),
-            _unless(iso_date(F.col("date")).isNotNull(), "date", "Invalid date format"),
-            _unless(F.col("category_id").rlike(UUID), "category_id", "Invalid category ID"),
-        ],
+        TRANSACTION_MESSAGES,
+        {
+            "amount": is_number(amount),
+            "amount range": fits | ~F.coalesce(is_number(amount), F.lit(False)),
+            "type": F.col("type").isin(*TRANSACTION_TYPES),
+            "date": iso_date(F.col("date")).isNotNull(),
+            "category_id": F.col("category_id").rlike(UUID),
+        },
     )
 
 
@@ -113,68 +148,36 @@ def _at_least(field: str, low: float) -> Column:
 def validate_goals(raw: DataFrame) -> DataFrame:
     """V2: raw goals, names trimmed, with ``errors``."""
     # Emptiness is judged before trimming, so a blank name passes.
-    named = F.length("name") > 0
     checked = _with_errors(
         raw,
-        [
-            _unless(named, "name", "Name is required"),
-            _unless(
-                _at_least("target_amount", 0.01),
-                "target_amount",
-                "Target amount must be greater than 0",
-            ),
-            _unless(
-                _optional("current_amount", _at_least("current_amount", 0)),
-                "current_amount",
-                "Current amount must be 0 or greater",
-            ),
-            _unless(
-                _optional("deadline", iso_date(F.col("deadline")).isNotNull()),
-                "deadline",
-                "Deadline must be a valid date",
-            ),
-            _unless(
-                _optional("status", F.col("status").isin(*GOAL_STATUSES)),
-                "status",
-                "Invalid status",
-            ),
-            _unless(F.length("user_id") > 0, "user_id", "User ID is required"),
-        ],
+        GOAL_MESSAGES,
+        {
+            "name": F.length("name") > 0,
+            "target_amount": _at_least("target_amount", 0.01),
+            "current_amount": _optional("current_amount", _at_least("current_amount", 0)),
+            "deadline": _optional("deadline", iso_date(F.col("deadline")).isNotNull()),
+            "status": _optional("status", F.col("status").isin(*GOAL_STATUSES)),
+            "user_id": F.length("user_id") > 0,
+        },
     )
     return checked.withColumn("name", F.trim("name"))
 
 
-def _schedule_checks() -> list[Column]:
-    frequencies = (*FREQUENCIES, *FREQUENCY_ALIASES)
-    return [
-        _unless(_at_least("amount", 0.01), "amount", "Amount must be greater than 0"),
-        _unless(F.col("frequency").isin(*frequencies), "frequency", "Invalid frequency"),
-        _unless(
-            iso_date(F.col("start_date")).isNotNull(),
-            "start_date",
-            "Start date must be a valid date",
-        ),
-        _unless(
-            _optional("end_date", iso_date(F.col("end_date")).isNotNull()),
-            "end_date",
-            "End date must be a valid date",
-        ),
-        _unless(
-            _optional("category_id", F.col("category_id").rlike(UUID)),
-            "category_id",
-            "Category ID must be a valid UUID",
-        ),
-        _unless(
-            _optional("is_active", F.col("is_active").isin(*BOOLEANS)),
-            "is_active",
-            "Is active must be a boolean",
-        ),
-    ]
+def _schedule_checks() -> dict[str, Column]:
+    return {
+        "amount": _at_least("amount", 0.01),
+        "frequency": F.col("frequency").isin(*FREQUENCIES, *FREQUENCY_ALIASES),
+        "start_date": iso_date(F.col("start_date")).isNotNull(),
+        "end_date": _optional("end_date", iso_date(F.col("end_date")).isNotNull()),
+        "category_id": _optional("category_id", F.col("category_id").rlike(UUID)),
+        "is_active": _optional("is_active", F.col("is_active").isin(*BOOLEANS)),
+    }
 
 
 def validate_schedules(raw: DataFrame) -> DataFrame:
     """V3: raw fixed costs or periodic income, notes trimmed, with ``errors``."""
-    return _with_errors(raw, _schedule_checks()).withColumn("note", F.trim("note"))
+    checked = _with_errors(raw, SCHEDULE_MESSAGES, _schedule_checks())
+    return checked.withColumn("note", F.trim("note"))
 
 
 def validate_investments(raw: DataFrame) -> DataFrame:
@@ -182,18 +185,14 @@ def validate_investments(raw: DataFrame) -> DataFrame:
 
     Rates beyond 999.99 do not fit their column and are rejected too.
     """
-    rate = float_value(F.col("expected_return_rate"))
-    fits = F.col("expected_return_rate").try_cast(RATE).isNotNull()
-    checks = [
-        *_schedule_checks(),
-        _unless(
-            _optional("expected_return_rate", rate.between(-100, 1000) & fits),
-            "expected_return_rate",
-            "Expected return rate must be a valid percentage",
-        ),
-        _unless(F.length("investment_type") > 0, "investment_type", "Investment type is required"),
-    ]
-    return _with_errors(raw, checks).withColumns(
+    rate = F.col("expected_return_rate")
+    fits = float_value(rate).between(-100, 1000) & rate.try_cast(RATE).isNotNull()
+    checks = {
+        **_schedule_checks(),
+        "expected_return_rate": _optional("expected_return_rate", fits),
+        "investment_type": F.length("investment_type") > 0,
+    }
+    return _with_errors(raw, SCHEDULE_MESSAGES, checks).withColumns(
         {"note": F.trim("note"), "investment_type": F.trim("investment_type")}
     )
 

@@ -23,7 +23,14 @@ from ledgerloom.functions.periods import (
 from ledgerloom.functions.skew import attach_totals
 from ledgerloom.model import MONEY, PERCENT, TRANSACTION_TYPES, Ledger
 from ledgerloom.plans.activity import activity, by_category, totals_by
-from ledgerloom.plans.ranking import latest, named_groups, others_entry, top_with_others
+from ledgerloom.plans.ranking import (
+    OTHERS_ICON_ALL_TIME,
+    OTHERS_ICON_BY_YEAR,
+    latest,
+    named_groups,
+    others_entry,
+    top_with_others,
+)
 
 # Entries per array in ``monthly_summary_nested``.
 ENTRIES_PER_PAGE = 1000
@@ -499,9 +506,9 @@ def top_categories_all_time(
     """
     per_category = by_category(activity(ledger, None, user_id))
     groups = named_groups(per_category, ledger.categories, ["user_id"])
-    ranked = top_with_others(groups, ["user_id"], "more-horiz")
+    ranked = top_with_others(groups, ["user_id"], OTHERS_ICON_ALL_TIME)
     users = _of_user(ledger.profiles, user_id, "id").select(F.col("id").alias("user_id"))
-    empty = F.array(others_entry(F.lit(None), "more-horiz"))
+    empty = F.array(others_entry(F.lit(None), OTHERS_ICON_ALL_TIME))
     report = (
         users.join(ranked, "user_id", "full_outer")
         .select("user_id", F.inline(F.coalesce("entries", empty)))
@@ -522,7 +529,7 @@ def top_categories_recent_years(
     years = latest(rows.select("user_id", "year").distinct(), F.desc("year"))
     categorised = by_category(rows, "year").join(years, ["user_id", "year"], "left_semi")
     groups = named_groups(categorised, ledger.categories, ["user_id", "year"])
-    ranked = top_with_others(groups, ["user_id", "year"], "ellipsis-h")
+    ranked = top_with_others(groups, ["user_id", "year"], OTHERS_ICON_BY_YEAR)
     entries = ranked.schema["entries"].dataType
     report = years.join(ranked, ["user_id", "year"], "left").select(
         "user_id",

@@ -12,6 +12,8 @@ TOP = 5
 # The remainder entry.
 OTHERS_NAME = "Others"
 OTHERS_COLOR = "#808080"
+OTHERS_ICON_ALL_TIME = "more-horiz"
+OTHERS_ICON_BY_YEAR = "ellipsis-h"
 
 
 def latest(df: DataFrame, order: Column, k: int = TOP) -> DataFrame:

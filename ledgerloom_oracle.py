@@ -6,6 +6,8 @@ shares as windows, schedules as a recursive query, rules as CASE chains.
 
 from __future__ import annotations
 
+from ledgerloom.model import DEFAULT_CATEGORIES
+
 AS_OF = "DATE '2001-08-01'"
 YEAR, MONTH, DAY = 1998, 3, "DATE '1998-03-15'"
 
@@ -131,14 +133,14 @@ month_totals AS (
   FROM transactions WHERE {IN_MONTH} GROUP BY user_id)"""
 
 MONTH_SHARES = f"""
-per_category AS (
+own_rows AS (
   SELECT c.user_id, c.id AS category_id, c.name AS category_name, c.icon AS category_icon,
-         c.color AS category_color, c.type AS category_type,
-         {_money("coalesce(sum(t.amount), 0)")} AS amount,
-         sum(coalesce(sum(t.amount), 0)) OVER (PARTITION BY c.user_id, c.type) AS type_total
-  FROM categories c
-  LEFT JOIN transactions t ON t.category_id = c.id AND t.user_id = c.user_id AND {IN_MONTH}
-  GROUP BY c.user_id, c.id, c.name, c.icon, c.color, c.type)"""
+         c.color AS category_color, c.type AS category_type, t.amount AS part
+  FROM transactions t
+  JOIN categories c ON c.id = t.category_id AND c.user_id = t.user_id WHERE {IN_MONTH}),
+summed AS (SELECT * EXCLUDE (part), {_money("sum(part)")} AS amount FROM own_rows GROUP BY ALL),
+per_category AS (
+  SELECT *, sum(amount) OVER (PARTITION BY user_id, category_type) AS base FROM summed)"""
 
 
 def _calendar() -> str:
@@ -159,14 +161,14 @@ def _monthly_report() -> str:
 SELECT p.user_id, income AS total_income, expense AS total_expense,
        investment AS total_investment, {_money("income - expense - investment")} AS net_balance,
        category_name, category_icon, category_color, category_type, amount AS category_amount,
-       {_share("amount", "type_total")} AS category_percentage
+       {_share("amount", "base")} AS category_percentage
 FROM per_category p JOIN month_totals m ON m.user_id = p.user_id WHERE amount > 0"""
 
 
 def _category_breakdown() -> str:
     return f"""{_with(CATEGORIES, TRANSACTIONS, MONTH_SHARES)}
 SELECT user_id, category_id, category_name, amount AS total_amount,
-       {_share("amount", "type_total")} AS percentage
+       {_share("amount", "base")} AS percentage
 FROM per_category WHERE amount > 0"""
 
 
@@ -242,22 +244,18 @@ LEFT JOIN monthly x ON x.user_id = u.user_id AND x.m = s.m"""
 
 
 def _category_shares(period: str) -> str:
-    pct = _pct("total_amount", "type_total")
     return f"""{_with(CATEGORIES, TRANSACTIONS)},
-per_category AS (
-  SELECT c.user_id, c.id, c.name AS category_name, c.icon AS category_icon,
-         c.color AS category_color, c.type AS transaction_type,
-         {_money("coalesce(sum(t.amount), 0)")} AS total_amount
-  FROM categories c
-  LEFT JOIN transactions t ON t.category_id = c.id AND t.user_id = c.user_id AND {period}
-  GROUP BY ALL),
-type_totals AS (
-  SELECT user_id, transaction_type, sum(total_amount) AS type_total
-  FROM per_category GROUP BY ALL)
-SELECT p.user_id, category_name, category_icon, category_color, total_amount,
-       CAST(coalesce({pct}, 0) AS DECIMAL(18,2)) AS percentage, p.transaction_type
-FROM per_category p JOIN type_totals y
-  ON y.user_id = p.user_id AND y.transaction_type = p.transaction_type"""
+spent AS (SELECT user_id, category_id, sum(amount) AS amount
+          FROM transactions WHERE {period} GROUP BY ALL),
+all_categories AS (
+  SELECT c.*, {_money("coalesce(s.amount, 0)")} AS total_amount
+  FROM categories c LEFT JOIN spent s ON s.category_id = c.id AND s.user_id = c.user_id),
+based AS (SELECT *, sum(total_amount) OVER (PARTITION BY user_id, type) AS base
+          FROM all_categories)
+SELECT user_id, name AS category_name, icon AS category_icon, color AS category_color,
+       total_amount, CAST(coalesce({_pct("total_amount", "base")}, 0) AS DECIMAL(18,2))
+         AS percentage, type AS transaction_type
+FROM based"""
 
 
 def _all_time_balance() -> str:
@@ -478,19 +476,9 @@ SELECT 'profiles' AS table_name, id, id AS user_id FROM profiles WHERE id {stay}
 UNION ALL SELECT schedule, id, user_id FROM schedules WHERE user_id {stay}"""
 
 
-# The default categories.
-DEFAULTS = """(VALUES
-  ('Food', 'expense', 'fastfood', '#FF5252'),
-  ('Transportation', 'expense', 'directions-car', '#448AFF'),
-  ('Houseware', 'expense', 'home-work', '#9C27B0'),
-  ('Bills', 'expense', 'payments', '#FF9800'),
-  ('Shopping', 'expense', 'shopping-bag', '#E91E63'),
-  ('Salary', 'income', 'currency-exchange', '#4CAF50'),
-  ('Freelance', 'income', 'work', '#8BC34A'),
-  ('Bonus', 'income', 'money', '#CDDC39'),
-  ('Stocks', 'investment', 'inventory', '#795548'),
-  ('Real Estate', 'investment', 'domain', '#607D8B'),
-  ('Crypto', 'investment', 'currency-bitcoin', '#9E9E9E')) AS d(name, type, icon, color)"""
+DEFAULTS = (
+    "(VALUES " + ", ".join(map(str, DEFAULT_CATEGORIES)) + ") AS d(name, type, icon, color)"
+)
 
 
 def _seed() -> str:
@@ -711,7 +699,7 @@ ORACLE: dict[str, str] = {
     "annual_report": _annual_report(2001),
     "annual_report_full_year": _annual_report(YEAR),
     "annual_trend": _annual_trend(YEAR),
-    "annual_categories": _category_shares(f"year(t.date) = {YEAR}"),
+    "annual_categories": _category_shares(IN_YEAR.format(YEAR)),
     "all_time_balance": _all_time_balance(),
     "all_time_categories": _category_shares("true"),
     "top_categories_all_time": _top_all_time(),
