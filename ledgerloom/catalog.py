@@ -11,7 +11,7 @@ import os
 import uuid
 from collections.abc import Callable
 from datetime import date
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from ledgerloom.operators import changes, listings, quality, recurring, reports
 from ledgerloom.plans.activity import activity
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import testbed
-from ledgerloom.sources.testbed import AS_OF, load_ledger, read_table
+from ledgerloom.sources.testbed import AS_OF, read_table
 from ledgerloom.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ YEAR, MONTH, DAY = 1998, 3, date(1998, 3, 15)
 SPAN_OF_APPENDED_IDS = 10_000_000
 
 
+@lru_cache(maxsize=4)
+def load_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The tables opened once per session; only plans are kept, no data."""
+    return testbed.load_ledger(spark, sf_dir)
+
+
 def _on_ledger(operator: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf_dir: operator(load_ledger(spark, sf_dir), *args)
 
