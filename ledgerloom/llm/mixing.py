@@ -214,3 +214,24 @@ def draw(planned: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
         .drop("_s", "_u", "_unit")
         .withColumn("_shuffle", F.xxhash64(F.lit(seed + 3), "doc_id", "_crc", "copy"))
     )
+
+
+def mixed(docs: DataFrame, weights=(5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, whole, each as often as the mix takes it.
+
+    Documents that aren't taken go.  Rows with one id, source and text are numbered, so
+    that each gets the passes of one of them.
+    """
+    key = ["doc_id", "source", "_crc"]
+    crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
+    taken = plan(docs, weights, most, seed).where("passes > 0").select(*key, "passes")
+    nth = Window.partitionBy(*key)
+    taken = taken.withColumn("_k", F.row_number().over(nth.orderBy("passes")))
+    taken = taken.select(*(F.col(c).alias(f"_t{c}") for c in key), F.col("_k").alias("_tk"), "passes")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", crc.alias("_crc"))
+    rows = rows.withColumn("_k", F.row_number().over(nth.orderBy(F.lit(1))))
+    same = F.col("_k") == F.col("_tk")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t{c}"))
+    copies = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return copies.select("row.*")

@@ -2,7 +2,8 @@
 
 score = sigmoid(b + sum w_i + sum over pairs <v_i, v_j>) over the distinct terms of a
 text.  The pair term lets words that are harmless alone raise the score together.
-Terms are lower-cased runs of letters or digits, hashed into 2**BITS buckets.
+Terms are lower-cased runs of letters or digits, and the beginnings of longer ones,
+hashed into 2**BITS buckets.
 
 The machine is fitted on a bounded sample of labelled rows (PER_CLASS of each class)
 on the driver; its size is fixed, so it is broadcast.  Scoring is one narrow pass over
@@ -23,19 +24,24 @@ from ledgerloom.llm.learning import flat, log_odds_shift, remainder, sampled, si
 
 BITS = 16
 RANK = 6
+BEGINNINGS = (4, 6)  # letters
 PER_CLASS = 6000  # bound of the labelled sample, per class
-MIN_DOCS = 4  # terms in fewer documents of the sample get no weight
-EPOCHS = 12
+MIN_DOCS = 3  # terms in fewer documents of the sample get no weight
+BOUND = 3.5  # least z score of a term that gets weights
+DECAY = 1e-4
+EPOCHS = 15
 BATCH = 128
 
 
 def hashed_terms(bits: int = BITS) -> Column:
-    """Distinct buckets of a text's terms."""
-    words = F.split(F.lower(text_or_empty()), r"[^\p{L}\p{N}]+")
-    hashed = F.transform(
-        F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << bits)).cast("int")
-    )
-    return F.array_distinct(hashed)
+    """Distinct buckets of a text's words and of the beginnings of its longer words."""
+    words = F.array_distinct(F.filter(F.split(F.lower(text_or_empty()), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << bits)).cast("int")
+    begun = [
+        F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: bucket(F.concat(F.lit("^"), F.substring(w, 1, n))))
+        for n in BEGINNINGS
+    ]
+    return F.array_distinct(F.concat(F.transform(words, bucket), *begun))
 
 
 @dataclass
@@ -55,11 +61,26 @@ class Machine:
         return sigmoid(self.raw(terms, offsets))
 
 
+def telling(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Buckets whose share of toxic texts differs from the rest's beyond chance.
+
+    A term's z score compares the texts that hold it, by class; the bound grows with the
+    number of buckets tried, so that a few of 65,536 pass by chance.
+    """
+    label_of = np.repeat(y, np.diff(offsets))
+    seen = np.bincount(terms, minlength=size).astype(float)
+    ones = np.bincount(terms[label_of == 1], minlength=size)
+    share = y.mean()
+    expected = seen * share
+    z = (ones - expected) / np.sqrt(np.maximum(expected * (1 - share), 0.25))
+    return (seen >= MIN_DOCS) & (np.abs(z) >= BOUND)
+
+
 def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, counts: dict[int, int], bits: int = BITS, rank: int = RANK, seed: int = 11) -> Machine:
-    """Logistic loss, adaptive steps, soft thresholds that leave idle terms at zero.
+    """Logistic loss with adaptive steps over the telling terms; other terms stay at zero.
 
-    With no row, or rows of one class only, there is nothing to learn: the score is 0.5
-    or that class's smoothed share for every text.
+    With no row, or rows of one class only, there is nothing to learn: the score is that
+    class's smoothed share (0.5 without rows) for every text.
     """
     size = 1 << bits
     rng = np.random.default_rng(seed)
@@ -67,39 +88,33 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, counts: dict[int,
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Machine(float(np.log(share / (1 - share))), linear, factors)
-    docs_of = np.bincount(terms, minlength=size)
-    known = docs_of >= MIN_DOCS
+    known = telling(terms, offsets, y, size)
     factors[known] = rng.normal(0, 0.02, (int(known.sum()), rank))
+    row_of = np.repeat(np.arange(len(y)), np.diff(offsets))[known[terms]]
+    terms = terms[known[terms]]
+    begins = np.searchsorted(row_of, np.arange(len(y) + 1))
     bias, g_bias = 0.0, 1e-8
     g_linear, g_factors = np.full(size, 1e-8), np.full((size, rank), 1e-8)
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH)):
-            own = np.concatenate([terms[offsets[r] : offsets[r + 1]] for r in rows])
-            lengths = offsets[rows + 1] - offsets[rows]
-            row_of = np.repeat(np.arange(len(rows)), lengths)
-            keep = known[own]
-            own, row_of = own[keep], row_of[keep]
+            own = np.concatenate([terms[begins[r] : begins[r + 1]] for r in rows])
+            row = np.repeat(np.arange(len(rows)), begins[rows + 1] - begins[rows])
             v = factors[own]
-            pooled = np.stack([np.bincount(row_of, v[:, f], len(rows)) for f in range(rank)], axis=1)
-            squares = np.bincount(row_of, (v * v).sum(axis=1), len(rows))
-            z = bias + np.bincount(row_of, linear[own], len(rows)) + 0.5 * ((pooled**2).sum(axis=1) - squares)
+            pooled = np.stack([np.bincount(row, v[:, f], len(rows)) for f in range(rank)], axis=1)
+            squares = np.bincount(row, (v * v).sum(axis=1), len(rows))
+            z = bias + np.bincount(row, linear[own], len(rows)) + 0.5 * ((pooled**2).sum(axis=1) - squares)
             g = (sigmoid(z) - y[rows]) / len(rows)
-            bias_step = g.sum()
-            g_bias += bias_step**2
-            bias -= 0.3 * bias_step / np.sqrt(g_bias)
+            g_bias += g.sum() ** 2
+            bias -= 0.3 * g.sum() / np.sqrt(g_bias)
             used, at = np.unique(own, return_inverse=True)
-            per = g[row_of]
-            step = np.bincount(at, per, len(used)) + 1e-5 * linear[used]
+            per = g[row]
+            step = np.bincount(at, per, len(used)) + DECAY * linear[used]
             g_linear[used] += step**2
-            rate = 0.15 / np.sqrt(g_linear[used])
-            moved = linear[used] - rate * step
-            linear[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * 1e-4, 0)
-            grad = per[:, None] * (pooled[row_of] - v)
-            step = np.stack([np.bincount(at, grad[:, f], len(used)) for f in range(rank)], axis=1) + 1e-4 * factors[used]
+            linear[used] -= 0.2 * step / np.sqrt(g_linear[used])
+            grad = per[:, None] * (pooled[row] - v)
+            step = np.stack([np.bincount(at, grad[:, f], len(used)) for f in range(rank)], axis=1) + DECAY * factors[used]
             g_factors[used] += step**2
-            rate = 0.03 / np.sqrt(g_factors[used])
-            moved = factors[used] - rate * step
-            factors[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * 2e-4, 0)
+            factors[used] -= 0.03 * step / np.sqrt(g_factors[used])
     return Machine(bias + log_odds_shift(counts, y), linear, factors)
 
 
