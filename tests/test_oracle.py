@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+import ledgerloom_oracle
 import oracle
+from ledgerloom import catalog
 
 SF_DIR = os.environ.get("LEDGER_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, ledgerloom_oracle.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,7 @@ def connection():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
