@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -37,12 +37,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(docs, shared_folder(spark, "ledger"))
     findings = F.coalesce("findings", F.array().cast(secret_scan.FINDINGS))
     spans = F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(findings, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *(
-            F.size(F.filter(findings, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-            for kind, *_ in secret_scan.RULES
-        ),
+        *(count(kind) for kind, *_ in secret_scan.RULES),
         F.sha2(spans, 256).alias("base_sha256"),
         spans.alias("spans"),
         "blob",

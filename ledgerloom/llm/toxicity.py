@@ -37,11 +37,12 @@ def hashed_terms(bits: int = BITS) -> Column:
     """Distinct buckets of a text's words and of the beginnings of its longer words."""
     words = F.array_distinct(F.filter(F.split(F.lower(text_or_empty()), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << bits)).cast("int")
-    begun = [
-        F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: bucket(F.concat(F.lit("^"), F.substring(w, 1, n))))
-        for n in BEGINNINGS
-    ]
-    return F.array_distinct(F.concat(F.transform(words, bucket), *begun))
+
+    def begun(n: int) -> Column:
+        longer = F.filter(words, lambda w: F.length(w) > n)
+        return F.transform(longer, lambda w: bucket(F.concat(F.lit("^"), F.substring(w, 1, n))))
+
+    return F.array_distinct(F.concat(F.transform(words, bucket), *(begun(n) for n in BEGINNINGS)))
 
 
 @dataclass
