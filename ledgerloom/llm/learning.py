@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import text_or_empty
+
 
 def remainder(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
@@ -37,10 +39,10 @@ def sampled(docs: DataFrame, picked: DataFrame, feature: Column, bound: int) ->
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")  # 2 * per_class ids at most
-        .select("doc_id", feature.alias("x"), "_y")
+        .select("doc_id", F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("_crc"), feature.alias("x"), "_y")
         .limit(bound)
     )
-    return rows.toArrow().sort_by([("doc_id", "ascending"), ("_y", "ascending")])
+    return rows.toArrow().sort_by([("doc_id", "ascending"), ("_crc", "ascending")])
 
 
 def flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,3 +75,8 @@ def log_odds_shift(counts: dict[int, int], used: np.ndarray) -> float:
         return 0.0
     ones = int(used.sum())
     return float(np.log(counts[1] / counts[0]) - np.log(ones / (len(used) - ones)))
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """To nine digits: sums of doubles depend on how rows fall into batches."""
+    return np.round(scores, 9)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import staged, text_or_empty
-from ledgerloom.llm.learning import flat, log_odds_shift, remainder, sampled, sigmoid, sums, training_labels
+from ledgerloom.llm.learning import flat, log_odds_shift, remainder, rounded, sampled, sigmoid, sums, training_labels
 
 WORDS = 8192
 WIDTH = 64
@@ -187,6 +187,6 @@ def scorer(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
 
     @F.arrow_udf("double")
     def score(lists: pa.Array) -> pa.Array:
-        return pa.array(network.value.scores(pool(*flat(lists), vectors.value)))
+        return pa.array(rounded(network.value.scores(pool(*flat(lists), vectors.value))))
 
     return score(hashed_words())

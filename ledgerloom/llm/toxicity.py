@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import text_or_empty
-from ledgerloom.llm.learning import flat, log_odds_shift, remainder, sampled, sigmoid, sums, training_labels
+from ledgerloom.llm.learning import flat, log_odds_shift, remainder, rounded, sampled, sigmoid, sums, training_labels
 
 BITS = 16
 RANK = 6
@@ -136,7 +136,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
 
     @F.arrow_udf("double")
     def score(lists: pa.Array) -> pa.Array:
-        return pa.array(machine.value.scores(*flat(lists)))
+        return pa.array(rounded(machine.value.scores(*flat(lists))))
 
     scored = docs.select(
         "doc_id", F.coalesce(remainder(modulus) == held, F.lit(False)).alias("held_out"), score(hashed_terms()).alias("score")
