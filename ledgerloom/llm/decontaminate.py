@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import ship
 from ledgerloom.llm.shingles import Shingler, texts_of
 
 BLOCK = 20_000  # items broadcast at once
@@ -76,6 +77,7 @@ class Sketches:
 def match_columns(benchmark: DataFrame, k: int = 5, containment: float = 0.8) -> list[Column]:
     """For each block of items, a column over ``text`` with the items it holds."""
     spark = benchmark.sparkSession
+    ship(spark)
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     blocks = max(1, -(-items.count() // BLOCK))
     return [

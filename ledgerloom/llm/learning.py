@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_or_empty
+from ledgerloom.llm.common import ship, text_or_empty
 
 
 def remainder(modulus: int, column: str = "doc_id") -> Column:
@@ -36,6 +36,7 @@ def training_labels(labels: DataFrame, target: str, train: Column, per_class: in
 
 def sampled(docs: DataFrame, picked: DataFrame, feature: Column, bound: int) -> pa.Table:
     """Feature and label of the picked documents, ``bound`` rows at most, on the driver."""
+    ship(docs.sparkSession)
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")  # 2 * per_class ids at most

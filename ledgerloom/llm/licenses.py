@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_or_empty
+from ledgerloom.llm.common import ship, text_or_empty
 
 # SPDX identifier and notice.
 TEMPLATES = (
@@ -132,4 +132,5 @@ def find_licenses(docs: DataFrame, templates=TEMPLATES, dice: float = 0.8) -> Da
     counted; Dice compares sets.  Null and empty texts and texts of one word have no
     license.  Repeated rows are reported each.  Other columns aren't read.
     """
+    ship(docs.sparkSession)
     return docs.select("doc_id", F.explode(match_column(templates, dice)).alias("m")).select("doc_id", "m.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged, text_or_empty
+from ledgerloom.llm.common import ship, text_or_empty
 from ledgerloom.llm.learning import flat, log_odds_shift, remainder, rounded, sampled, sigmoid, sums, training_labels
 
 WORDS = 8192
@@ -62,6 +62,7 @@ def context_sums(words: np.ndarray, offsets: np.ndarray, total: np.ndarray) -> N
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Vectors of all buckets, from all rows of ``docs``: centred, of length 1."""
+    ship(docs.sparkSession)
     names = [f"v{i}" for i in range(WIDTH)]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

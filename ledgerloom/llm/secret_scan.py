@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ledgerloom.llm.common import text_or_empty
+from ledgerloom.llm.common import ship, text_or_empty
 
 # Kind, pattern, group whose length counts, least length.  Letters of assign match in
 # either case, ASCII only.
@@ -88,6 +88,7 @@ def scan_unseen(docs: DataFrame, ledger: str, rules: str = RULE_VERSION, path: s
     Each unseen blob is read once, at its smallest path.  Running it again appends
     nothing.  The append is one job: if it fails, the ledger is as before.
     """
+    ship(docs.sparkSession)
     seen = read_ledger(docs, ledger).where(F.col("rules") == rules).select("blob")
     unseen = (
         versions(docs, path).groupBy("blob").agg(F.min(path).alias("_at")).join(seen, "blob", "left_anti")

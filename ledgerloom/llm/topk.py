@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import shared_folder
+from ledgerloom.llm.common import shared_folder, ship
 from ledgerloom.llm.learning import flat
 
 QUERY_BLOCK = 4096  # queries broadcast at once
@@ -158,6 +158,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     without candidates has no row; an empty table gives none.  Other columns aren't read.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", integers("embedding").alias("x"), is_query.alias("_q"))
     rows = rows.where(F.col("x").isNotNull())
     asked = rows.where("_q").groupBy("vec_id", "x").count().drop("count")
