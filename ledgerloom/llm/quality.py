@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ship, text_or_empty
-from ledgerloom.llm.learning import flat, log_odds_shift, remainder, rounded, sampled, sigmoid, sums, training_labels
+from ledgerloom.llm.learning import flat, log_odds_shift, remainder, rounded, sampled, sigmoid, training_labels
 
 WORDS = 8192
 WIDTH = 64
@@ -96,14 +96,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pool(words: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean and standard deviation of the vectors of each text; zeros without words."""
     lengths = np.maximum(np.diff(offsets), 1)[:, None]
+    both = np.concatenate([vectors, vectors * vectors], axis=1, dtype=np.float64)
     out = np.zeros((len(offsets) - 1, 2 * WIDTH))
-    lo = 0
-    while lo < len(offsets) - 1:  # whole texts, about CHUNK / 4 words at once
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK // 4, side="right")) - 1)
-        own, cut = vectors[words[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
-        out[lo:hi, :WIDTH] = sums(own, cut)
-        out[lo:hi, WIDTH:] = sums(own * own, cut)
-        lo = hi
+    for i in range(len(out)):  # a text at a time: its different words, weighed by their counts
+        own, counts = np.unique(words[offsets[i] : offsets[i + 1]], return_counts=True)
+        out[i] = counts.astype(np.float64) @ both[own]
     mean = out[:, :WIDTH] / lengths
     spread = np.sqrt(np.maximum(out[:, WIDTH:] / lengths - mean**2, 0))
     return np.concatenate([mean, spread], axis=1)
