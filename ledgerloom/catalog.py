@@ -11,7 +11,7 @@ import os
 import uuid
 from collections.abc import Callable
 from datetime import date
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +22,53 @@ from ledgerloom.operators import changes, listings, quality, recurring, reports
 from ledgerloom.plans.activity import activity
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import testbed
+from ledgerloom.sources.parquet import read_ledger, write_ledger, write_rollup
 from ledgerloom.sources.testbed import AS_OF, read_table
 from ledgerloom.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 YEAR, MONTH, DAY = 1998, 3, date(1998, 3, 15)
-SPAN_OF_APPENDED_IDS = 10_000_000
+STREAM_SECONDS = 6 * 3600
 
 
-@lru_cache(maxsize=4)
 def load_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
-    """The tables opened once per session; only plans are kept, no data."""
+    """The ledger as the tables are now; nothing is kept between queries."""
     return testbed.load_ledger(spark, sf_dir)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _stored(spark: SparkSession, sf_dir: str, ledger: Ledger | None = None, rollup: bool = False) -> Ledger:
+    """The ledger written to the shared folder and opened again."""
+    root = _scratch(spark, "ledger")
+    ledger = ledger or load_ledger(spark, sf_dir)
+    write_ledger(ledger, root)
+    ids = ledger.transactions.schema["id"].dataType
+    opened = read_ledger(spark, root, ids)
+    if rollup:
+        write_rollup(opened, root)
+        opened = read_ledger(spark, root, ids, rollup=True)
+    return opened
+
+
+def _texts(ledger: Ledger) -> Ledger:
+    """With text ids, as stored ledgers have: generated rows get UUID-shaped ones."""
+    named = ("id", "user_id", "category_id")
+    return ledger.with_tables(
+        **{
+            name: table.withColumns({c: F.col(c).cast("string") for c in named if c in table.columns})
+            for name, table in ledger.tables().items()
+        }
+    )
+
+
+def _on_stored(operator: Callable[..., DataFrame], *args, rollup: bool = False) -> Query:
+    return lambda spark, sf_dir: operator(_stored(spark, sf_dir, rollup=rollup), *args)
+
+
 def _on_ledger(operator: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf_dir: operator(load_ledger(spark, sf_dir), *args)
 
@@ -66,16 +98,7 @@ def _top_recent_years(ledger: Ledger) -> DataFrame:
 
 
 def _monthly_summary(ledger: Ledger) -> DataFrame:
-    rows = reports.monthly_summary_nested(ledger, YEAR, MONTH)
-    return rows.select("*", F.posexplode_outer("categories")).select(
-        "user_id",
-        "page",
-        "total_income",
-        "total_expense",
-        "net_savings",
-        F.col("pos").alias("position"),
-        "col.*",
-    )
+    return reports.monthly_summary_nested(ledger, YEAR, MONTH)
 
 
 # --- recurring -------------------------------------------------------------
@@ -84,7 +107,6 @@ def _monthly_summary(ledger: Ledger) -> DataFrame:
 def _expansion(table: str | None, mode: str = "reference") -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ledger = load_ledger(spark, sf_dir)
-        # Text ids, as stored ledgers have: generated rows get UUID-shaped ones.
         texts = ledger.transactions.withColumn("id", F.col("id").cast("string"))
         ledger = ledger.with_tables(transactions=texts)
         # These are back-fills of several years.
@@ -96,13 +118,23 @@ def _expansion(table: str | None, mode: str = "reference") -> Query:
     return query
 
 
+_SCHEDULE_COLUMNS = (
+    "id", "user_id", "category_id", "amount", "frequency", "start_date", "end_date", "note", "is_active",
+    "created_at", "last_generated_date",
+)
+
+
+def _run_then_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything due is recorded on a stored ledger, then the year is reported."""
+    stored = _stored(spark, sf_dir, _texts(load_ledger(spark, sf_dir)))
+    return reports.annual_report(recurring.run_schedules(stored, AS_OF), 2000, AS_OF)
+
+
 def _advance(ledger: Ledger) -> DataFrame:
     moved = recurring.advance_schedules(ledger, AS_OF)
     return _union(
         [
-            getattr(moved, t).select(
-                F.lit(t).alias("schedule"), "id", "is_active", "end_date", "last_generated_date"
-            )
+            getattr(moved, t).select(F.lit(t).alias("schedule"), *_SCHEDULE_COLUMNS)
             for t in SCHEDULES
         ]
     )
@@ -123,7 +155,6 @@ def _list_schedules(ledger: Ledger) -> DataFrame:
     return _union(
         [
             _flat_category(listings.list_schedules(ledger, t, ordered=False))
-            .drop("created_at")
             .withColumn("schedule", F.lit(t))
             for t in SCHEDULES
         ]
@@ -165,7 +196,7 @@ def _new_rows(ledger: Ledger) -> DataFrame:
     """Repeats of some transactions under new ids, half of them undated."""
     source = ledger.transactions.where(F.col("id") % 17 == 0)
     return source.select(
-        (F.col("id") + SPAN_OF_APPENDED_IDS).alias("id"),
+        (-F.col("id")).alias("id"),  # stored ids are positive
         "user_id",
         "category_id",
         "amount",
@@ -178,6 +209,20 @@ def _append(ledger: Ledger) -> DataFrame:
     return changes.append_transactions(ledger.transactions, _new_rows(ledger), AS_OF)
 
 
+def _append_then_report(ledger: Ledger) -> DataFrame:
+    rows = changes.append_transactions(ledger.transactions, _new_rows(ledger), AS_OF)
+    return reports.annual_report(ledger.with_tables(transactions=rows), YEAR, AS_OF)
+
+
+def _update_date_then_report(ledger: Ledger) -> DataFrame:
+    """Every eleventh transaction moves a year on."""
+    moved = ledger.transactions.where(F.col("id") % 11 == 0).select(
+        "id", "user_id", F.add_months("date", 12).alias("date")
+    )
+    rows = changes.apply_updates(ledger.transactions, moved)
+    return reports.annual_report(ledger.with_tables(transactions=rows), YEAR, AS_OF)
+
+
 def _transaction_changes(ledger: Ledger) -> DataFrame:
     """Amounts raised; every second change also sets, every third clears a field.
 
@@ -219,24 +264,29 @@ def _guarded(ledger: Ledger) -> DataFrame:
 
 def _set_null(ledger: Ledger) -> DataFrame:
     left = changes.delete_categories_set_null(ledger, _misc_and_first(ledger))
-    return _union(
-        [
-            getattr(left, t).select(F.lit(t).alias("table_name"), "id", "category_id")
-            for t in ("transactions", *SCHEDULES)
-        ]
-    )
+    rows = [
+        getattr(left, t).select(F.lit(t).alias("table_name"), "id", "user_id", "category_id", "amount")
+        for t in ("transactions", *SCHEDULES)
+    ]
+    kept = left.categories.select(F.lit("categories").alias("table_name"), "id", "user_id")
+    return _union([*rows, kept])
 
 
 def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = changes.delete_profiles_cascade(
-        load_ledger(spark, sf_dir), _segment_users(spark, sf_dir, "HOUSEHOLD")
+    """Some transactions and schedules refer to the next user's categories."""
+    ledger = load_ledger(spark, sf_dir)
+    foreign = F.when(F.col("id") % 7 == 0, F.col("category_id") + 100).otherwise(F.col("category_id"))
+    ledger = ledger.with_tables(
+        **{t: getattr(ledger, t).withColumn("category_id", foreign) for t in ("transactions", *SCHEDULES)}
     )
+    left = changes.delete_profiles_cascade(ledger, _segment_users(spark, sf_dir, "HOUSEHOLD"))
     return _union(
         [
             table.select(
                 F.lit(name).alias("table_name"),
                 "id",
                 F.col("id" if name == "profiles" else "user_id").alias("user_id"),
+                *[c for c in ("category_id",) if c in table.columns],
             )
             for name, table in left.tables().items()
         ]
@@ -253,6 +303,7 @@ def _onboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All customers sign up; those with a negative balance are known already."""
     customer = read_table(spark, sf_dir, "customer")
     ledger = load_ledger(spark, sf_dir)
+    ledger = ledger.with_tables(categories=ledger.categories.withColumn("id", F.col("id").cast("string")))
     known = ledger.with_tables(profiles=ledger.profiles.where(F.col("initial_balance") < 0))
     signups = customer.select(
         F.col("c_custkey").alias("id"),
@@ -263,6 +314,7 @@ def _onboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     result = changes.onboard_users(known, signups)
     profiles = result.profiles.select(
+        F.col("id").cast("string").alias("id"),
         F.col("id").alias("user_id"),
         F.lit("profile").alias("row_kind"),
         "name",
@@ -271,6 +323,7 @@ def _onboard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("initial_balance").cast("string").alias("value"),
     )
     categories = result.categories.select(
+        "id",
         "user_id",
         F.lit("category").alias("row_kind"),
         "name",
@@ -306,7 +359,7 @@ def _insert_goals(ledger: Ledger) -> DataFrame:
     """A second goal for everyone, leaving amount saved and status to defaults."""
     goals = ledger.financial_goals
     new = goals.select(
-        (F.col("id") + SPAN_OF_APPENDED_IDS).alias("id"),
+        (-F.col("id")).alias("id"),
         "user_id",
         F.lit("Rainy days").alias("name"),
         "target_amount",
@@ -315,6 +368,63 @@ def _insert_goals(ledger: Ledger) -> DataFrame:
     return changes.insert_with_defaults(goals, new, changes.INSERT_DEFAULTS["financial_goals"])
 
 
+def _other_updates(ledger: Ledger) -> DataFrame:
+    """M2 on the other tables: profiles (blank leaves the old value, a balance of 0 counts),
+    goals, categories and schedules, each by its own batch."""
+    profiles = changes.update_profiles(
+        ledger.profiles,
+        ledger.profiles.select(
+            "id",
+            F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "renamed").alias("name"),
+            F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("initial_balance")).cast(AMOUNT).alias("initial_balance"),
+        ),
+    )
+    goals = changes.apply_updates(
+        ledger.financial_goals,
+        ledger.financial_goals.where(F.col("id") % 5 == 0).select(
+            "id", "user_id", F.lit("cancelled").alias("status"), F.lit(None).cast("date").alias("deadline")
+        ),
+    )
+    schedules = [
+        changes.apply_updates(
+            getattr(ledger, t),
+            getattr(ledger, t).where(F.col("id") % 4 == 0).select(
+                "id", "user_id", F.lit(False).alias("is_active"), F.lit("paused").alias("note")
+            ),
+        )
+        for t in SCHEDULES
+    ]
+    return _union(
+        [
+            profiles.select(
+                F.lit("profiles").alias("table_name"), "id", "name", F.col("initial_balance").cast("string").alias("value")
+            ),
+            goals.select(
+                F.lit("financial_goals").alias("table_name"), "id", F.col("status").alias("name"),
+                F.col("deadline").cast("string").alias("value"),
+            ),
+            *[
+                s.select(
+                    F.lit(t).alias("table_name"), "id", F.col("note").alias("name"),
+                    F.col("is_active").cast("string").alias("value"),
+                )
+                for t, s in zip(SCHEDULES, schedules, strict=True)
+            ],
+        ]
+    )
+
+
+def _insert_valid_schedules(ledger: Ledger) -> DataFrame:
+    """Raw costs are validated, typed and added under new ids; is_active has a default."""
+    raw = _raw_schedules(ledger.fixed_costs).withColumn("user_id", F.lit(1))
+    valid, _ = quality.split(quality.validate_schedules(raw))
+    new = quality.typed_schedules(valid).select(
+        (-F.col("id").cast("bigint")).alias("id"), "user_id", "amount", "frequency", "start_date", "end_date", "note", "is_active"
+    )
+    table = ledger.fixed_costs.select("id", "user_id", "amount", "frequency", "start_date", "end_date", "note", "is_active")
+    return changes.insert_with_defaults(table, new, changes.INSERT_DEFAULTS["fixed_costs"])
+
+
 # --- quality ---------------------------------------------------------------
 
 
@@ -343,7 +453,7 @@ def _raw_goals(ledger: Ledger) -> DataFrame:
     return ledger.financial_goals.select(
         F.col("id").cast("string").alias("id"),
         F.when(defect == 1, "").otherwise(F.col("user_id").cast("string")).alias("user_id"),
-        F.when(defect == 2, "").otherwise(F.concat(F.lit(" "), F.col("name"))).alias("name"),
+        F.when(defect == 2, "").otherwise(F.concat(F.lit("\t \u00a0"), F.col("name"), F.lit("\n"))).alias("name"),
         F.when(defect == 3, "0.00").otherwise(F.col("target_amount").cast("string")).alias("target_amount"),
         F.when(defect == 4, "-1")
         .when(defect != 5, F.col("current_amount").cast("string"))
@@ -366,7 +476,7 @@ def _raw_schedules(schedules: DataFrame) -> DataFrame:
         F.when(defect == 4, " 2001-1-5").otherwise(F.col("end_date").cast("string")).alias("end_date"),
         F.when(defect == 5, "none").when(defect != 6, _uuid_text(F.col("category_id"))).alias("category_id"),
         F.when(defect == 7, "maybe").otherwise(F.col("is_active").cast("string")).alias("is_active"),
-        F.when(defect == 8, "  rent ").alias("note"),
+        F.when(defect == 8, " \trent\n ").alias("note"),
         *[c for c in ("expected_return_rate", "investment_type") if c in schedules.columns],
     )
     if "investment_type" in raw.columns:
@@ -386,6 +496,7 @@ def _verdicts(checked: DataFrame, *shown: str) -> DataFrame:
         *shown,
         (F.size(quality.ERRORS) == 0).alias("is_valid"),
         F.array_join(fields, ",").alias("error_fields"),
+        F.array_join(F.transform(quality.ERRORS, lambda e: e["msg"]), "; ").alias("messages"),
     )
 
 
@@ -435,15 +546,23 @@ def _check_constraints(ledger: Ledger) -> DataFrame:
 
 
 def _refresh_monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders as a stream, condensed batch by batch, then read back."""
-    schema = read_table(spark, sf_dir, "orders").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "orders*.parquet")
-    stream = testbed.transactions(arriving.parquet(sf_dir))
-    store = os.path.join(shared_dir(spark), f"monthly-totals-{uuid.uuid4().hex}")
+    """The orders, stored as a directory of parts, as a stream of several batches that
+    are condensed one by one and folded in between, then read back.
+
+    The stream runs to its end while the plan is made.
+    """
+    store = _scratch(spark, "monthly-totals")
+    orders = read_table(spark, sf_dir, "orders")
+    orders.repartition(5, "o_orderkey").write.parquet(f"{store}/orders.parquet")
+    arriving = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1)
+    stream = testbed.transactions(arriving.parquet(f"{store}/orders.parquet"))
     query = refresh.start_refresh(
-        stream, f"{store}/totals", f"{store}/checkpoint", availableNow=True
+        stream, f"{store}/totals", f"{store}/checkpoint", fold_every=2, keep=1, availableNow=True
     )
-    query.awaitTermination()
+    query.awaitTermination(STREAM_SECONDS)
+    if query.isActive:
+        query.stop()
+        raise TimeoutError(f"the stream took more than {STREAM_SECONDS} seconds")
     return refresh.monthly_totals(refresh.read_activity(spark, f"{store}/totals"))
 
 
@@ -483,6 +602,7 @@ QUERIES: dict[str, Query] = {
     "list_transactions_by_date": _on_ledger(_list_transactions_by_date),
     "lookup_by_key": _lookup,
     "list_categories": _on_ledger(listings.list_categories, "expense"),
+    "list_all_categories": _on_ledger(listings.list_categories),
     "list_goals": _on_ledger(listings.list_goals),
     "list_schedules": _on_ledger(_list_schedules),
     "get_profiles": _profiles,
@@ -498,6 +618,15 @@ QUERIES: dict[str, Query] = {
     "onboard_users": _onboard,
     "update_initial_balances": _balances,
     "insert_with_defaults": _on_ledger(_insert_goals),
+    "update_other_tables": _on_ledger(_other_updates),
+    "insert_valid_schedules": _on_ledger(_insert_valid_schedules),
+    # changes on a stored ledger, then reports of it
+    "append_then_annual_report": _on_stored(_append_then_report),
+    "update_date_then_annual_report": _on_stored(_update_date_then_report),
+    "run_schedules_then_report": _run_then_report,
+    "all_time_balance_stored": _on_stored(reports.all_time_balance),
+    "all_time_balance_rollup": _on_stored(reports.all_time_balance, rollup=True),
+    "top_categories_rollup": _on_stored(reports.top_categories_all_time, rollup=True),
     # quality
     "validate_transactions": _on_ledger(_validate_transactions),
     "validate_goals": _on_ledger(_validate_goals),

@@ -47,10 +47,15 @@ def net_of_all() -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """``part`` as a percentage of ``whole``, half-up to 2 places; NULL if whole is 0.
 
-    With both at decimal(18,2) the quotient keeps 16 fraction digits before rounding.
+    Worked out in whole hundredths, so ties round right for wholes of any size.
     """
-    ratio = F.try_divide(part.cast(MONEY) * F.lit(100), whole.cast(MONEY))
-    return F.round(ratio, 2).cast(PERCENT)
+    wide = T.DecimalType(38, 0)
+    a, b = ((c.cast(MONEY) * F.lit(100)).cast(T.DecimalType(20, 0)) for c in (part, whole))
+    twice = (F.abs(b) * F.lit(2)).cast(wide)
+    shifted = (F.abs(a) * F.lit(20000) + F.abs(b)).cast(wide)
+    hundredths = F.call_function("div", shifted, F.nullif(twice, F.lit(0).cast(wide)))
+    signed = F.when((a < 0) != (b < 0), -hundredths).otherwise(hundredths)
+    return (signed.cast(T.DecimalType(18, 0)) * F.lit(Decimal("0.01"))).cast(PERCENT)
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -49,6 +49,15 @@ def within(df: DataFrame, period: Period | None) -> DataFrame:
     return kept
 
 
+def keep_year(df: DataFrame) -> DataFrame:
+    """``df`` with the year partition, where it has one, following from the date.
+
+    Every change that adds rows or sets dates passes through here, so that period
+    filters find the changed rows on a stored ledger.
+    """
+    return df.withColumn(YEAR_PARTITION, F.year("date")) if YEAR_PARTITION in df.columns else df
+
+
 def months_shown(year: int, as_of: date) -> int:
     """How many months a year report shows: all of a past year, else up to now.
 

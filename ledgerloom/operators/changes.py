@@ -12,8 +12,10 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.ids import stable_id
+from ledgerloom.functions.periods import keep_year
 from ledgerloom.model import AMOUNT, DEFAULT_CATEGORIES, SCHEDULES, Ledger
 from ledgerloom.operators.quality import BALANCE_MESSAGES, is_number
 
@@ -56,7 +58,7 @@ def insert_with_defaults(
             default = default if isinstance(default, Column) else F.lit(default)
             value = F.coalesce(value, default.cast(field.dataType))
         columns.append(value.alias(field.name))
-    return table.unionByName(rows.select(*columns))
+    return table.unionByName(keep_year(rows.select(*columns)))
 
 
 def append_transactions(transactions: DataFrame, rows: DataFrame, as_of: date) -> DataFrame:
@@ -79,9 +81,10 @@ def apply_updates(
 
     A change sets the fields named in its ``set_fields``, NULL included; without
     that column it sets every field the batch has.  Several changes of one row
-    are folded field by field, the last by ``order_by`` winning (the largest
-    value if no order is given), so no row is ever duplicated.  Changes whose
-    keys match no row do nothing; that is how foreign rows are protected.
+    are folded field by field, the last by ``order_by`` winning, so no row is
+    ever duplicated; without an order, repeated keys raise when the plan runs.
+    Changes whose keys match no row do nothing; that is how foreign rows are
+    protected.
     ``blank_is_absent`` names fields where NULL or '' leave the old value.
     ``allowed`` is a predicate on the old row.
     """
@@ -97,8 +100,15 @@ def apply_updates(
 
     def last_set(c: str) -> Column:
         value = F.struct(F.col(c).cast(table.schema[c].dataType).alias("value"))
-        rank = F.col(order_by) if order_by else value
-        return F.max_by(value, F.when(present(c), rank)).alias(f"__new_{c}")
+        if order_by:
+            return F.max_by(value, F.when(present(c), F.col(order_by))).alias(f"__new_{c}")
+        # The count guards every field, as unused fields are pruned.
+        repeated = F.raise_error(F.lit("several changes of one row need order_by"))
+        only = F.max(F.when(present(c), value))
+        return F.when(F.count(F.lit(1)) > 1, repeated.cast(only_type(c))).otherwise(only).alias(f"__new_{c}")
+
+    def only_type(c: str) -> T.StructType:
+        return T.StructType([T.StructField("value", table.schema[c].dataType)])
 
     # A NULL struct means the field is absent; a struct of NULL sets NULL.
     patch = changes.groupBy(*keys).agg(*[last_set(c) for c in fields])
@@ -111,7 +121,8 @@ def apply_updates(
         new = F.col(f"__new_{c}")
         return F.when(may_change & new.isNotNull(), new["value"]).otherwise(F.col(c)).alias(c)
 
-    return joined.select(*[updated(c) for c in table.columns])
+    result = joined.select(*[updated(c) for c in table.columns])
+    return keep_year(result) if "date" in fields else result
 
 
 def apply_deletes(table: DataFrame, deleted: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -142,7 +153,9 @@ def _deletable(categories: DataFrame, deleted: DataFrame) -> DataFrame:
 
 def delete_categories(categories: DataFrame, deleted: DataFrame) -> DataFrame:
     """M4: deletes that leave default categories alone, as an unknown flag does."""
-    return categories.join(_deletable(categories, deleted).select("id"), "id", "left_anti")
+    asked = deleted.select(*[F.col(k).alias(f"__{k}") for k in KEYS])
+    own = (F.col("id") == F.col("__id")) & (F.col("user_id") == F.col("__user_id"))
+    return categories.join(asked, own & ~F.col("is_default"), "left_anti")
 
 
 def category_changes_guarded(
@@ -158,24 +171,35 @@ def delete_categories_set_null(ledger: Ledger, deleted: DataFrame) -> Ledger:
     Ids of deleted categories are unique, so the left join keeps row counts; a
     category with much of the rows is split by adaptive execution.
     """
-    gone = _deletable(ledger.categories, deleted).select(
-        F.col("id").alias("category_id"), F.lit(True).alias("__gone")
-    )
-
-    def detached(table: DataFrame) -> DataFrame:
-        kept = F.when(F.col("__gone").isNull(), F.col("category_id"))
-        joined = table.join(gone, "category_id", "left")
-        return joined.withColumn("category_id", kept).select(*table.columns)
-
+    gone = _deletable(ledger.categories, deleted).select("id")
     referring = ("transactions", *SCHEDULES)
     return ledger.with_tables(
         categories=delete_categories(ledger.categories, deleted),
-        **{name: detached(getattr(ledger, name)) for name in referring},
+        **{name: _detached(getattr(ledger, name), gone) for name in referring},
     )
 
 
+def _detached(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """``table`` with references to the categories of ``gone`` (ids) set to NULL."""
+    marked = gone.select(F.col("id").alias("category_id"), F.lit(True).alias("__gone"))
+    kept = F.when(F.col("__gone").isNull(), F.col("category_id"))
+    joined = table.join(marked, "category_id", "left")
+    return joined.withColumn("category_id", kept).select(*table.columns)
+
+
 def delete_profiles_cascade(ledger: Ledger, users: DataFrame) -> Ledger:
-    """M6: delete the profiles of ``users`` and everything they own."""
+    """M6: delete the profiles of ``users`` and everything they own.
+
+    Rows of other users that refer to a deleted category become uncategorised.
+    """
+    owners = users.select("user_id").distinct()
+    gone = ledger.categories.join(owners, "user_id", "left_semi").select("id")
+    left = _owned_by_others(ledger, users)
+    referring = ("transactions", *SCHEDULES)
+    return left.with_tables(**{name: _detached(getattr(left, name), gone) for name in referring})
+
+
+def _owned_by_others(ledger: Ledger, users: DataFrame) -> Ledger:
     return ledger.with_tables(
         **{
             name: apply_deletes(

@@ -1,8 +1,8 @@
 """Filtered listings with the category embedded as a struct.
 
-Listings are ordered as documented, users first.  The order is a range shuffle
-over all sort keys, so a user with many rows is spread over several tasks; pass
-``ordered=False`` to skip it.  Joining rows to categories is a plain join of two
+One user's listing is ordered as documented; one of all users is not unless
+``ordered=True``: then users come first, by a range shuffle over all sort keys,
+so a user with many rows is spread over several tasks.  Joining rows to categories is a plain join of two
 scans: a category (or the missing one) holding much of the rows is split by
 adaptive execution.
 """
@@ -55,22 +55,26 @@ def _ordered(df: DataFrame, ordered: bool, *order: Column) -> DataFrame:
     return df.orderBy("user_id", *order) if ordered else df
 
 
+def _default(ordered: bool | None, user_id: object | None) -> bool:
+    return user_id is not None if ordered is None else ordered
+
+
 def list_transactions(
-    ledger: Ledger, user_id: object | None = None, ordered: bool = True
+    ledger: Ledger, user_id: object | None = None, ordered: bool | None = None
 ) -> DataFrame:
     """L1: transactions with category, latest first."""
     rows = embed_category(_mine(ledger.transactions, user_id), ledger.categories)
-    return _ordered(rows, ordered, F.desc("date"), F.desc("id"))
+    return _ordered(rows, _default(ordered, user_id), F.desc("date"), F.desc("id"))
 
 
 def list_transactions_by_date(
-    ledger: Ledger, day: date, user_id: object | None = None, ordered: bool = True
+    ledger: Ledger, day: date, user_id: object | None = None, ordered: bool | None = None
 ) -> DataFrame:
     """L2: transactions of one day with category, last created first."""
     rows = within(_mine(ledger.transactions, user_id), (day, day + timedelta(days=1)))
     created = [F.desc_nulls_first("created_at")] if "created_at" in rows.columns else []
     rows = embed_category(rows, ledger.categories)
-    return _ordered(rows, ordered, *created, F.desc("id"))
+    return _ordered(rows, _default(ordered, user_id), *created, F.desc("id"))
 
 
 def lookup_by_key(
@@ -90,20 +94,20 @@ def list_categories(
     return rows if kind is None else rows.where(F.col("type") == kind)
 
 
-def list_goals(ledger: Ledger, user_id: object | None = None, ordered: bool = True) -> DataFrame:
+def list_goals(ledger: Ledger, user_id: object | None = None, ordered: bool | None = None) -> DataFrame:
     """Goals by deadline, those without one last."""
     rows = _mine(ledger.financial_goals, user_id)
-    return _ordered(rows, ordered, F.asc_nulls_last("deadline"), F.asc("id"))
+    return _ordered(rows, _default(ordered, user_id), F.asc_nulls_last("deadline"), F.asc("id"))
 
 
 def list_schedules(
-    ledger: Ledger, table: str, user_id: object | None = None, ordered: bool = True
+    ledger: Ledger, table: str, user_id: object | None = None, ordered: bool | None = None
 ) -> DataFrame:
     """One kind of schedule with category, largest amount first."""
     if table not in SCHEDULES:
         raise ValueError(f"table must be one of {tuple(SCHEDULES)}, got {table!r}")
     rows = embed_category(_mine(getattr(ledger, table), user_id), ledger.categories)
-    return _ordered(rows, ordered, F.desc("amount"), F.asc("id"))
+    return _ordered(rows, _default(ordered, user_id), F.desc("amount"), F.asc("id"))
 
 
 def get_profiles(

@@ -1,7 +1,7 @@
 """Validation of raw rows and integrity checks of stored tables.
 
 Raw rows are text, as received.  A missing field is NULL; '' is a given value.
-Validators add typed values and an array of errors in one projection, without
+Validators add an array of errors, and ``typed_*`` gives valid rows their types, each in one projection, without
 a shuffle and without Python code per row.
 """
 
@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.model import (
     AMOUNT,
@@ -72,6 +73,14 @@ ERRORS = "errors"
 # --- predicates on text ----------------------------------------------------
 
 
+# Fixed value: what trimming takes off, Unicode spaces and the byte order mark too.
+SPACES = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+
+
+def trimmed(column: str) -> Column:
+    return F.regexp_replace(column, f"^{SPACES}|{SPACES}$", "")
+
+
 def is_number(text: Column) -> Column:
     return text.rlike(NUMBER)
 
@@ -160,7 +169,7 @@ def validate_goals(raw: DataFrame) -> DataFrame:
             "user_id": F.length("user_id") > 0,
         },
     )
-    return checked.withColumn("name", F.trim("name"))
+    return checked.withColumn("name", trimmed("name"))
 
 
 def _schedule_checks() -> dict[str, Column]:
@@ -177,7 +186,7 @@ def _schedule_checks() -> dict[str, Column]:
 def validate_schedules(raw: DataFrame) -> DataFrame:
     """V3: raw fixed costs or periodic income, notes trimmed, with ``errors``."""
     checked = _with_errors(raw, SCHEDULE_MESSAGES, _schedule_checks())
-    return checked.withColumn("note", F.trim("note"))
+    return checked.withColumn("note", trimmed("note"))
 
 
 def validate_investments(raw: DataFrame) -> DataFrame:
@@ -193,10 +202,44 @@ def validate_investments(raw: DataFrame) -> DataFrame:
         "investment_type": F.length("investment_type") > 0,
     }
     return _with_errors(raw, SCHEDULE_MESSAGES, checks).withColumns(
-        {"note": F.trim("note"), "investment_type": F.trim("investment_type")}
+        {"note": trimmed("note"), "investment_type": trimmed("investment_type")}
+    )
+
+
+def _flag(field: str) -> Column:
+    return F.when(F.col(field).isin("true", "1"), True).when(F.col(field).isin("false", "0"), False)
+
+
+def typed_goals(valid: DataFrame) -> DataFrame:
+    """Valid raw goals with amounts and deadline in their types."""
+    return valid.withColumns(
+        {
+            "target_amount": F.col("target_amount").cast(AMOUNT),
+            "current_amount": F.col("current_amount").cast(AMOUNT),
+            "deadline": iso_date(F.col("deadline")),
+        }
     )
 
 
+def typed_schedules(valid: DataFrame) -> DataFrame:
+    """Valid raw schedules of any kind with typed fields and declared frequencies."""
+    frequency = F.col("frequency")
+    for other, name in FREQUENCY_ALIASES.items():
+        frequency = F.when(frequency == other, name).otherwise(frequency)
+    typed = valid.withColumns(
+        {
+            "amount": F.col("amount").cast(AMOUNT),
+            "frequency": frequency,
+            "start_date": iso_date(F.col("start_date")),
+            "end_date": iso_date(F.col("end_date")),
+            "is_active": _flag("is_active"),
+        }
+    )
+    if "expected_return_rate" in typed.columns:
+        typed = typed.withColumn("expected_return_rate", F.col("expected_return_rate").cast(RATE))
+    return typed
+
+
 # --- integrity of stored tables --------------------------------------------
 
 _REQUIRED = {
@@ -219,9 +262,14 @@ _AMOUNTS = {
     "financial_goals": ("target_amount", "current_amount"),
     **{t: ("amount",) for t in SCHEDULES},
 }
+_AMOUNTS["fixed_investments"] = ("amount", "expected_return_rate")
 _CATEGORISED = ("transactions", *SCHEDULES)
 
 
+def _range_type(column: str) -> T.DataType:
+    return RATE if column == "expected_return_rate" else AMOUNT
+
+
 def _violations(table: str, ids: DataFrame, rule: str) -> DataFrame:
     return ids.select(
         F.lit(table).alias("table_name"),
@@ -239,27 +287,42 @@ def _row_rules(table: str) -> list[Column]:
         for c, values in _DOMAINS.get(table, {}).items()
     ]
     return rules + [
-        F.when(F.col(c).isNotNull() & F.col(c).try_cast(AMOUNT).isNull(), f"{c} range")
+        F.when(F.col(c).isNotNull() & F.col(c).try_cast(_range_type(c)).isNull(), f"{c} range")
         for c in _AMOUNTS.get(table, ())
     ]
 
 
-def _orphans(child: DataFrame, column: str, parents: DataFrame) -> DataFrame:
-    """Rows whose reference points nowhere."""
-    known = parents.select(F.col("id").alias(column))
-    given = child.where(F.col(column).isNotNull()).select("id", column)
-    return given.join(known, column, "left_anti")
+def _with_known(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
+    """Marks rows whose reference exists, in a join that splits skewed keys.
+
+    As in ``functions.skew``, joining on a struct keeps the planner from reusing the
+    partitioning of the distinct keys.
+    """
+    key, mark = f"__key_{column}", f"__known_{column}"
+    known = parents.select("id").distinct().select(F.struct("id").alias(key), F.lit(True).alias(mark))
+    given = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("id")))
+    return rows.withColumn(key, given).join(known, key, "left").drop(key)
 
 
 def check_constraints(ledger: Ledger) -> DataFrame:
     """V5: every violated constraint as (table_name, rule, row_id).
 
-    Duplicate keys are counted with map-side combining and reported once.
+    Each table is read twice: once for the rules of single rows and its references
+    together, once for keys, which are counted with map-side combining and reported
+    once.
     """
     found = []
     for name, table in ledger.tables().items():
-        broken = F.filter(F.array(*_row_rules(name)), lambda r: r.isNotNull())
-        rows = table.select("id", F.explode(broken).alias("rule"))
+        parents = {} if name == "profiles" else {"user_id": ledger.profiles}
+        if name in _CATEGORISED:
+            parents["category_id"] = ledger.categories
+        rules, rows = _row_rules(name), table
+        for column, parent in parents.items():
+            rows = _with_known(rows, column, parent)
+            orphan = F.col(column).isNotNull() & F.col(f"__known_{column}").isNull()
+            rules.append(F.when(orphan, f"{column} reference"))
+        broken = F.filter(F.array(*rules), lambda r: r.isNotNull())
+        rows = rows.select("id", F.explode(broken).alias("rule"))
         found.append(
             rows.select(
                 F.lit(name).alias("table_name"),
@@ -269,13 +332,6 @@ def check_constraints(ledger: Ledger) -> DataFrame:
         )
         repeated = table.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
         found.append(_violations(name, repeated, "id unique"))
-        if name != "profiles":
-            found.append(
-                _violations(name, _orphans(table, "user_id", ledger.profiles), "user_id reference")
-            )
-        if name in _CATEGORISED:
-            orphans = _orphans(table, "category_id", ledger.categories)
-            found.append(_violations(name, orphans, "category_id reference"))
     return reduce(DataFrame.unionByName, found)
 
 

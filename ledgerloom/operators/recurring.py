@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.ids import stable_id
+from ledgerloom.functions.periods import keep_year
 from ledgerloom.model import FREQUENCY_ALIASES, MONEY, SCHEDULES, Ledger
 
 MODES = ("reference", "anchored")
@@ -208,4 +209,6 @@ def run_schedules(ledger: Ledger, as_of: date, mode: str = "anchored") -> Ledger
         ]
     )
     advanced = advance_schedules(ledger, as_of)
-    return advanced.with_tables(transactions=ledger.transactions.unionByName(recorded))
+    return advanced.with_tables(
+        transactions=ledger.transactions.unionByName(keep_year(recorded))
+    )

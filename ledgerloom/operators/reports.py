@@ -32,8 +32,6 @@ from ledgerloom.plans.ranking import (
     top_with_others,
 )
 
-# Entries per array in ``monthly_summary_nested``.
-ENTRIES_PER_PAGE = 1000
 
 
 def _of_user(df: DataFrame, user_id: object | None, column: str = "user_id") -> DataFrame:
@@ -161,51 +159,50 @@ def category_breakdown(
 
 
 def monthly_summary_nested(
-    ledger: Ledger,
-    year: int,
-    month: int,
-    user_id: object | None = None,
-    ordered: bool = False,
-    page_size: int = ENTRIES_PER_PAGE,
+    ledger: Ledger, year: int, month: int, user_id: object | None = None, ordered: bool = False
 ) -> DataFrame:
-    """Month totals with the categories as an array of objects.
+    """Month totals with each category, a row per user and category.
 
-    A user with up to ``page_size`` categories in the month gets one row.
-    Beyond that the categories are hashed over as many rows (``page``) as
-    needed, so that no array grows without bound; all pages together hold every
-    category once.
+    A user without categorised amounts has one row, with no category.  For the
+    nested object of one user see ``monthly_summary_of_user``.
     """
     rows = activity(ledger, month_period(year, month), user_id)
     totals = totals_by(rows, "user_id")
     shown = _own_amounts(ledger, rows).where(F.col("amount") > 0)
-    pages = shown.groupBy("user_id").agg(F.ceil(F.count("*") / page_size).alias("pages"))
-    paged = attach_totals(shown, pages, "user_id").withColumn(
-        "page", F.pmod(F.xxhash64("category_id"), F.col("pages")).cast("int")
-    )
-    item = F.struct(
-        (-F.col("amount")).alias("order"),
+    entries = shown.select(
+        F.col("user_id").alias("__user"),
         "category_id",
         "category_name",
         F.col("amount").alias("total_amount"),
     )
-    arrays = paged.groupBy("user_id", "page").agg(
-        F.transform(
-            F.sort_array(F.collect_list(item)),
-            lambda c: F.struct(c["category_id"], c["category_name"], c["total_amount"]),
-        ).alias("categories")
-    )
-    # Few rows per user on either side from here on: one per page.
-    report = totals.join(arrays, "user_id", "left").select(
+    report = totals.join(entries, F.col("user_id") == F.col("__user"), "left").select(
         "user_id",
-        F.coalesce("page", F.lit(0)).alias("page"),
         F.col("income").alias("total_income"),
         F.col("expense").alias("total_expense"),
         (F.col("income") - F.col("expense")).cast(MONEY).alias("net_savings"),
-        F.coalesce("categories", F.array().cast(arrays.schema["categories"].dataType)).alias(
-            "categories"
-        ),
+        "category_id",
+        "category_name",
+        "total_amount",
+    )
+    return _arranged(report, user_id, ordered, F.desc("total_amount"), "category_id")
+
+
+def monthly_summary_of_user(ledger: Ledger, year: int, month: int, user_id: object) -> DataFrame:
+    """D4 for one given user: one row with the categories as an array, largest first.
+
+    The array has an entry for each of that user's categories in the month.
+    """
+    rows = monthly_summary_nested(ledger, year, month, user_id)
+    item = F.struct(
+        (-F.col("total_amount")).alias("order"), "category_id", "category_name", "total_amount"
+    )
+    entries = F.collect_list(F.when(F.col("category_id").isNotNull(), item))
+    return rows.groupBy("user_id", "total_income", "total_expense", "net_savings").agg(
+        F.transform(
+            F.sort_array(entries),
+            lambda c: F.struct(c["category_id"], c["category_name"], c["total_amount"]),
+        ).alias("categories")
     )
-    return _arranged(report, user_id, ordered, "page")
 
 
 # --- one year --------------------------------------------------------------

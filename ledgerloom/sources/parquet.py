@@ -8,6 +8,8 @@ date and id, which bucketing by user could not do.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from ledgerloom.model import SCHEMAS, Ledger
 from ledgerloom.plans.activity import activity, monthly_rollup
 
 ROLLUP = "monthly_activity"
+VERSION = "version"  # of the tables; the rollup keeps the one it was made from
 
 
 def _write_by_year(df: DataFrame, path: str, cluster: list[str]) -> None:
@@ -32,7 +35,10 @@ def _write_by_year(df: DataFrame, path: str, cluster: list[str]) -> None:
 
 
 def write_ledger(ledger: Ledger, root: str) -> None:
-    """Store all tables.  ``root`` must not be where the ledger is read from."""
+    """Store all tables.  ``root`` must not be where the ledger is read from.
+
+    The tables get a new version last, so a rollup of older tables is known as stale.
+    """
     for name, table in ledger.tables().items():
         path = f"{root}/{name}"
         if name == "transactions":
@@ -44,12 +50,27 @@ def write_ledger(ledger: Ledger, root: str) -> None:
                 "user_id", "id"
             )
             clustered.write.mode("overwrite").parquet(path)
+    spark = ledger.profiles.sparkSession
+    _write_version(spark, f"{root}/{VERSION}", uuid.uuid4().hex)
+
+
+def _write_version(spark: SparkSession, path: str, version: str) -> None:
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _version(spark: SparkSession, path: str) -> str:
+    return spark.read.schema("version string").parquet(path).first()["version"]
 
 
 def write_rollup(ledger: Ledger, root: str) -> None:
-    """Store the monthly rollup of the transactions next to the tables."""
+    """Store the monthly rollup of the transactions next to the tables in ``root``.
+
+    ``ledger`` has to be what is stored there.
+    """
     rows = activity(ledger.with_tables(transactions=ledger.transactions))
     _write_by_year(monthly_rollup(rows), f"{root}/{ROLLUP}", ["user_id", "date", "category_id"])
+    spark = ledger.profiles.sparkSession
+    _write_version(spark, f"{root}/{ROLLUP}_{VERSION}", _version(spark, f"{root}/{VERSION}"))
 
 
 def read_ledger(
@@ -57,7 +78,8 @@ def read_ledger(
 ) -> Ledger:
     """Open a stored ledger with its declared schema; nothing is inferred.
 
-    ``id_type`` is for ledgers whose ids are not UUID strings.
+    ``id_type`` is for ledgers whose ids are not UUID strings.  ``rollup`` raises if
+    the tables were written again after the rollup.
     """
     id_type = id_type or T.StringType()
 
@@ -75,6 +97,8 @@ def read_ledger(
 
     tables = {name: table(name, schema) for name, schema in SCHEMAS.items()}
     if rollup:
+        if _version(spark, f"{root}/{VERSION}") != _version(spark, f"{root}/{ROLLUP}_{VERSION}"):
+            raise ValueError(f"the rollup in {root} is of older tables; write it again")
         tables[ROLLUP] = table(ROLLUP, ROLLUP_SCHEMA)
     return Ledger(**tables)
 

@@ -3,8 +3,9 @@
 Each micro-batch is condensed to one row per user, category, type and month and
 written under its own ``batch_id`` directory.  A replayed batch overwrites its
 directory, so nothing is counted twice, and the work per batch grows with the
-batch, not with the history.  Reading adds up the batches; ``compact`` folds the
-finished ones into a base so that reading stays cheap.
+batch, not with the history.  Reading adds up the batches.  Every ``fold_every``
+batches the finished ones are folded into a base, so that reading stays cheap, and
+what has been folded for ``keep`` folds is deleted, so that listings stay short.
 
 A store is (root)/deltas/batch_id=N/ and (root)/base/through=N/, where a base
 covers the batches up to N.  It belongs to one streaming query: batch numbers
@@ -41,13 +42,28 @@ def write_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     totals.write.mode("overwrite").parquet(f"{root}/deltas/batch_id={batch_id}")
 
 
-def start_refresh(transactions: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start_refresh(
+    transactions: DataFrame,
+    root: str,
+    checkpoint: str,
+    fold_every: int = 60,
+    keep: int = 2,
+    **trigger,
+) -> StreamingQuery:
     """Keep ``root`` up to date with a stream of transactions.
 
+    ``root`` and ``checkpoint`` must be in storage that all executors share.
     ``trigger`` is passed on, e.g. ``availableNow=True``.
     """
+
+    def store(batch: DataFrame, n: int) -> None:
+        write_batch(batch, n, root)
+        if (n + 1) % fold_every == 0:
+            compact(batch.sparkSession, root)
+            clean(batch.sparkSession, root, keep)
+
     return (
-        transactions.writeStream.foreachBatch(lambda batch, n: write_batch(batch, n, root))
+        transactions.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger or {"processingTime": "1 minute"})
         .start()
@@ -99,8 +115,8 @@ def read_activity(spark: SparkSession, root: str, through: int | None = None) ->
 def compact(spark: SparkSession, root: str) -> int:
     """Fold all finished batches into a new base; returns the batch it covers.
 
-    Older bases and folded batches are left in place: readers that started
-    before may still use them.
+    Older bases and folded batches are left in place, as readers that started
+    before may still use them; ``clean`` deletes them later.
     """
     _, last = _parts(spark, root, None)
     if last not in _finished(spark, f"{root}/base", "through"):
@@ -110,6 +126,24 @@ def compact(spark: SparkSession, root: str) -> int:
     return last
 
 
+def clean(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Deletes bases before the last ``keep``, and the batches those already covered."""
+    bases = _finished(spark, f"{root}/base", "through")
+    if len(bases) <= keep:
+        return
+    folded = bases[-keep - 1]
+    jvm = spark.sparkContext._jvm
+    for n in (n for n in bases if n <= folded):
+        _delete(spark, jvm.org.apache.hadoop.fs.Path(f"{root}/base/through={n}"))
+    for n in _finished(spark, f"{root}/deltas", "batch_id"):
+        if n <= folded:
+            _delete(spark, jvm.org.apache.hadoop.fs.Path(f"{root}/deltas/batch_id={n}"))
+
+
+def _delete(spark: SparkSession, path) -> None:
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def monthly_totals(activity: DataFrame) -> DataFrame:
     """Totals per user, month and type; also the batch twin on plain activity."""
     return activity.groupBy("user_id", F.trunc("date", "month").alias("month"), "type").agg(

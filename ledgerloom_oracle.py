@@ -6,7 +6,20 @@ shares as windows, schedules as a recursive query, rules as CASE chains.
 
 from __future__ import annotations
 
-from ledgerloom.model import DEFAULT_CATEGORIES
+# Fixed values, kept apart from the engine's own copy: what every new user starts with.
+DEFAULT_CATEGORIES = (
+    ("Food", "expense", "fastfood", "#FF5252"),
+    ("Transportation", "expense", "directions-car", "#448AFF"),
+    ("Houseware", "expense", "home-work", "#9C27B0"),
+    ("Bills", "expense", "payments", "#FF9800"),
+    ("Shopping", "expense", "shopping-bag", "#E91E63"),
+    ("Salary", "income", "currency-exchange", "#4CAF50"),
+    ("Freelance", "income", "work", "#8BC34A"),
+    ("Bonus", "income", "money", "#CDDC39"),
+    ("Stocks", "investment", "inventory", "#795548"),
+    ("Real Estate", "investment", "domain", "#607D8B"),
+    ("Crypto", "investment", "currency-bitcoin", "#9E9E9E"),
+)
 
 AS_OF = "DATE '2001-08-01'"
 YEAR, MONTH, DAY = 1998, 3, "DATE '1998-03-15'"
@@ -75,6 +88,7 @@ schedules AS (
            WHEN 2 THEN DATE '2001-12-31' END AS end_date,
          CAST(NULL AS VARCHAR) AS note,
          CASE (p_partkey // 18) % 10 WHEN 9 THEN NULL WHEN 8 THEN false ELSE true END AS is_active,
+         CAST(NULL AS TIMESTAMP) AS created_at,
          CASE WHEN (p_partkey // 7) % 4 = 0 THEN DATE '2001-05-31' END AS last_generated_date,
          CASE WHEN (p_partkey // 5) % 3 = 2 AND (p_partkey // 10) % 4 <> 0
            THEN CAST((p_partkey % 2000) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(5,2)) END
@@ -174,11 +188,8 @@ FROM per_category WHERE amount > 0"""
 
 def _monthly_summary() -> str:
     return f"""{_with(CATEGORIES, TRANSACTIONS, MONTH_TOTALS, MONTH_SHARES)}
-SELECT m.user_id, 0 AS page, income AS total_income, expense AS total_expense,
-       {_money("income - expense")} AS net_savings,
-       CASE WHEN p.category_id IS NOT NULL THEN CAST(row_number() OVER (
-         PARTITION BY m.user_id ORDER BY amount DESC, p.category_id) - 1 AS INTEGER) END AS position,
-       p.category_id, p.category_name, p.amount AS total_amount
+SELECT m.user_id, income AS total_income, expense AS total_expense,
+       {_money("income - expense")} AS net_savings, p.category_id, p.category_name, p.amount AS total_amount
 FROM month_totals m
 LEFT JOIN (SELECT * FROM per_category WHERE amount > 0) p ON p.user_id = m.user_id"""
 
@@ -215,13 +226,15 @@ def _running(kind: str) -> str:
     )
 
 
-def _annual_report(year: int) -> str:
+def _annual_report(year: int, changed: str = "transactions") -> str:
+    """``changed``: what to report on in place of the transactions."""
     amounts = ", ".join(f"{_money(f'coalesce(x.{k}, 0)')} AS {k}_amount" for k in KINDS)
     running = ", ".join(f"{_running(k)} AS running_{k}_total" for k in KINDS)
     full = ", ".join(
         f"{_money(f'coalesce(y.{k}, 0)')} AS year_to_date_{k}_total" for k in KINDS
     )
-    return f"""{_with(PROFILES, TRANSACTIONS, _year_parts(year))}
+    parts = _year_parts(year).replace("FROM transactions", f"FROM {changed}")
+    return f"""{_with(PROFILES, TRANSACTIONS, parts)}
 SELECT u.user_id, s.m AS month_number, {_month_name("s.m")} AS month_name,
        {amounts}, {running}, {full}
 FROM (SELECT id AS user_id FROM profiles) u CROSS JOIN {MONTHS} s
@@ -390,8 +403,8 @@ FROM hashed"""
 
 def _advance() -> str:
     return f"""{_with(SCHEDULES)}
-SELECT schedule, id, is_active, end_date,
-       CASE WHEN {ELIGIBLE} THEN {AS_OF} ELSE last_generated_date END AS last_generated_date
+SELECT schedule, id, user_id, category_id, amount, frequency, start_date, end_date, note, is_active,
+       created_at, CASE WHEN {ELIGIBLE} THEN {AS_OF} ELSE last_generated_date END AS last_generated_date
 FROM schedules"""
 
 
@@ -433,11 +446,35 @@ def _append() -> str:
     return f"""{_with(TRANSACTIONS)}
 SELECT {ROW} FROM transactions
 UNION ALL
-SELECT id + 10000000, user_id, category_id, amount, NULL,
+SELECT -id, user_id, category_id, amount, NULL,
        CASE WHEN id % 2 = 0 THEN date ELSE {AS_OF} END, type, NULL
 FROM transactions WHERE id % 17 = 0"""
 
 
+def _append_then_report() -> str:
+    added = f"""(SELECT user_id, amount, type, date FROM transactions UNION ALL
+       SELECT user_id, amount, type, CASE WHEN id % 2 = 0 THEN date ELSE {AS_OF} END
+       FROM transactions WHERE id % 17 = 0)"""
+    return _annual_report(YEAR, added)
+
+
+def _update_date_then_report() -> str:
+    moved = """(SELECT * REPLACE (CASE WHEN id % 11 = 0
+       THEN CAST(date + INTERVAL 12 MONTH AS DATE) ELSE date END AS date) FROM transactions)"""
+    return _annual_report(YEAR, moved)
+
+
+def _run_then_report() -> str:
+    due = _expand(None, anchored=True)
+    report = _annual_report(2000, "(SELECT user_id, amount, type, date FROM transactions UNION ALL"
+                            " SELECT CAST(user_id AS BIGINT), amount, type, date FROM due)")
+    head, tail = report.split(",\nmonthly AS", 1)
+    return (
+        f"{head.replace('WITH', 'WITH due AS (' + due + '),', 1)},\nmonthly AS{tail}"
+        .replace("SELECT u.user_id, s.m AS month_number", "SELECT CAST(u.user_id AS VARCHAR) AS user_id, s.m AS month_number")
+    )
+
+
 def _update() -> str:
     hit = "id % 11 = 0 AND id % 33 <> 0"
     return f"""{_with(TRANSACTIONS)}
@@ -460,20 +497,26 @@ def _set_null() -> str:
     kept = "CASE WHEN category_id IN (SELECT id FROM kept) THEN category_id END AS category_id"
     return f"""{_with(CATEGORIES, TRANSACTIONS, SCHEDULES)},
 kept AS (SELECT id FROM categories WHERE {KEEPERS})
-SELECT 'transactions' AS table_name, id, {kept} FROM transactions
-UNION ALL SELECT schedule, id, {kept} FROM schedules"""
+SELECT 'transactions' AS table_name, id, user_id, {kept}, amount FROM transactions
+UNION ALL SELECT schedule, id, user_id, {kept}, amount FROM schedules
+UNION ALL SELECT 'categories', id, user_id, NULL, NULL FROM categories WHERE {KEEPERS}"""
 
 
 def _cascade() -> str:
     stay = f"NOT IN ({_segment('HOUSEHOLD')})"
     owned = "\n".join(
-        f"UNION ALL SELECT '{t}', id, user_id FROM {t} WHERE user_id {stay}"
-        for t in ("categories", "transactions", "financial_goals")
+        f"UNION ALL SELECT '{t}', id, user_id, NULL FROM {t} WHERE user_id {stay}"
+        for t in ("categories", "financial_goals")
     )
-    return f"""{_with(PROFILES, CATEGORIES, TRANSACTIONS, GOALS, SCHEDULES)}
-SELECT 'profiles' AS table_name, id, id AS user_id FROM profiles WHERE id {stay}
+    # Every seventh row refers to the next user's category.
+    refers = "CASE WHEN id % 7 = 0 THEN category_id + 100 ELSE category_id END"
+    left = f"CASE WHEN {refers} NOT IN (SELECT id FROM lost) THEN {refers} END"
+    return f"""{_with(PROFILES, CATEGORIES, TRANSACTIONS, GOALS, SCHEDULES)},
+lost AS (SELECT id FROM categories WHERE NOT (user_id {stay}))
+SELECT 'profiles' AS table_name, id, id AS user_id, NULL AS category_id FROM profiles WHERE id {stay}
 {owned}
-UNION ALL SELECT schedule, id, user_id FROM schedules WHERE user_id {stay}"""
+UNION ALL SELECT 'transactions', id, user_id, {left} FROM transactions WHERE user_id {stay}
+UNION ALL SELECT schedule, id, user_id, {left} FROM schedules WHERE user_id {stay}"""
 
 
 DEFAULTS = (
@@ -494,16 +537,18 @@ FROM hashed"""
 def _onboard() -> str:
     return f"""{_with(PROFILES, CATEGORIES)},
 fresh AS (SELECT * FROM customer WHERE CAST(c_acctbal AS DECIMAL(12,2)) >= 0)
-SELECT id AS user_id, 'profile' AS row_kind, name, email AS detail, currency AS label,
+SELECT CAST(id AS VARCHAR) AS id, id AS user_id, 'profile' AS row_kind, name, email AS detail, currency AS label,
        CAST(initial_balance AS VARCHAR) AS value
 FROM profiles WHERE initial_balance < 0
 UNION ALL
-SELECT c_custkey, 'profile', CASE WHEN c_nationkey > 4 THEN c_name ELSE '' END,
+SELECT CAST(c_custkey AS VARCHAR), c_custkey, 'profile', CASE WHEN c_nationkey > 4 THEN c_name ELSE '' END,
        lower(c_mktsegment) || '@example.org', 'USD', '0.00' FROM fresh
 UNION ALL
-SELECT user_id, 'category', name, type, icon, color FROM categories
+SELECT CAST(id AS VARCHAR), user_id, 'category', name, type, icon, color FROM categories
 UNION ALL
-SELECT c_custkey, 'category', name, type, icon, color FROM fresh, {DEFAULTS}"""
+SELECT concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)),
+       c_custkey, 'category', name, type, icon, color
+FROM (SELECT *, md5(concat_ws('|', c_custkey, 'default', type, name)) AS h FROM fresh, {DEFAULTS})"""
 
 
 def _balances() -> str:
@@ -523,11 +568,36 @@ def _insert_goals() -> str:
     return f"""{_with(GOALS)}
 SELECT * FROM financial_goals
 UNION ALL
-SELECT id + 10000000, user_id, 'Rainy days', target_amount,
+SELECT -id, user_id, 'Rainy days', target_amount,
        CASE WHEN current_amount > 5000 THEN current_amount ELSE 0 END, NULL, 'in_progress'
 FROM financial_goals"""
 
 
+def _other_updates() -> str:
+    return f"""{_with(PROFILES, GOALS, SCHEDULES)}
+SELECT 'profiles' AS table_name, id, CASE WHEN id % 3 = 1 THEN 'renamed' ELSE name END AS name,
+       CASE WHEN id % 2 = 0 THEN '0.00' ELSE CAST(initial_balance AS VARCHAR) END AS value
+FROM profiles
+UNION ALL
+SELECT 'financial_goals', id, CASE WHEN id % 5 = 0 THEN 'cancelled' ELSE status END,
+       CASE WHEN id % 5 <> 0 THEN CAST(deadline AS VARCHAR) END
+FROM financial_goals
+UNION ALL
+SELECT schedule, id, CASE WHEN id % 4 = 0 THEN 'paused' ELSE note END,
+       CASE WHEN id % 4 = 0 THEN 'false' ELSE CAST(is_active AS VARCHAR) END
+FROM schedules"""
+
+
+def _insert_valid_schedules() -> str:
+    return f"""{_with(SCHEDULES)},
+costs AS (SELECT * FROM schedules WHERE schedule = 'fixed_costs')
+SELECT id, user_id, amount, frequency, start_date, end_date, note, is_active FROM costs
+UNION ALL
+SELECT -id, 1, amount, frequency, start_date, end_date, CASE WHEN id % 9 = 8 THEN 'rent' END,
+       coalesce(is_active, true)
+FROM costs WHERE id % 9 IN (0, 6, 8)"""
+
+
 # --- quality ---------------------------------------------------------------
 
 NUMBER = r"^[+-]?([0-9]*[.])?[0-9]+$"
@@ -545,13 +615,46 @@ def _below(column: str, low: str) -> str:
     return f"NOT coalesce(TRY_CAST({column} AS DOUBLE) >= {low}, false)"
 
 
-def _verdict(rules: dict[str, str], *shown: str) -> str:
+# Messages of broken rules, by field.
+TRANSACTION_MESSAGES = {
+    "amount": "Amount must be a number",
+    "type": "Invalid transaction type",
+    "date": "Invalid date format",
+    "category_id": "Invalid category ID",
+}
+GOAL_MESSAGES = {
+    "name": "Name is required",
+    "target_amount": "Target amount must be greater than 0",
+    "current_amount": "Current amount must be 0 or greater",
+    "deadline": "Deadline must be a valid date",
+    "status": "Invalid status",
+    "user_id": "User ID is required",
+}
+SCHEDULE_MESSAGES = {
+    "amount": "Amount must be greater than 0",
+    "frequency": "Invalid frequency",
+    "start_date": "Start date must be a valid date",
+    "end_date": "End date must be a valid date",
+    "category_id": "Category ID must be a valid UUID",
+    "is_active": "Is active must be a boolean",
+    "expected_return_rate": "Expected return rate must be a valid percentage",
+    "investment_type": "Investment type is required",
+}
+
+
+def _verdict(rules: dict[str, str], messages: dict[str, str], *shown: str) -> str:
     """``rules``: field -> condition under which it is wrong (NULL: fine)."""
-    fields = "concat_ws(',', " + ", ".join(
-        f"CASE WHEN {wrong} THEN '{field}' END" for field, wrong in rules.items()
-    ) + ")"
+
+    def listed(separator: str, names: dict[str, str]) -> str:
+        cases = (f"CASE WHEN {wrong} THEN '{names[field]}' END" for field, wrong in rules.items())
+        return f"concat_ws('{separator}', {', '.join(cases)})"
+
+    fields = listed(",", {field: field for field in rules})
     columns = "".join(f"{c}, " for c in shown)
-    return f"SELECT id, {columns}{fields} = '' AS is_valid, {fields} AS error_fields FROM raw"
+    return (
+        f"SELECT id, {columns}{fields} = '' AS is_valid, {fields} AS error_fields,"
+        f" {listed('; ', messages)} AS messages FROM raw"
+    )
 
 
 def _uuid_text(number: str) -> str:
@@ -574,7 +677,7 @@ raw AS (
         "date": _bad_date("date"),
         "category_id": f"NOT regexp_matches(category_id, '{UUID}')",
     }
-    return f"{_with(TRANSACTIONS, raw)}\n{_verdict(rules)}"
+    return f"{_with(TRANSACTIONS, raw)}\n{_verdict(rules, TRANSACTION_MESSAGES)}"
 
 
 def _validate_goals() -> str:
@@ -597,7 +700,7 @@ raw AS (
         "status": "status NOT IN ('in_progress', 'completed', 'cancelled')",
         "user_id": "user_id = ''",
     }
-    return f"{_with(GOALS, raw)}\n{_verdict(rules, 'name')}"
+    return f"{_with(GOALS, raw)}\n{_verdict(rules, GOAL_MESSAGES, 'name')}"
 
 
 RAW_SCHEDULES = f"""
@@ -720,6 +823,7 @@ ORACLE: dict[str, str] = {
     "list_transactions_by_date": _list_transactions(f"date = {DAY}"),
     "lookup_by_key": _lookup(),
     "list_categories": f"{_with(CATEGORIES)}\nSELECT * FROM categories WHERE type = 'expense'",
+    "list_all_categories": f"{_with(CATEGORIES)}\nSELECT * FROM categories",
     "list_goals": f"{_with(GOALS)}\nSELECT * FROM financial_goals",
     "list_schedules": _list_schedules(),
     "get_profiles": f"{_with(PROFILES)}\nSELECT * FROM profiles"
@@ -736,13 +840,21 @@ ORACLE: dict[str, str] = {
     "onboard_users": _onboard(),
     "update_initial_balances": _balances(),
     "insert_with_defaults": _insert_goals(),
+    "update_other_tables": _other_updates(),
+    "insert_valid_schedules": _insert_valid_schedules(),
+    "append_then_annual_report": _append_then_report(),
+    "update_date_then_annual_report": _update_date_then_report(),
+    "run_schedules_then_report": _run_then_report(),
+    "all_time_balance_stored": _all_time_balance(),
+    "all_time_balance_rollup": _all_time_balance(),
+    "top_categories_rollup": _top_all_time(),
     "validate_transactions": _validate_transactions(),
     "validate_goals": _validate_goals(),
     "validate_schedules": f"{_with(SCHEDULES, RAW_SCHEDULES)}\n"
-    + _verdict(SCHEDULE_RULES, "note")
+    + _verdict(SCHEDULE_RULES, SCHEDULE_MESSAGES, "note")
     + " WHERE schedule IN ('fixed_costs', 'periodic_income')",
     "validate_investments": f"{_with(SCHEDULES, RAW_SCHEDULES)}\n"
-    + _verdict(INVESTMENT_RULES, "investment_type")
+    + _verdict(INVESTMENT_RULES, SCHEDULE_MESSAGES, "investment_type")
     + " WHERE schedule = 'fixed_investments'",
     "check_constraints": _check_constraints(),
     "warn_inconsistencies": _warn(),

@@ -1,9 +1,10 @@
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import changes
+from ledgerloom.operators import changes, quality
 from small import category, ledger, profile, rows, schedule, table, transaction
 
 AS_OF = date(2024, 6, 30)
@@ -198,3 +199,40 @@ def test_change_and_inverse(spark):
         changes.apply_updates(before, raised), before.select("id", "user_id", "amount")
     )
     assert sorted(rows(undone), key=str) == sorted(rows(before), key=str)
+
+
+def test_repeated_changes_without_an_order_raise(spark):
+    book = ledger(spark, transactions=[transaction(1, "u", "expense", 1, "2024-01-01")])
+    twice = spark.createDataFrame([("1", "u", 5, 1), ("1", "u", 3, 2)], "id string, user_id string, amount int, at int")
+    with pytest.raises(Exception, match="order_by"):
+        changes.apply_updates(book.transactions, twice.drop("at")).collect()
+    last = changes.apply_updates(book.transactions, twice, order_by="at")
+    assert rows(last, "amount") == [("3.00",)]
+
+
+def test_cascade_detaches_rows_of_others(spark):
+    book = ledger(
+        spark,
+        profiles=[profile("gone"), profile("stays")],
+        categories=[category("g", "gone", "expense"), category("s", "stays", "expense")],
+        transactions=[
+            transaction(1, "gone", "expense", 1, "2024-01-01", "g"),
+            transaction(2, "stays", "expense", 1, "2024-01-01", "g"),
+            transaction(3, "stays", "expense", 1, "2024-01-01", "s"),
+        ],
+        fixed_costs=[schedule("f", "stays", 1, "monthly", "2024-01-01", category_id="g")],
+    )
+    users = spark.createDataFrame([("gone",), ("gone",)], "user_id string")
+    left = changes.delete_profiles_cascade(book, users)
+    assert sorted(rows(left.transactions, "id", "category_id")) == [("2", None), ("3", "s")]
+    assert rows(left.fixed_costs, "id", "category_id") == [("f", None)]
+    assert quality.check_constraints(left).count() == 0
+
+
+def test_generated_ids_need_text(spark):
+    from ledgerloom.functions.ids import stable_id
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    with pytest.raises(ValueError, match="text ids"):
+        stable_id(F.lit(1), id_type=T.LongType())

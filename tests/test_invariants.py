@@ -47,5 +47,7 @@ def test_last_balance(book):
 
 
 def test_anchored_run_twice_adds_nothing(book):
+    texts = book.transactions.withColumn("id", F.col("id").cast("string"))
+    book = book.with_tables(transactions=texts)
     once = recurring.advance_schedules(book, AS_OF)
     assert recurring.expand_all_schedules(once, AS_OF, "anchored").count() == 0

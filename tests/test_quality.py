@@ -140,3 +140,30 @@ def test_warnings(spark):
         ("transactions", "category of another user", "2"),
         ("transactions", "type differs from category", "1"),
     ]
+
+
+def test_all_white_space_is_trimmed_and_rows_are_typed(spark):
+    raw = spark.createDataFrame(
+        [("1", "u", "\t\u00a0Trip\n\ufeff", "10.50", None, "2024-02-03", "in_progress")],
+        "id string, user_id string, name string, target_amount string, current_amount string, deadline string, status string",
+    )
+    valid, rejected = quality.split(quality.validate_goals(raw))
+    (goal,) = quality.typed_goals(valid).collect()
+    assert rejected.count() == 0
+    assert (goal.name, str(goal.target_amount), goal.current_amount, str(goal.deadline)) == ("Trip", "10.50", None, "2024-02-03")
+    cost = spark.createDataFrame(
+        [("1", "7", "yearly", "2024-01-31", None, None, "1", " \trent\n", "8.5", "Stocks")],
+        "id string, amount string, frequency string, start_date string, end_date string, category_id string,"
+        " is_active string, note string, expected_return_rate string, investment_type string",
+    )
+    valid, _ = quality.split(quality.validate_investments(cost))
+    (row,) = quality.typed_schedules(valid).collect()
+    assert (str(row.amount), row.frequency, str(row.start_date), row.is_active, row.note, str(row.expected_return_rate)) == (
+        "7.00", "annually", "2024-01-31", True, "rent", "8.50")
+
+
+def test_rates_out_of_range_are_found(spark):
+    book = ledger(spark, profiles=[profile("u")], fixed_investments=[schedule("f", "u", 1, "monthly", "2024-01-01")])
+    wide = book.fixed_investments.withColumn("expected_return_rate", F.lit("1000.00").cast("decimal(8,2)"))
+    found = quality.check_constraints(book.with_tables(fixed_investments=wide))
+    assert rows(found) == [("fixed_investments", "expected_return_rate range", "f")]

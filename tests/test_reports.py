@@ -303,22 +303,48 @@ def test_documented_reports(spark):
     ]
     breakdown = rows(reports.category_breakdown(book, 2024, 3, "u"), "category_name", "percentage")
     assert breakdown == [("Gas", "80.00"), ("Food", "20.00")]
-    (summary,) = reports.monthly_summary_nested(book, 2024, 3, "u").collect()
+    (summary,) = reports.monthly_summary_of_user(book, 2024, 3, "u").collect()
     assert str(summary.net_savings) == "149.99"
     assert [c.category_name for c in summary.categories] == ["Gas", "Food"]
 
 
-def test_summary_pages_hold_every_category_once(spark):
-    names = [f"c{i:03}" for i in range(200)]
-    book = ledger(
-        spark,
-        categories=[category(n, "u", "expense") for n in names],
-        transactions=[transaction(n, "u", "expense", 1, "2024-03-02", n) for n in names],
-    )
-    paged = reports.monthly_summary_nested(book, 2024, 3, page_size=20)
-    assert paged.count() == 10
-    found = paged.select(F.explode("categories.category_id")).collect()
-    assert sorted(r[0] for r in found) == names
+def test_summary_has_a_row_per_category(spark):
+    """One shape at every size: a row per category, 2 or 2,000 of them."""
+    for n in (2, 2000):
+        names = [f"c{i:04}" for i in range(n)]
+        book = ledger(
+            spark,
+            categories=[category(c, "u", "expense") for c in names],
+            transactions=[transaction(c, "u", "expense", 1, "2024-03-02", c) for c in names],
+        )
+        summary = reports.monthly_summary_nested(book, 2024, 3)
+        assert sorted(r[0] for r in summary.select("category_id").collect()) == names
+        assert summary.where(f"total_expense = {n}").count() == n
+        (nested,) = reports.monthly_summary_of_user(book, 2024, 3, "u").collect()
+        assert [c.category_id for c in nested.categories] == names
+
+
+def test_summary_of_a_user_without_categories(spark):
+    book = ledger(spark, transactions=[transaction(1, "u", "income", 5, "2024-03-02")])
+    assert rows(reports.monthly_summary_nested(book, 2024, 3)) == [("u", "5.00", "0.00", "5.00", None, None, None)]
+    (nested,) = reports.monthly_summary_of_user(book, 2024, 3, "u").collect()
+    assert nested.categories == []
+
+
+@pytest.mark.parametrize("part,whole", [
+    ("10000000000000.05", "20000000000000.00"), ("3333333333333.33", "9999999999999999.99"),
+    ("1.00", "20000.00"), ("-1.00", "20000.00"), ("0.01", "0.00"), ("1234567890123.45", "-1234567890123456.78"),
+])
+def test_percents_are_exact(spark, part, whole):
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    from ledgerloom.functions.money import percent
+
+    got = spark.range(1).select(percent(F.lit(Decimal(part)), F.lit(Decimal(whole)))).first()[0]
+    with localcontext() as context:
+        context.prec = 60
+        expected = (Decimal(part) * 100 / Decimal(whole)).quantize(Decimal("0.01"), ROUND_HALF_UP) if Decimal(whole) else None
+    assert got == expected
 
 
 def test_arguments_are_checked(spark):

@@ -2,10 +2,57 @@ import json
 from datetime import date
 from types import SimpleNamespace
 
-from ledgerloom.operators import reports
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import changes, recurring, reports
 from ledgerloom.session import shared_dir
-from ledgerloom.sources.parquet import read_ledger, to_json_rows, write_ledger, write_report
-from small import category, ledger, profile, rows, transaction
+from ledgerloom.sources.parquet import read_ledger, to_json_rows, write_ledger, write_report, write_rollup
+from small import category, ledger, profile, rows, schedule, transaction
+
+
+def stored(spark, tmp_path, ledger_):
+    root = str(tmp_path / "stored")
+    write_ledger(ledger_, root)
+    return root, read_ledger(spark, root)
+
+
+def test_changed_rows_of_a_stored_ledger_are_in_its_periods(spark, tmp_path):
+    _, opened = stored(spark, tmp_path, book(spark))
+    new = spark.createDataFrame([("9", "u", "expense", 8, date(2024, 5, 5))], "id string, user_id string, type string, amount int, date date")
+    appended = changes.append_transactions(opened.transactions, new, date(2024, 1, 1))
+    expense = lambda table, year: rows(
+        reports.annual_report(opened.with_tables(transactions=table), year, date(2025, 1, 1)).where("month_number = 12"),
+        "year_to_date_expense_total",
+    )
+    assert expense(opened.transactions, 2024) == [("6.00",)]
+    assert expense(appended, 2024) == [("14.00",)]
+    moved = spark.createDataFrame([("1", "u", date(2024, 2, 2))], "id string, user_id string, date date")
+    updated = changes.apply_updates(opened.transactions, moved)
+    assert expense(updated, 2024) == [("7.00",)] and expense(updated, 2023) == [("0.00",)]
+    due = [schedule("s", "u", 100, "monthly", "2024-11-15")]
+    with_due = opened.with_tables(fixed_costs=ledger(spark, fixed_costs=due).fixed_costs)
+    ran = recurring.run_schedules(with_due, date(2024, 12, 31))
+    assert expense(ran.transactions, 2024) == [("206.00",)]
+
+
+def test_a_rollup_of_older_tables_is_refused(spark, tmp_path):
+    root, opened = stored(spark, tmp_path, book(spark))
+    write_rollup(opened, root)
+    assert read_ledger(spark, root, rollup=True).monthly_activity.count() == 3
+    write_ledger(book(spark), root)
+    with pytest.raises(ValueError, match="older tables"):
+        read_ledger(spark, root, rollup=True)
+
+
+def test_shuffles_start_from_many_partitions(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(key, "300")
+    try:
+        totals = spark.range(1000).groupBy(F.col("id") % 7).count()
+        assert totals.rdd.getNumPartitions() < 10  # merged down at run time
+    finally:
+        spark.conf.unset(key)
 
 
 def book(spark):

@@ -82,3 +82,12 @@ def test_stored_totals_serve_reports(spark, tmp_path):
 def test_empty_store(spark, tmp_path):
     with pytest.raises(ValueError):
         refresh.read_activity(spark, str(tmp_path))
+
+
+def test_folding_and_cleaning_while_running(spark, arriving):
+    book, stream, _, store, checkpoint = arriving
+    query = refresh.start_refresh(stream, store, checkpoint, fold_every=2, keep=1, availableNow=True)
+    assert query.awaitTermination(300)
+    assert totals(refresh.read_activity(spark, store)) == totals(activity(book))
+    assert refresh._finished(spark, f"{store}/base", "through") == [5]
+    assert refresh._finished(spark, f"{store}/deltas", "batch_id") == [4, 5]
