@@ -30,6 +30,7 @@ MIN_DOCS = 3  # terms in fewer documents of the sample get no weight
 BOUND = 3.5  # least z score of a term that gets weights
 DECAY = 1e-4
 EPOCHS = 15
+LEAST_ASIDE = 20
 BATCH = 128
 
 
@@ -50,6 +51,8 @@ class Machine:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    scale: float = 1.0
+    shift: float = 0.0
 
     def raw(self, terms: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = self.bias + sums(self.linear[terms], offsets)
@@ -59,7 +62,7 @@ class Machine:
         return out
 
     def scores(self, terms: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return sigmoid(self.raw(terms, offsets))
+        return sigmoid(self.scale * self.raw(terms, offsets) + self.shift)
 
 
 def telling(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
@@ -80,7 +83,9 @@ def telling(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, size: int) ->
 def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, counts: dict[int, int], bits: int = BITS, rank: int = RANK, seed: int = 11) -> Machine:
     """Logistic loss with adaptive steps over the telling terms; other terms stay at zero.
 
-    With no row, or rows of one class only, there is nothing to learn: the score is that
+    A fifth of the rows is kept aside to fit scale and shift of the score, weighed by the
+    classes' shares of all labels; with fewer than LEAST_ASIDE of a class there, only the
+    shift between those shares and the sample's is made.  With no row, or rows of one class only, there is nothing to learn: the score is that
     class's smoothed share (0.5 without rows) for every text.
     """
     size = 1 << bits
@@ -89,6 +94,12 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, counts: dict[int,
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Machine(float(np.log(share / (1 - share))), linear, factors)
+    aside = rng.random(len(y)) < 0.2
+    if min(np.bincount(y[aside], minlength=2)) < LEAST_ASIDE:
+        aside[:] = False
+    all_terms, all_offsets, all_y = terms, offsets, y
+    terms, offsets = _rows(terms, offsets, np.flatnonzero(~aside))
+    y = y[~aside]
     known = telling(terms, offsets, y, size)
     factors[known] = rng.normal(0, 0.02, (int(known.sum()), rank))
     row_of = np.repeat(np.arange(len(y)), np.diff(offsets))[known[terms]]
@@ -116,7 +127,30 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, counts: dict[int,
             step = np.stack([np.bincount(at, grad[:, f], len(used)) for f in range(rank)], axis=1) + DECAY * factors[used]
             g_factors[used] += step**2
             factors[used] -= 0.03 * step / np.sqrt(g_factors[used])
-    return Machine(bias + log_odds_shift(counts, y), linear, factors)
+    machine = Machine(bias, linear, factors)
+    if aside.any():
+        z = machine.raw(*_rows(all_terms, all_offsets, np.flatnonzero(aside)))
+        machine.scale, machine.shift = _calibrated(z, all_y[aside], counts)
+    else:
+        machine.shift = log_odds_shift(counts, y)
+    return machine
+
+
+def _rows(terms: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kept = [terms[offsets[r] : offsets[r + 1]] for r in rows]
+    return np.concatenate([terms[:0], *kept]), np.concatenate([[0], np.cumsum([len(k) for k in kept], dtype=np.int64)])
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> tuple[float, float]:
+    """Scale and shift of least logistic loss on a grid."""
+    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
+    sign = np.where(y == 1, -1.0, 1.0)
+    best = min(
+        (float((weight * np.logaddexp(0, sign * (a * z + b))).sum()), float(a), float(b))
+        for a in np.geomspace(0.5, 4, 25)
+        for b in np.linspace(-6, 6, 97)
+    )
+    return best[1], best[2]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
