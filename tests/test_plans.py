@@ -111,3 +111,21 @@ def test_stored_ledger_is_the_same(spark, stored):
     for name, table in book.tables().items():
         assert table.count() == getattr(origin, name).count()
     assert book.transactions.where("id = '1'").count() == 1
+
+
+def test_constraints_read_each_table_twice(spark, stored):
+    """Once for row rules and references together, once for keys; parents' ids besides."""
+    from ledgerloom.operators import quality
+
+    text = plan(quality.check_constraints(read_ledger(spark, stored)))
+    for name in ("transactions", "financial_goals", "fixed_costs", "fixed_investments"):
+        assert len(re.findall(rf"FileScan parquet [^\n]*/{name}\]", text)) == 2, name
+
+
+def test_guarded_changes_read_the_categories_once(spark, stored):
+    from ledgerloom.operators import changes
+
+    book = read_ledger(spark, stored)
+    batch = spark.createDataFrame([("1", "1", "x")], "id string, user_id string, color string")
+    text = plan(changes.category_changes_guarded(book.categories, batch, batch))
+    assert len(re.findall(r"FileScan parquet [^\n]*/categories\]", text)) == 1
