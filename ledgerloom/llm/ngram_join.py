@@ -11,6 +11,9 @@ Relations between sets keep the lists from being multiplied out:
 * Index level: in a list a set at position i of n needs n - i >= o and, against position
   j, i + j <= n + m - 2 o, where o is the overlap that sizes n and m ask for.  Blocks of
   other sizes and later positions are skipped by these bounds.
+* Before whole sets are fetched or, in the second step, pairs are formed at all, parity
+  bitmaps bound the difference: two sets differ in at least as many shingles as their
+  bitmaps in bits.
 * Answer level: the set of a list with the lowest position (the one with the fewest
   rare shingles of its own) leads it.  Only pairs with the leader are verified at first.
   What a similar set's answers already connect needs no pair of its own: after that only
@@ -31,11 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD, staged, text_or_empty
+from ledgerloom.llm.common import WORD, ship, staged, text_or_empty
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.learning import flat
 from ledgerloom.llm.shingles import Shingler, texts_of
 
+PARITY = 16  # longs of a set's parity bitmap
 COUNTERS = 1 << 18  # of shingles, over all documents
 BITS = 1 << 25  # of the bitmaps of shared shingles and of documents to read again
 _SHIFT = np.uint64(64 - 18)
@@ -51,14 +55,31 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield np.unique(shingler.shingles(text))
 
 
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
+    own = np.concatenate([np.zeros(0, np.uint64), *sets])
+    return np.bincount((own >> _SHIFT).astype(np.int64), minlength=COUNTERS)
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """PARITY longs; a bit tells whether an odd number of the shingles falls on it."""
+    odd = np.bincount((own & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     """Documents that hold a shingle of each counter, over all rows."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
+            waiting, size = [], 0
             for own in _sets(batch.column(0), k):
-                np.add.at(total, (own >> _SHIFT).astype(np.int64), 1)
+                waiting.append(own)
+                size += len(own)
+                if size > 1 << 20:
+                    total += _counted(waiting)
+                    waiting, size = [], 0
+            total += _counted(waiting)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["c", "n"])
 
@@ -69,16 +90,17 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def index_entries(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, crc, set (hash), n and prefix (shingles in index order) of each row.
+    """doc_id, crc, set (hash), n, prefix (shingles in index order) and bits of each row.
 
-    In each task only the first row of a set carries the prefix.
+    In each task only the first row of a set carries prefix and bits (its parity).
     """
+    ship(docs.sparkSession)
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            hashes, sizes, prefixes = [], [], []
+            hashes, sizes, prefixes, bits = [], [], [], []
             for own in _sets(batch.column(2), k):
                 n = len(own)
                 h = xxhash.xxh3_64_intdigest(own.tobytes())
@@ -88,18 +110,20 @@ def index_entries(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     seen.add(h)
                     order = np.lexsort((own, counts.value[(own >> _SHIFT).astype(np.int64)]))
                     prefixes.append(own[order[: n - -(-num * n // den) + 1]].view(np.int64))
+                    bits.append(parity(own))
                 else:
                     prefixes.append(None)
+                    bits.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), _signed(np.array(hashes, dtype=np.uint64)),
-                    pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "crc", "set", "n", "prefix"],
+                ["doc_id", "crc", "set", "n", "prefix", "bits"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("crc"), "text")
-    return staged(rows.mapInArrow(per_task, "doc_id long, crc long, set long, n int, prefix array<long>"), "ngram-index")
+    return staged(rows.mapInArrow(per_task, "doc_id long, crc long, set long, n int, prefix array<long>, bits array<long>"), "ngram-index")
 
 
 def _bitmap(values: DataFrame) -> np.ndarray:
@@ -121,11 +145,12 @@ def _bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
 
 
-def index_lists(entries: DataFrame) -> DataFrame:
+def index_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
     """(token, pos, n, set) of the shingles that two or more sets have in their prefix.
 
-    Tokens are first told apart by 32 of their bits, so that few bytes are shuffled;
-    the bitmap of those in several sets then thins the lists out before they are.
+    Tokens are first told apart by 57 of their bits, so that few bytes are shuffled;
+    the bitmap of those in several sets then thins the lists out before they are.  A
+    list of two entries that its sizes or positions rule out is skipped whole.
     """
     single = entries.where("prefix is not null").select("prefix", "set")
     low = single.select(F.explode("prefix").alias("t"), F.hash("set").alias("s"))
@@ -146,7 +171,13 @@ def index_lists(entries: DataFrame) -> DataFrame:
 
     kept = entries.where("prefix is not null").select("set", "n", F.explode(thinned("prefix")).alias("e"))
     kept = kept.select("e.token", "e.pos", "n", "set")
-    several = kept.groupBy("token").agg(F.min("set").alias("_a"), F.max("set").alias("_z")).where("_a <> _z")
+    several = kept.groupBy("token").agg(
+        F.min("set").alias("_a"), F.max("set").alias("_z"), F.count("*").alias("_k"),
+        F.min("n").alias("_least"), F.max("n").alias("_most"), F.sum("n").alias("_n"), F.sum("pos").alias("_pos"),
+    )
+    overlap = f"(({num}L * _n + {num + den - 1}) div {num + den})"
+    fits = f"{den}L * _least >= {num}L * _most and _pos <= _n - 2 * {overlap}"
+    several = several.where(f"_a <> _z and (_k > 2 or ({fits}))")
     return staged(kept.join(several.select("token"), "token"), "ngram-lists")
 
 
@@ -160,7 +191,19 @@ def _may_link(num: int, den: int, i: str, n: str, j: str, m: str) -> Column:
     )
 
 
-def leader_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+def parities(entries: DataFrame) -> DataFrame:
+    """(set, n, bits), one row per set."""
+    carried = entries.where("bits is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    return staged(carried, "ngram-bits")
+
+
+def _may_overlap(num: int, den: int, x: str, n: str, y: str, m: str) -> Column:
+    """Parity bound of two sets of sizes n and m."""
+    differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(PARITY))
+    return F.expr(f"{differ} <= {n} + {m} - 2 * (({num}L * ({n} + {m}) + {num + den - 1}) div {num + den})")
+
+
+def leader_pairs(lists: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of each list's leader and the sets that may link with it."""
     rank = F.expr("pos * 4294967296L + n")
     first = lists.groupBy("token").agg(F.min(rank).alias("_r"))
@@ -170,10 +213,14 @@ def leader_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
         .select("token", "_s", F.expr("_r div 4294967296L").cast("int").alias("_i"), F.expr("_r % 4294967296L").cast("int").alias("_n"))
     )
     pairs = lists.join(led, "token").where((F.col("set") != F.col("_s")) & _may_link(num, den, "pos", "n", "_i", "_n"))
-    return _ordered(pairs.select(F.col("_s").alias("a"), F.col("set").alias("b")))
+    pairs = _ordered(pairs.select(F.col("_s").alias("a"), F.col("set").alias("b")))
+    left = bits.select(F.col("set").alias("a"), F.col("n").alias("_na"), F.col("bits").alias("_x"))
+    right = bits.select(F.col("set").alias("b"), F.col("n").alias("_nb"), F.col("bits").alias("_y"))
+    near = pairs.join(left, "a").join(right, "b").where(_may_overlap(num, den, "_x", "_na", "_y", "_nb"))
+    return near.select("a", "b")
 
 
-def open_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def open_pairs(lists: DataFrame, bits: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) in lists that hold several components, one side outside the main one."""
     known = roots.select(F.col("node").alias("set"), "root")
     marked = lists.join(known, "set", "left").withColumn("root", F.coalesce("root", "set"))
@@ -181,12 +228,17 @@ def open_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int) -> DataFr
     sizes = marked.groupBy("token", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("_main"), F.count("*").alias("_k"))
     main = main.where("_k > 1").select("token", "_main")
-    still = staged(marked.join(main, "token"), "ngram-open")
+    still = staged(marked.join(main, "token").join(bits.select("set", "bits"), "set"), "ngram-open")
     outside = still.where("root <> _main").select(
-        "token", F.col("pos").alias("_i"), F.col("n").alias("_n"), F.col("set").alias("_s"), F.col("root").alias("_root")
+        "token", F.col("pos").alias("_i"), F.col("n").alias("_n"), F.col("set").alias("_s"), F.col("root").alias("_root"),
+        F.col("bits").alias("_y"),
+    )
+    inside = still.select("token", "pos", "n", "set", "root", "bits")
+    pairs = inside.join(outside, "token").where(
+        (F.col("root") != F.col("_root"))
+        & _may_link(num, den, "pos", "n", "_i", "_n")
+        & _may_overlap(num, den, "bits", "n", "_y", "_n")
     )
-    inside = still.select("token", "pos", "n", "set", "root")
-    pairs = inside.join(outside, "token").where((F.col("root") != F.col("_root")) & _may_link(num, den, "pos", "n", "_i", "_n"))
     return _ordered(pairs.select(F.col("_s").alias("a"), F.col("set").alias("b")))
 
 
@@ -238,11 +290,12 @@ def join_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
     aren't read.
     """
     entries = index_entries(docs, k, num, den)
-    lists = index_lists(entries)
-    tried = staged(leader_pairs(lists, num, den), "ngram-pairs")
+    lists = index_lists(entries, num, den)
+    bits = parities(entries)
+    tried = staged(leader_pairs(lists, bits, num, den), "ngram-pairs")
     found = staged(links(docs, entries, tried, k, num, den), "ngram-links")
     roots = staged(components(found), "ngram-roots")
-    more = staged(open_pairs(lists, roots, num, den).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    more = staged(open_pairs(lists, bits, roots, num, den).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
     if not more.isEmpty():
         extra = links(docs, entries, more, k, num, den)
         roots = staged(components(found.unionByName(extra)), "ngram-roots")

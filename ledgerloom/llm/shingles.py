@@ -17,24 +17,25 @@ CACHED = 200_000  # words whose hash a task remembers
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+class _Hashes(dict):
+    """Hash of each word, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Shingler:
     def __init__(self, k: int):
         self.k = k
-        self.known: dict[bytes, int] = {}
+        self.known = _Hashes()
 
     def words(self, text: bytes) -> np.ndarray:
         """Hash of each word, in order."""
         found = text.lower().split()  # of bytes: ASCII only
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        hashes = []
-        for w in found:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes.append(h)
-        return np.array(hashes, dtype=np.uint64)
+        if len(self.known) > CACHED:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, found), dtype=np.uint64, count=len(found))
 
     def shingles(self, text: bytes) -> np.ndarray:
         """Hash of each shingle, in order; of fewer words than k, one of all of them."""
