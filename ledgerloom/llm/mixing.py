@@ -2,27 +2,29 @@
 
 Each source's documents are hashed into a fixed number of blocks, put in a permuted
 order.  A source's target is met by whole passes over its blocks and one partial
-pass: the first blocks of the order, then single documents that fit what is left.
+pass, in rounds: each takes documents that fit what is left, in the blocks' order, as
+far as they go, until no document that is left out fits.
 The blocks taken from all sources are split exactly among the output shards: at
 each node of a binary tree over the shards, the number of blocks of each source
 that go left is drawn from the multivariate hypergeometric law.  Each shard then
 draws the next run of every source's permuted blocks, so draws are disjoint, and is
 shuffled by a hash of its rows.
 
-The driver holds one row per source (name, words, target, quotas), never blocks or
-documents.
+The driver holds one row per source (name, words, target, quotas) and one cut per
+round, never blocks or documents.  A round at least halves what is left.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import staged, text_or_empty, word_count
 
 BLOCKS = 4096  # blocks per source; bounds every per-source group below
-FITS = 3  # rounds of closing a source's gap with the one document that fits best
+END = 1 << 30  # rank beyond all blocks
+CUTS = "array<struct<fit:long,rank:int,nth:int,one:boolean>>"
 
 
 def targets(sizes: dict[str | None, int], weights=(5, 2, 1), most: int = 3) -> dict[str | None, float]:
@@ -98,44 +100,33 @@ def plan(docs: DataFrame, weights=(5, 2, 1), most: int = 3, seed: int = 7) -> Da
     goal = targets(sizes, weights, most)
     whole = {s: min(most, int(goal[s] // sizes[s])) if sizes[s] else 0 for s in sizes}
     rest = {s: int(round(goal[s] - whole[s] * sizes[s])) for s in sizes}
-    known = spark.createDataFrame(
-        [(s, sizes[s], goal[s], whole[s], rest[s]) for s in sizes],
-        "source string, source_size long, target double, _full int, _rest long",
-    )
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "_block"), "_block")
     ranked = blocks.select(
         F.col("source").alias("_s"),
         F.col("_block").alias("_b"),
         (F.row_number().over(permuted) - 1).alias("_rank"),
         F.count(F.lit(1)).over(Window.partitionBy("source")).alias("_blocks"),
-        (F.sum("_words").over(permuted) - F.col("_words")).alias("_before"),
     )
     in_block = Window.partitionBy("source", "_block").orderBy("_order", "doc_id", "_crc")
     placed = staged(
         rows.join(ranked, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
         .drop("_s", "_b")
         .withColumn("_nth", F.row_number().over(in_block))
-        .withColumn("_upto", F.col("_before") + F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_before", "_order"),
+        .drop("_order"),
         "mix-placed",
     )
-    placed = _with_sources(placed, known)
-    partial = (F.col("_upto") <= F.col("_rest")) & (F.col("_rest") > 0)
-    fits = _fitting(placed, partial, rest)
-    chosen = spark.createDataFrame(
-        [(s, b, n, True) for s, b, n in fits], "_s string, _b int, _n int, _fits boolean"
+    cuts = _cuts(placed, rest)
+    known = spark.createDataFrame(
+        [(s, sizes[s], goal[s], whole[s], cuts[s]) for s in sizes],
+        f"source string, source_size long, target double, _full int, _cuts {CUTS}",
     )
     return (
-        placed.join(
-            F.broadcast(chosen) if len(fits) <= 100_000 else chosen,
-            F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_nth") == F.col("_n")),
-            "left",
-        )
-        .withColumn("passes", F.col("_full") + F.when(partial | F.col("_fits"), 1).otherwise(0))
+        _with_sources(placed, known)
+        .withColumn("passes", F.col("_full") + F.when(_taken(), 1).otherwise(0))
         .withColumn("taken", F.col("size") * F.col("passes"))
         .select(
             "doc_id", "source", "size", "source_size", "target", "passes", "taken",
-            "_crc", "_block", "_rank", "_blocks", "_full",
+            "_crc", "_block", "_nth", "_rank", "_blocks", "_full",
         )
     )
 
@@ -147,36 +138,73 @@ def _with_sources(rows: DataFrame, known: DataFrame, most: int = 100_000) -> Dat
     return rows.join(right, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
-def _fitting(placed: DataFrame, partial, rest: dict) -> list[tuple]:
-    """Documents that close what the partial pass leaves: (source, block, number)."""
+def _taken() -> Column:
+    """Whether one of the cuts takes a document: those of at most ``fit`` words before a
+    place, or the one at that place."""
+    return F.expr(
+        "exists(_cuts, c -> if(c.one, _rank = c.rank and _nth = c.nth,"
+        " size <= c.fit and (_rank < c.rank or (_rank = c.rank and _nth < c.nth))))"
+    )
+
+
+def _cuts(placed: DataFrame, rest: dict) -> dict[str | None, list[tuple]]:
+    """What the partial pass takes of each source, ``rest`` words: (fit, rank, nth, one).
+
+    In each round the documents that fit the gap are summed in order up to the first
+    that crosses it.  That one or those before it are taken, whichever is more: as they
+    are more than the gap together, it halves.  When none fits, the smallest document
+    left out is taken if the source is then closer to its target.
+    """
     spark = placed.sparkSession
-    got = {r["source"]: r["n"] for r in placed.where(partial).groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    gap = {s: rest[s] - got.get(s, 0) for s in rest}
-    picked: list[tuple] = []
-    for _ in range(FITS):
-        open_ = {s: g for s, g in gap.items() if g > 0}
-        if not open_:
-            break
-        gaps = spark.createDataFrame(list(open_.items()), "source string, _gap long")
-        taken = spark.createDataFrame(picked, "_ps string, _pb int, _pn int")
-        same = (
-            F.col("source").eqNullSafe(F.col("_ps")) & (F.col("_block") == F.col("_pb")) & (F.col("_nth") == F.col("_pn"))
+    gap = {s: n for s, n in rest.items() if n > 0}
+    cuts: dict[str | None, list[tuple]] = {s: [] for s in rest}
+    while gap:
+        state = spark.createDataFrame(
+            [(s, g, cuts[s]) for s, g in gap.items()], f"source string, _gap long, _cuts {CUTS}"
         )
-        off = F.abs(F.col("size") - F.col("_gap"))
-        best = (
-            _with_sources(placed.where(~partial), gaps)
-            .where(off < F.col("_gap"))
-            .join(F.broadcast(taken) if len(picked) <= 100_000 else taken, same, "left_anti")
-            .groupBy("source")
-            .agg(F.min(F.struct(off.alias("off"), "_block", "_nth", "size")).alias("m"))
-            .collect()
+        left = _with_sources(placed, state).where((F.col("size") > 0) & ~_taken())
+        fit = F.col("size") <= F.col("_gap")
+        by_rank = Window.partitionBy("source").orderBy("_rank")
+        blocks = left.groupBy("source", "_rank", "_gap").agg(
+            F.sum(F.when(fit, F.col("size"))).alias("_sum"),
+            F.min(F.when(~fit, F.struct("size", "_rank", "_nth"))).alias("_over"),
         )
-        if not best:
-            break
-        for r in best:
-            picked.append((r["source"], r["m"]["_block"], r["m"]["_nth"]))
-            gap[r["source"]] -= r["m"]["size"]
-    return picked
+        blocks = blocks.withColumn("_to", F.sum(F.coalesce("_sum", F.lit(0))).over(by_rank))
+        found = blocks.groupBy("source").agg(
+            F.max("_to").alias("all"),
+            F.min("_over").alias("over"),
+            F.min(F.when(F.col("_to") > F.col("_gap"), F.struct("_rank", (F.col("_to") - F.col("_sum")).alias("before")))).alias("at"),
+        ).collect()
+        at = {r["source"]: r["at"] for r in found if r["at"]}
+        crossed = _crossing(placed, {s: (gap[s], cuts[s], *at[s]) for s in at}) if at else {}
+        after: dict[str | None, int] = {}
+        for r in found:
+            s, g = r["source"], gap[r["source"]]
+            if s in crossed:
+                nth, size, before = crossed[s]
+                one = size > before
+                cuts[s].append((g, at[s]["_rank"], nth, one))
+                after[s] = g - max(size, before)
+            elif r["all"]:
+                cuts[s].append((g, END, 0, False))
+                after[s] = g - r["all"]
+            elif r["over"] and r["over"]["size"] < 2 * g:
+                cuts[s].append((g, r["over"]["_rank"], r["over"]["_nth"], True))
+        gap = {s: g for s, g in after.items() if g > 0}
+    return cuts
+
+
+def _crossing(placed: DataFrame, at: dict) -> dict[str | None, tuple[int, int, int]]:
+    """In the block of each source where its gap is crossed: number and size of the
+    document that crosses it, and the words of those before it."""
+    blocks = placed.sparkSession.createDataFrame(
+        [(s, *v) for s, v in at.items()], f"source string, _gap long, _cuts {CUTS}, _at int, _before long"
+    )
+    upto = F.col("_before") + F.sum("size").over(Window.partitionBy("source").orderBy("_nth"))
+    inside = _with_sources(placed, blocks).where("_rank = _at and size > 0 and size <= _gap").where(~_taken())
+    over = inside.withColumn("_to", upto).where("_to > _gap").groupBy("source")
+    first = over.agg(F.min(F.struct("_nth", "size", F.expr("_to - size").alias("before"))).alias("m")).collect()
+    return {r["source"]: tuple(r["m"]) for r in first}
 
 
 def draw(planned: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
