@@ -32,8 +32,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document comes once for each time it is taken."""
-    return mixing.mixed(docs)
+    """Sources at their target weights: a document comes once for each time it is drawn,
+    shard by shard in shuffled order."""
+    return mixing.mixed(docs, shards=SHARDS)
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

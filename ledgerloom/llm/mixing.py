@@ -240,26 +240,53 @@ def draw(planned: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
     return (
         units.join(numbered, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_unit") == F.col("_u")))
         .drop("_s", "_u", "_unit")
-        .withColumn("_shuffle", F.xxhash64(F.lit(seed + 3), "doc_id", "_crc", "copy"))
+        .withColumn("_shuffle", F.xxhash64(F.lit(seed + 3), "doc_id", "_crc", "_nth", "copy"))
     )
 
 
-def mixed(docs: DataFrame, weights=(5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, whole, each as often as the mix takes it.
+def counted(planned: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
+    """The rows of :func:`plan` with passes and taken counted from what :func:`draw` draws.
 
-    Documents that aren't taken go.  Rows with one id, source and text are numbered, so
-    that each gets the passes of one of them.
+    Adds shards: the shard of each time that a document is drawn, in order of the copies.
+    """
+    key = ["source", "_block", "_nth"]
+    drawn = draw(planned, shards, seed).groupBy(*key).agg(
+        F.count("*").cast("int").alias("passes"),
+        F.sum("size").alias("taken"),
+        F.sort_array(F.collect_list(F.struct("copy", "shard"))).getField("shard").alias("shards"),
+    )
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_d{c}"))
+    drawn = drawn.select(*(F.col(c).alias(f"_d{c}") for c in key), "passes", "taken", "shards")
+    return (
+        planned.drop("passes", "taken").join(drawn, same, "left").drop(*(f"_d{c}" for c in key))
+        .withColumn("passes", F.coalesce("passes", F.lit(0)))
+        .withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+        .withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
+    )
+
+
+def mixed(docs: DataFrame, weights=(5, 2, 1), most: int = 3, seed: int = 7, shards: int = 8) -> DataFrame:
+    """The rows of ``docs``, whole, each as often as :func:`draw` draws it, ordered by
+    shard and inside it by the shuffle.
+
+    Documents that aren't drawn go.  Rows with one id, source and text are numbered, so
+    that each gets the draws of one of them.
     """
     key = ["doc_id", "source", "_crc"]
     crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
-    taken = plan(docs, weights, most, seed).where("passes > 0").select(*key, "passes")
     nth = Window.partitionBy(*key)
-    taken = taken.withColumn("_k", F.row_number().over(nth.orderBy("passes")))
-    taken = taken.select(*(F.col(c).alias(f"_t{c}") for c in key), F.col("_k").alias("_tk"), "passes")
+    planned = plan(docs, weights, most, seed)
+    planned = planned.withColumn("_k", F.row_number().over(nth.orderBy("_nth")))
+    drawn = draw(planned, shards, seed)
+    drawn = staged(
+        drawn.select(*(F.col(c).alias(f"_t{c}") for c in key), F.col("_k").alias("_tk"), "shard", "_shuffle"), "mix-drawn"
+    )
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", crc.alias("_crc"))
     rows = rows.withColumn("_k", F.row_number().over(nth.orderBy(F.lit(1))))
     same = F.col("_k") == F.col("_tk")
     for c in key:
         same = same & F.col(c).eqNullSafe(F.col(f"_t{c}"))
-    copies = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))))
-    return copies.select("row.*")
+    copies = rows.join(drawn, same).select("row", F.col("shard").alias("_shard"), "_shuffle")
+    return copies.orderBy("_shard", "_shuffle").select("row.*")

@@ -23,8 +23,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(read(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
+    """What the output shards draw of each document."""
+    drawn = mixing.counted(mixing.plan(read(spark, sf_dir, "documents")), shards=8)
+    return drawn.select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "shards")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,24 @@ def test_no_document_left_out_would_bring_a_source_closer(spark):
         for r in (fixtures.odd_texts(), rows):
             for off, least in left_out(mixing.plan(fixtures.documents(spark, r), seed=seed).collect()).values():
                 assert least is None or off <= least / 2 + 1
+
+
+def test_the_tree_decides_what_is_returned(spark, monkeypatch):
+    docs = fixtures.documents(spark, fixtures.odd_texts())
+    drawn = mixing.draw(mixing.plan(docs)).orderBy("shard", "_shuffle").collect()
+    assert [(r.doc_id, r.source, len(fixtures.words(r.text))) for r in mixing.mixed(docs).collect()] == [(r.doc_id, r.source, r["size"]) for r in drawn]
+    where = Counter((r.doc_id, r.source, s) for r in mixing.counted(mixing.plan(docs)).collect() for s in r.shards)
+    assert where == Counter((r.doc_id, r.source, r.shard) for r in drawn) and len({s for _, _, s in where}) == 8
+    # With quotas that leave the last shard's blocks out, their documents go.
+    whole = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda c, n, seed: whole(c, n, seed) * (np.arange(n) < n - 1)[:, None])
+    assert mixing.mixed(docs).count() < len(drawn)
+    assert sum(r.passes for r in mixing.counted(mixing.plan(docs)).collect()) < len(drawn)
+
+
+def test_the_query_counts_what_is_drawn(spark):
+    from ledgerloom.llm.queries import op4_mixing
+
+    got = op4_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert all(len(r.shards) == r.passes and r.taken == r.passes * r["size"] for r in got)
+    assert {s for r in got for s in r.shards} == set(range(8))
