@@ -6,6 +6,133 @@ import corpus_pipeline
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text in SQL, bit by bit."""
+    byte = "list_reduce(range(8), lambda x, _: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b))"
+    octets = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda crc, b: {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+# Repair of conversations: e, s, u and a are the cheapest edits so far that leave
+# nothing, end in a system turn, in a user's or in an assistant's: cost, audit and
+# the turns they leave.  Structs compare by cost, then audit.
+def _edited(was: str, letter: str, cost: str, said: str = "NULL") -> str:
+    lines = f"{was}.o" if said == "NULL" else f"list_append({was}.o, {said})"
+    return f"CASE WHEN {was} IS NOT NULL THEN {{'c': {was}.c + {cost}, 'a': {was}.a || '{letter}', 'o': {lines}}} END"
+
+
+def _best(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+_DELETED = {p: _edited(f"p.{p}", "D", "4") for p in "esua"}
+_STAYS = "CASE WHEN NOT r.must_go THEN {} END"
+
+
+def _stay(was: str, initial: str, role: str) -> str:
+    kept = f"CASE WHEN left(r.role, 1) = '{initial}' THEN {_edited(was, 'K', 'r.extra', 'r.said')} ELSE "
+    return _STAYS.format(kept + _edited(was, "R", "3 + r.extra", f"'{role}:' || r.text") + " END")
+
+
+_KEPT_SYSTEM = _STAYS.format(f"CASE WHEN left(r.role, 1) = 's' THEN {_edited('p.e', 'K', 'r.extra', 'r.said')} END")
+_CONVERSATIONS = f"""
+WITH RECURSIVE damage AS (
+  SELECT *, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations
+), rows_left AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+         unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM damage
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS core
+  FROM rows_left
+), faults AS (
+  SELECT *, core = '' AS blank, core <> '' AND again AS duplicate,
+         core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') AS truncated,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair
+  FROM numbered
+), r AS (
+  SELECT coalesce(conv_id::VARCHAR, 'null') AS k, n, role, text, role || ':' || text AS said, blank OR duplicate AS must_go,
+         CASE WHEN truncated THEN 3 ELSE 0 END AS extra
+  FROM faults
+), p AS (
+  SELECT DISTINCT coalesce(conv_id::VARCHAR, 'null') AS k, 0::BIGINT AS n,
+         {{'c': 0, 'a': '', 'o': []::VARCHAR[]}} AS e, NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR[]) AS s,
+         {{'c': 3, 'a': 'I', 'o': ['user:']}} AS u, {{'c': 6, 'a': 'II', 'o': ['user:', 'assistant:']}} AS a
+  FROM conversations
+  UNION ALL
+  SELECT k, n, e, s, u, {_best("a", _edited("u", "I", "3", "'assistant:'"))} AS a
+  FROM (
+    SELECT k, n, e, s, a, {_best("u", *(_edited(w, "I", "3", "'user:'") for w in ("e", "s", "a")))} AS u
+    FROM (
+      SELECT p.k, r.n, {_DELETED['e']} AS e, {_best(_DELETED['s'], _KEPT_SYSTEM)} AS s,
+             {_best(_DELETED['u'], *(_stay(f"p.{w}", "u", "user") for w in "esa"))} AS u,
+             {_best(_DELETED['a'], _stay("p.u", "a", "assistant"))} AS a
+      FROM p JOIN r ON r.k = p.k AND r.n = p.n + 1
+    )
+  )
+), done AS (
+  SELECT k, {_best("e", "a")} AS w FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS back FROM p) WHERE back = 1
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, w.c::BIGINT AS cost, w.a AS audit,
+       sha256(array_to_string(w.o, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i JOIN done ON k = coalesce(i.conv_id::VARCHAR, 'null')
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+_FILTERS = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d
+), q AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+       + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+       + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+       + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+       + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask,
+       coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN q USING (doc_id)
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+), f(letter, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), l AS (
+  SELECT '' AS o, '' AS letter, 0 AS bit, 0 AS earlier, 0 AS step
+  UNION ALL
+  SELECT o || f.letter, f.letter, f.bit, earlier | l.bit, step + 1 FROM l JOIN f ON (earlier | l.bit) & f.bit = 0
+), s AS (
+  SELECT part, o, letter, step,
+         coalesce(sum(n) FILTER (WHERE mask & (earlier | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & earlier <> 0 AND mask & bit <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & earlier = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM l, c WHERE step > 0 GROUP BY part, o, letter, step
+), x AS (
+  SELECT s.part, t.o AS filter_order, s.step, s.letter, s.kept, s.removed, s.redundant, s.unique_fails, s.good_lost, s.toxic_lost
+  FROM s JOIN s t ON t.part = s.part AND t.step = 5 AND left(t.o, s.step) = s.o
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM x
+"""
+
 ORACLE = {
     "op2_topk": """
 WITH v AS (
@@ -64,6 +191,8 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM g
 """,
+    "op11_structure": _CONVERSATIONS,
+    "op12_filters": _FILTERS,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

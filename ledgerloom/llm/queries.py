@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import chat, decontaminate, licenses, mixing, ngram_join, quality, secret_scan, sharding, topk, toxicity
+from ledgerloom.llm import (
+    chat, decontaminate, filter_audit, licenses, mixing, ngram_join, quality, secret_scan, sharding, structure, token_files,
+    topk, toxicity,
+)
 from ledgerloom.llm.common import read, shared_folder
 
 
@@ -93,6 +96,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults, audited and repaired."""
+    return structure.audit(structure.damaged(read(spark, sf_dir, "conversations"))).drop("n_rows")
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the documents' ids in the shared folder and reads the files back."""
+    import public_tokenizers
+
+    folder = shared_folder(spark, "token-ids")
+    token_files.write(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -101,6 +122,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_topk, op3_quality, op4_mixing, op5_decontaminate, op6_secrets, op7_chat, op8_licenses,
-        op9_sharding, op10_ngram_join, pipeline,
+        op9_sharding, op10_ngram_join, op11_structure, op12_filters, op13_token_files, pipeline,
     )
 }

@@ -16,7 +16,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
-    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
