@@ -85,7 +85,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
 _KNOWN = ", ".join(f"named_struct('letter', '{k}', 'bit', {b})" for k, b in FILTERS.items())
 _LEVELS = f"""
 WITH RECURSIVE levels (filter_order, letter, bit, earlier, step, mask) AS (
-  SELECT DISTINCT '', '', 0, 0, 0, mask FROM {{cells}}
+  SELECT '', '', 0, 0, 0, mask FROM {{masks}}
   UNION ALL
   SELECT filter_order || next.letter, next.letter, next.bit, earlier | bit, step + 1, mask
   FROM (
@@ -115,7 +115,9 @@ def steps(counted: DataFrame) -> DataFrame:
     Columns: part, filter_order (the prefix), letter (its last filter), step, kept,
     removed, redundant, unique_fails, good_lost, toxic_lost.
     """
-    return counted.sparkSession.sql(_LEVELS, cells=counted)
+    # At most 32 rows, and so are the partitions of every level.
+    masks = counted.select("mask").distinct().coalesce(1)
+    return counted.sparkSession.sql(_LEVELS, cells=counted, masks=masks)
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
