@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 
 from ledgerloom.model import AMOUNT, SCHEDULES, Ledger
 from ledgerloom.operators import changes, listings, quality, recurring, reports
+from ledgerloom.plans import upkeep
 from ledgerloom.plans.activity import activity
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import testbed
+from ledgerloom.sources import upkeep as stored_upkeep
 from ledgerloom.sources.parquet import read_ledger, write_ledger, write_rollup
 from ledgerloom.sources.testbed import AS_OF, read_table
 from ledgerloom.streaming import refresh
@@ -425,6 +427,55 @@ def _insert_valid_schedules(ledger: Ledger) -> DataFrame:
     return changes.insert_with_defaults(table, new, changes.INSERT_DEFAULTS["fixed_costs"])
 
 
+# --- changes to a stored ledger, year by year ------------------------------
+
+
+def _moves_and_relabels(transactions: DataFrame) -> DataFrame:
+    """Every eleventh row moves a year on, every seventh gets the next user's category."""
+    key = F.col("id")
+    moves, relabels = key % 11 == 0, key % 7 == 0
+    return transactions.where(moves | relabels).select(
+        "id", "user_id", F.add_months("date", 12).alias("date"),
+        ((F.col("user_id") + 1) * 100 + 11).alias("category_id"),
+        F.filter(
+            F.array(F.when(moves, "date"), F.when(relabels, "category_id")), lambda c: c.isNotNull()
+        ).alias("set_fields"),
+    )
+
+
+def _changed_in_place(spark: SparkSession, sf_dir: str) -> Ledger:
+    """A stored ledger with its rollup, after new rows, updates of dates and categories,
+    and the deletion of some users, each rewriting the years it touches."""
+    root = _scratch(spark, "ledger")
+    ledger = load_ledger(spark, sf_dir)
+    ids = ledger.transactions.schema["id"].dataType
+    write_ledger(ledger, root)
+    write_rollup(ledger, root)
+    users = _segment_users(spark, sf_dir, "HOUSEHOLD")
+    for make in (
+        # Ids are unique: order 0 has no negative.
+        lambda book: upkeep.inserted(book.transactions, _new_rows(book).where("id <> 0"), AS_OF),
+        lambda book: upkeep.updated(book.transactions, _moves_and_relabels(book.transactions)),
+        lambda book: stored_upkeep.cascade(book, users),
+    ):
+        stored_upkeep.change_stored(spark, root, make, ids)
+    return read_ledger(spark, root, ids, rollup=True)
+
+
+def _rollup_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = _changed_in_place(spark, sf_dir).monthly_activity
+    return rollup.select("user_id", "category_id", "type", "date", "amount", "n", "last_date")
+
+
+def _transactions_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _changed_in_place(spark, sf_dir).transactions
+    return rows.select("id", "user_id", "category_id", "amount", "date", "type")
+
+
+def _report_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.annual_report(_changed_in_place(spark, sf_dir), YEAR, AS_OF)
+
+
 # --- quality ---------------------------------------------------------------
 
 
@@ -627,6 +678,9 @@ QUERIES: dict[str, Query] = {
     "all_time_balance_stored": _on_stored(reports.all_time_balance),
     "all_time_balance_rollup": _on_stored(reports.all_time_balance, rollup=True),
     "top_categories_rollup": _on_stored(reports.top_categories_all_time, rollup=True),
+    "rollup_after_changes": _rollup_after_changes,
+    "transactions_after_changes": _transactions_after_changes,
+    "annual_report_after_changes": _report_after_changes,
     # quality
     "validate_transactions": _on_ledger(_validate_transactions),
     "validate_goals": _on_ledger(_validate_goals),

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,16 +20,21 @@ from ledgerloom.model import SCHEMAS, Ledger
 from ledgerloom.plans.activity import activity, monthly_rollup
 
 ROLLUP = "monthly_activity"
-VERSION = "version"  # of the tables; the rollup keeps the one it was made from
+VERSION = "version"  # log of the tables' versions; the rollup keeps the one it was made from
 
 
-def _write_by_year(df: DataFrame, path: str, cluster: list[str]) -> None:
+# How stored tables are ordered inside a year.
+CLUSTERS = {"transactions": ["user_id", "date", "id"], ROLLUP: ["user_id", "date", "category_id"]}
+
+
+def _write_by_year(df: DataFrame, path: str, cluster: list[str], overwrite: str = "static") -> None:
+    """``overwrite``: static replaces all years, dynamic those that ``df`` has rows of."""
     (
         df.withColumn(YEAR_PARTITION, F.year("date"))
         .repartitionByRange(YEAR_PARTITION, *cluster)
         .sortWithinPartitions(YEAR_PARTITION, *cluster)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
+        .option("partitionOverwriteMode", overwrite)
         .partitionBy(YEAR_PARTITION)
         .parquet(path)
     )
@@ -37,40 +43,95 @@ def _write_by_year(df: DataFrame, path: str, cluster: list[str]) -> None:
 def write_ledger(ledger: Ledger, root: str) -> None:
     """Store all tables.  ``root`` must not be where the ledger is read from.
 
-    The tables get a new version last, so a rollup of older tables is known as stale.
+    The log says first that a write is under way and last that it is done, with a new
+    version.  So a rollup of older tables is known as stale, and so are tables whose
+    writer died on the way.
     """
-    for name, table in ledger.tables().items():
-        path = f"{root}/{name}"
-        if name == "transactions":
-            _write_by_year(table.drop(YEAR_PARTITION), path, ["user_id", "date", "id"])
-        elif name == "profiles":
-            table.write.mode("overwrite").parquet(path)
-        else:
-            clustered = table.repartitionByRange("user_id", "id").sortWithinPartitions(
-                "user_id", "id"
-            )
-            clustered.write.mode("overwrite").parquet(path)
     spark = ledger.profiles.sparkSession
-    _write_version(spark, f"{root}/{VERSION}", uuid.uuid4().hex)
+    log = f"{root}/{VERSION}"
+    append_version(spark, log, WRITING)
+    for name, table in ledger.tables().items():
+        write_table(name, table, f"{root}/{name}")
+    append_version(spark, log, DONE)
+
+
+def write_table(name: str, table: DataFrame, path: str) -> None:
+    """Store one table whole, clustered for its readers."""
+    if name == "transactions":
+        _write_by_year(table.drop(YEAR_PARTITION), path, CLUSTERS[name])
+    elif name == "profiles":
+        table.write.mode("overwrite").parquet(path)
+    else:
+        clustered = table.repartitionByRange("user_id", "id").sortWithinPartitions("user_id", "id")
+        clustered.write.mode("overwrite").parquet(path)
+
 
+# --- the log of versions ---------------------------------------------------
 
-def _write_version(spark: SparkSession, path: str, version: str) -> None:
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(path)
+WRITING, DONE = "writing", "done"
+_LOG = "number long, state string, version string, folder string, years array<int>, tables array<string>"
 
 
-def _version(spark: SparkSession, path: str) -> str:
-    return spark.read.schema("version string").parquet(path).first()["version"]
+def read_version(spark: SparkSession, path: str) -> Row | None:
+    """The last entry of a log of versions; None if there is no log."""
+    try:
+        entries = spark.read.schema(_LOG).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    # An entry per write; entries are only ever added, so none is lost by a crash.
+    last = entries.orderBy(F.desc("number")).limit(2).collect()
+    if len(last) == 2 and last[0]["number"] == last[1]["number"]:
+        raise ValueError(f"two writers at once have written to {path}; write the ledger again")
+    return last[0] if last else None
+
+
+def append_version(
+    spark: SparkSession, path: str, state: str, version: str | None = None, folder: str | None = None,
+    years: list[int] | None = None, tables: list[str] | None = None,
+) -> str:
+    """Adds an entry; a new version is drawn unless one is given.  Returns the version."""
+    before = read_version(spark, path)
+    version = version or uuid.uuid4().hex
+    entry = (0 if before is None else before["number"] + 1, state, version, folder, years, tables)
+    spark.createDataFrame([entry], _LOG).coalesce(1).write.mode("append").parquet(path)
+    return version
+
+
+def _done_version(spark: SparkSession, path: str, what: str) -> str:
+    entry = read_version(spark, path)
+    if entry is None or entry["state"] != DONE:
+        raise ValueError(f"{what} was never finished ({path})")
+    return entry["version"]
 
 
 def write_rollup(ledger: Ledger, root: str) -> None:
     """Store the monthly rollup of the transactions next to the tables in ``root``.
 
-    ``ledger`` has to be what is stored there.
+    It is made from what is stored there, whatever ``ledger`` holds, and keeps the
+    version those tables had before they were read.  ``ledger`` tells the session and
+    the type of ids.
     """
-    rows = activity(ledger.with_tables(transactions=ledger.transactions))
-    _write_by_year(monthly_rollup(rows), f"{root}/{ROLLUP}", ["user_id", "date", "category_id"])
     spark = ledger.profiles.sparkSession
-    _write_version(spark, f"{root}/{ROLLUP}_{VERSION}", _version(spark, f"{root}/{VERSION}"))
+    version = _done_version(spark, f"{root}/{VERSION}", "the ledger")
+    log = f"{root}/{ROLLUP}_{VERSION}"
+    append_version(spark, log, WRITING)
+    stored = read_ledger(spark, root, ledger.transactions.schema["user_id"].dataType)
+    _write_by_year(monthly_rollup(activity(stored)), f"{root}/{ROLLUP}", CLUSTERS[ROLLUP])
+    append_version(spark, log, DONE, version)
+
+
+def stored_schema(name: str, id_type: T.DataType | None = None) -> T.StructType:
+    """The declared schema of a stored table or of the rollup."""
+    ids = ("id", "user_id", "category_id")
+    schema = ROLLUP_SCHEMA if name == ROLLUP else SCHEMAS[name]
+    columns = [
+        T.StructField(f.name, (id_type or T.StringType()) if f.name in ids else f.dataType, True) for f in schema
+    ]
+    if name in CLUSTERS:
+        columns.append(T.StructField(YEAR_PARTITION, T.IntegerType(), True))
+    return T.StructType(columns)
 
 
 def read_ledger(
@@ -78,28 +139,21 @@ def read_ledger(
 ) -> Ledger:
     """Open a stored ledger with its declared schema; nothing is inferred.
 
-    ``id_type`` is for ledgers whose ids are not UUID strings.  ``rollup`` raises if
-    the tables were written again after the rollup.
+    ``id_type`` is for ledgers whose ids are not UUID strings.  Tables whose writer was
+    broken off raise; ``rollup`` also raises if the tables were written after the rollup.
     """
-    id_type = id_type or T.StringType()
-
-    def typed(schema: T.StructType, name: str) -> T.StructType:
-        ids = ("id", "user_id", "category_id")
-        columns = [
-            T.StructField(f.name, id_type if f.name in ids else f.dataType, True) for f in schema
-        ]
-        if name in ("transactions", ROLLUP):
-            columns.append(T.StructField(YEAR_PARTITION, T.IntegerType(), True))
-        return T.StructType(columns)
-
-    def table(name: str, schema: T.StructType) -> DataFrame:
-        return spark.read.schema(typed(schema, name)).parquet(f"{root}/{name}")
+    def table(name: str) -> DataFrame:
+        return spark.read.schema(stored_schema(name, id_type)).parquet(f"{root}/{name}")
 
-    tables = {name: table(name, schema) for name, schema in SCHEMAS.items()}
+    tables = {name: table(name) for name in SCHEMAS}
+    entry = read_version(spark, f"{root}/{VERSION}")
+    if entry is not None and entry["state"] != DONE:
+        raise ValueError(f"a write to {root} was broken off; finish_changes or write the ledger again")
     if rollup:
-        if _version(spark, f"{root}/{VERSION}") != _version(spark, f"{root}/{ROLLUP}_{VERSION}"):
+        tables_version = _done_version(spark, f"{root}/{VERSION}", "the ledger")
+        if tables_version != _done_version(spark, f"{root}/{ROLLUP}_{VERSION}", "the rollup"):
             raise ValueError(f"the rollup in {root} is of older tables; write it again")
-        tables[ROLLUP] = table(ROLLUP, ROLLUP_SCHEMA)
+        tables[ROLLUP] = table(ROLLUP)
     return Ledger(**tables)
 
 

@@ -598,6 +598,39 @@ SELECT -id, 1, amount, frequency, start_date, end_date, CASE WHEN id % 9 = 8 THE
 FROM costs WHERE id % 9 IN (0, 6, 8)"""
 
 
+# New rows, moves and new categories, then users deleted with all they own.
+CHANGED = f"""
+enlarged AS (
+  SELECT id, user_id, category_id, amount, date, type FROM transactions
+  UNION ALL
+  SELECT -id, user_id, category_id, amount, CASE WHEN id % 2 = 0 THEN date ELSE {AS_OF} END, type
+  FROM transactions WHERE id % 17 = 0 AND id <> 0),
+edited AS (
+  SELECT id, user_id, CASE WHEN id % 7 = 0 THEN (user_id + 1) * 100 + 11 ELSE category_id END AS category_id,
+         amount, CASE WHEN id % 11 = 0 THEN CAST(date + INTERVAL 12 MONTH AS DATE) ELSE date END AS date, type
+  FROM enlarged),
+left_users AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD'),
+changed AS (
+  SELECT id, user_id,
+         CASE WHEN category_id NOT IN (SELECT id FROM categories WHERE user_id IN (SELECT c_custkey FROM left_users))
+           THEN category_id END AS category_id,
+         amount, date, type
+  FROM edited WHERE user_id NOT IN (SELECT c_custkey FROM left_users))"""
+
+
+def _rollup_after_changes() -> str:
+    return f"""{_with(CATEGORIES, TRANSACTIONS, CHANGED)}
+SELECT user_id, category_id, type, CAST(date_trunc('month', date) AS DATE) AS date,
+       {_money("sum(amount)")} AS amount, count(*) AS n, max(date) AS last_date
+FROM changed GROUP BY 1, 2, 3, 4"""
+
+
+def _report_after_changes() -> str:
+    report = _annual_report(YEAR, "changed").replace("(SELECT id AS user_id FROM profiles) u",
+        "(SELECT id AS user_id FROM profiles WHERE id NOT IN (SELECT c_custkey FROM left_users)) u")
+    return report.replace("WITH", f"WITH {CATEGORIES},", 1).replace(",\nmonthly AS", f",{CHANGED},\nmonthly AS", 1)
+
+
 # --- quality ---------------------------------------------------------------
 
 NUMBER = r"^[+-]?([0-9]*[.])?[0-9]+$"
@@ -848,6 +881,9 @@ ORACLE: dict[str, str] = {
     "all_time_balance_stored": _all_time_balance(),
     "all_time_balance_rollup": _all_time_balance(),
     "top_categories_rollup": _top_all_time(),
+    "rollup_after_changes": _rollup_after_changes(),
+    "transactions_after_changes": f"{_with(CATEGORIES, TRANSACTIONS, CHANGED)}\nSELECT * FROM changed",
+    "annual_report_after_changes": _report_after_changes(),
     "validate_transactions": _validate_transactions(),
     "validate_goals": _validate_goals(),
     "validate_schedules": f"{_with(SCHEDULES, RAW_SCHEDULES)}\n"
