@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.model import AMOUNT, SCHEDULES, Ledger
-from ledgerloom.operators import changes, listings, quality, recurring, reports
+from ledgerloom.operators import changes, gate, listings, policies, quality, recurring, reports
 from ledgerloom.plans import upkeep
 from ledgerloom.plans.activity import activity
 from ledgerloom.session import shared_dir
@@ -26,6 +26,7 @@ from ledgerloom.sources import testbed
 from ledgerloom.sources import upkeep as stored_upkeep
 from ledgerloom.sources.parquet import read_ledger, write_ledger, write_rollup
 from ledgerloom.sources.testbed import AS_OF, read_table
+from ledgerloom.sql import register_reports
 from ledgerloom.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -476,6 +477,86 @@ def _report_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.annual_report(_changed_in_place(spark, sf_dir), YEAR, AS_OF)
 
 
+# --- refused rows ----------------------------------------------------------
+
+
+def _gate(ledger: Ledger) -> DataFrame:
+    """New rows of which many break rules: stored and repeated ids, unknown users and
+    categories, wrong types, missing and too large amounts."""
+    key = F.col("id")
+    rows = ledger.transactions.where(key % 5 == 0)
+    rows = rows.unionByName(rows.where(key % 35 == 0)).select(
+        F.when(key % 3 == 0, key).otherwise(-key).alias("id"),
+        F.when(key % 25 == 0, key + 1_000_000_000).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(key % 4 == 0, -F.col("category_id")).otherwise(F.col("category_id")).alias("category_id"),
+        F.when(key % 11 == 0, F.col("amount").cast(T.DecimalType(18, 2)) * 1000000)
+        .when(key % 7 != 0, F.col("amount")).alias("amount"),
+        "note",
+        "date",
+        F.when(key % 6 == 0, "gift").otherwise(F.col("type")).alias("type"),
+    )
+    accepted, refused = gate.gate(ledger, "transactions", rows)
+    shown = ("id", "user_id", "category_id", "amount")
+    return accepted.select(*shown, F.lit("").alias("broken_rules")).unionByName(
+        refused.select(*shown, F.array_join("broken_rules", "; ").alias("broken_rules"))
+    )
+
+
+def _scoped_changes(ledger: Ledger) -> DataFrame:
+    """Inserts, updates and deletes in users' names, some of them of others' rows and
+    some that would give a row away: what is left, and what was refused why."""
+    key, owner = F.col("id"), F.col("user_id")
+
+    def asked_by(stranger: Column) -> Column:
+        return F.when(stranger, owner + 1).otherwise(owner).alias("actor_id")
+
+    rows = ledger.transactions
+    new = _new_rows(ledger).where("id <> 0").withColumn("actor_id", asked_by(key % 34 == 0))
+    edits = rows.where(key % 11 == 0).select(
+        "id", F.lit("seen").alias("note"), asked_by(key % 33 == 0),
+        F.when(key % 22 == 0, owner + 5).otherwise(owner).alias("new_owner"),
+        F.when(key % 33 == 0, F.array(F.lit("note"))).otherwise(F.array(F.lit("note"), F.lit("new_owner"))).alias("set_fields"),
+    )
+    gone = rows.where(key % 13 == 0).select("id", asked_by(key % 39 == 0))
+    left, refused_new = policies.insert_as(ledger, "transactions", new, {"date": F.lit(AS_OF)})
+    left, refused_edits = policies.update_as(ledger.with_tables(transactions=left), "transactions", edits)
+    left, refused_gone = policies.delete_as(ledger.with_tables(transactions=left), "transactions", gone)
+    refused = [
+        r.select(F.lit(action).alias("what"), "id", F.col("actor_id").alias("user_id"), F.col("reason").alias("detail"))
+        for action, r in (("insert", refused_new), ("update", refused_edits), ("delete", refused_gone))
+    ]
+    return _union([left.select(F.lit("row").alias("what"), "id", "user_id", F.col("note").alias("detail")), *refused])
+
+
+# --- reports from SQL ------------------------------------------------------
+
+
+def _sql_report(name: str, arguments: str = "") -> Query:
+    """A report as a table function, called for every profile in LATERAL."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_reports(load_ledger(spark, sf_dir), "book_")
+        given = ", ".join(a for a in ("p.id", arguments) if a)
+        return spark.sql(f"SELECT p.id AS user_id, r.* FROM book_profiles p, LATERAL book_{name}({given}) r")
+
+    return query
+
+
+def _sql_category_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_reports(load_ledger(spark, sf_dir), "book_")
+    return spark.sql(
+        "SELECT c.user_id, c.id AS category_id, r.* FROM book_categories c,"
+        f" LATERAL book_category_trend(c.user_id, 2001, DATE'{AS_OF}', c.id) r"
+    )
+
+
+def _sql_top_recent_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sql_report("top_categories_recent_years")(spark, sf_dir)
+    return rows.select("user_id", "year", F.posexplode_outer("categories")).select(
+        "user_id", "year", F.col("pos").alias("position"), "col.*"
+    )
+
+
 # --- quality ---------------------------------------------------------------
 
 
@@ -681,6 +762,21 @@ QUERIES: dict[str, Query] = {
     "rollup_after_changes": _rollup_after_changes,
     "transactions_after_changes": _transactions_after_changes,
     "annual_report_after_changes": _report_after_changes,
+    # refused rows
+    "gate_new_transactions": _on_ledger(_gate),
+    "scoped_changes": _on_ledger(_scoped_changes),
+    # reports from SQL
+    "sql_monthly_calendar": _sql_report("monthly_calendar", f"{YEAR}, {MONTH}"),
+    "sql_monthly_report": _sql_report("monthly_report", f"{YEAR}, {MONTH}"),
+    "sql_category_trend": _sql_category_trend,
+    "sql_annual_report": _sql_report("annual_report", f"2001, DATE'{AS_OF}'"),
+    "sql_annual_trend": _sql_report("annual_trend", str(YEAR)),
+    "sql_annual_categories": _sql_report("annual_categories", str(YEAR)),
+    "sql_all_time_balance": _sql_report("all_time_balance"),
+    "sql_all_time_categories": _sql_report("all_time_categories"),
+    "sql_top_categories_all_time": _sql_report("top_categories_all_time"),
+    "sql_recent_years_summary": _sql_report("recent_years_summary"),
+    "sql_top_categories_recent_years": _sql_top_recent_years,
     # quality
     "validate_transactions": _on_ledger(_validate_transactions),
     "validate_goals": _on_ledger(_validate_goals),

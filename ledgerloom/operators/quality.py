@@ -278,7 +278,7 @@ def _violations(table: str, ids: DataFrame, rule: str) -> DataFrame:
     )
 
 
-def _row_rules(table: str) -> list[Column]:
+def row_rules(table: str) -> list[Column]:
     """Names of broken rules that one row alone can show."""
     rules = [
         F.when(F.col(c).isNull(), f"{c} not null") for c in _REQUIRED[table]
@@ -316,7 +316,7 @@ def check_constraints(ledger: Ledger) -> DataFrame:
         parents = {} if name == "profiles" else {"user_id": ledger.profiles}
         if name in _CATEGORISED:
             parents["category_id"] = ledger.categories
-        rules, rows = _row_rules(name), table
+        rules, rows = row_rules(name), table
         for column, parent in parents.items():
             rows = _with_known(rows, column, parent)
             orphan = F.col(column).isNotNull() & F.col(f"__known_{column}").isNull()

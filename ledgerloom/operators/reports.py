@@ -29,6 +29,7 @@ from ledgerloom.plans.ranking import (
     latest,
     named_groups,
     others_entry,
+    top_by_year,
     top_with_others,
 )
 
@@ -521,16 +522,10 @@ def top_categories_recent_years(
 
     A year without categorised rows has an empty array.
     """
-    rows = activity(ledger, None, user_id).withColumn("year", F.year("date"))
-    # Uncategorised rows make a year active.  This scan reads users and dates only.
-    years = latest(rows.select("user_id", "year").distinct(), F.desc("year"))
-    categorised = by_category(rows, "year").join(years, ["user_id", "year"], "left_semi")
-    groups = named_groups(categorised, ledger.categories, ["user_id", "year"])
-    ranked = top_with_others(groups, ["user_id", "year"], OTHERS_ICON_BY_YEAR)
-    entries = ranked.schema["entries"].dataType
-    report = years.join(ranked, ["user_id", "year"], "left").select(
-        "user_id",
-        "year",
-        F.coalesce("entries", F.array().cast(entries)).alias("categories"),
+    year = F.year("date").alias("year")
+    # One pass: uncategorised rows stay as a group of their own, as they make a year active.
+    amounts = activity(ledger, None, user_id).groupBy("user_id", "category_id", year).agg(
+        total(F.col("amount")).alias("amount")
     )
+    report = top_by_year(amounts, ledger.categories, OTHERS_ICON_BY_YEAR)
     return _arranged(report, user_id, ordered, F.desc("year"))

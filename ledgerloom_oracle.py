@@ -631,6 +631,42 @@ def _report_after_changes() -> str:
     return report.replace("WITH", f"WITH {CATEGORIES},", 1).replace(",\nmonthly AS", f",{CHANGED},\nmonthly AS", 1)
 
 
+def _gate() -> str:
+    rules = {
+        "amount not null": "amount IS NULL",
+        "type domain": "type = 'gift'",
+        "amount range": "abs(amount) >= 10000000000",
+        "user_id reference": "user_id NOT IN (SELECT id FROM profiles)",
+        "category_id reference": "category_id NOT IN (SELECT id FROM categories)",
+        "id unique": "id IN (SELECT id FROM transactions) OR count(*) OVER (PARTITION BY id) > 1",
+    }
+    broken = ", ".join(f"CASE WHEN {wrong} THEN '{rule}' END" for rule, wrong in rules.items())
+    return f"""{_with(PROFILES, CATEGORIES, TRANSACTIONS)},
+asked AS (SELECT * FROM transactions WHERE id % 5 = 0 UNION ALL SELECT * FROM transactions WHERE id % 35 = 0),
+batch AS (
+  SELECT CASE WHEN id % 3 = 0 THEN id ELSE -id END AS id,
+         CASE WHEN id % 25 = 0 THEN id + 1000000000 ELSE user_id END AS user_id,
+         CASE WHEN id % 4 = 0 THEN -category_id ELSE category_id END AS category_id,
+         CASE WHEN id % 11 = 0 THEN CAST(amount AS DECIMAL(30,2)) * 1000000 WHEN id % 7 <> 0 THEN amount END AS amount,
+         CASE WHEN id % 6 = 0 THEN 'gift' ELSE type END AS type
+  FROM asked)
+SELECT id, user_id, category_id, CAST(amount AS DECIMAL(29,2)) AS amount, concat_ws('; ', {broken}) AS broken_rules FROM batch"""
+
+
+def _scoped_changes() -> str:
+    return f"""{_with(TRANSACTIONS)}
+SELECT 'row' AS what, id, user_id,
+       CASE WHEN id % 11 = 0 AND id % 33 <> 0 AND id % 22 <> 0 THEN 'seen' END AS detail
+FROM transactions WHERE id % 13 <> 0 OR id % 39 = 0
+UNION ALL SELECT 'row', -id, user_id, NULL FROM transactions WHERE id % 17 = 0 AND id % 34 <> 0
+UNION ALL SELECT 'insert', -id, user_id + 1, 'row of another user' FROM transactions WHERE id % 34 = 0 AND id <> 0
+UNION ALL
+SELECT 'update', id, user_id + CASE WHEN id % 33 = 0 THEN 1 ELSE 0 END,
+       CASE WHEN id % 33 = 0 THEN 'row not visible' ELSE 'row of another user' END
+FROM transactions WHERE id % 33 = 0 OR id % 22 = 0
+UNION ALL SELECT 'delete', id, user_id + 1, 'row not visible' FROM transactions WHERE id % 39 = 0"""
+
+
 # --- quality ---------------------------------------------------------------
 
 NUMBER = r"^[+-]?([0-9]*[.])?[0-9]+$"
@@ -884,6 +920,19 @@ ORACLE: dict[str, str] = {
     "rollup_after_changes": _rollup_after_changes(),
     "transactions_after_changes": f"{_with(CATEGORIES, TRANSACTIONS, CHANGED)}\nSELECT * FROM changed",
     "annual_report_after_changes": _report_after_changes(),
+    "gate_new_transactions": _gate(),
+    "scoped_changes": _scoped_changes(),
+    "sql_monthly_calendar": _calendar(),
+    "sql_monthly_report": _monthly_report(),
+    "sql_category_trend": _category_trend(2001),
+    "sql_annual_report": _annual_report(2001),
+    "sql_annual_trend": _annual_trend(YEAR),
+    "sql_annual_categories": _category_shares(IN_YEAR.format(YEAR)),
+    "sql_all_time_balance": _all_time_balance(),
+    "sql_all_time_categories": _category_shares("true"),
+    "sql_top_categories_all_time": _top_all_time(),
+    "sql_recent_years_summary": _recent_years(),
+    "sql_top_categories_recent_years": _top_recent_years(),
     "validate_transactions": _validate_transactions(),
     "validate_goals": _validate_goals(),
     "validate_schedules": f"{_with(SCHEDULES, RAW_SCHEDULES)}\n"

@@ -129,3 +129,9 @@ def test_guarded_changes_read_the_categories_once(spark, stored):
     batch = spark.createDataFrame([("1", "1", "x")], "id string, user_id string, color string")
     text = plan(changes.category_changes_guarded(book.categories, batch, batch))
     assert len(re.findall(r"FileScan parquet [^\n]*/categories\]", text)) == 1
+
+
+def test_recent_years_read_the_transactions_once(spark, stored):
+    text = plan(reports.top_categories_recent_years(read_ledger(spark, stored)))
+    assert len(re.findall(r"FileScan parquet [^\n]*ReadSchema: struct<[^>]*date:date", text)) == 1
+    assert text.count("Exchange hashpartitioning") <= 6

@@ -225,5 +225,4 @@ def test_a_change_reads_the_touched_years_alone(spark, tmp_path, monkeypatch):
     text = lambda df: df._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(stored.upkeep, "after", lambda t, c: plans.append(text(real(t, c))) or real(t, c))
     stored.change_stored(spark, root, lambda b: upkeep.deleted(b.transactions, keys(spark, ("1", "u"))))
-    (rows_read, _) = [line for line in plans[0].splitlines() if "FileScan parquet" in line]
-    assert re.search(r"PartitionFilters: \[[^]]*date_year#\d+ = 2022", rows_read)
+    assert re.search(r"PartitionFilters: \[[^]]*date_year#\d+ = 2022", plans[0])
