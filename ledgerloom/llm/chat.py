@@ -106,14 +106,24 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     return paths.join(ended, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("leaf") == F.col("_l")), "left_semi")
 
 
-def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
+def once(messages: DataFrame) -> DataFrame:
+    """``messages`` with one row of each (conv_id, message): the first by parent (nulls
+    first), role, text and score."""
+    columns = ("parent", "role", "text", "score")
+    first = messages.groupBy("conv_id", "message").agg(F.min(F.struct(*columns)).alias("m"))
+    return first.select("conv_id", "message", *(F.col(f"m.{c}").alias(c) for c in columns))
+
+
+def format_trees(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
     """One row per chosen path: conv_id, branch (rank from 1), leaf, formatted, loss_spans.
 
-    ``messages`` has conv_id, message, parent, role, text and score; (conv_id, message)
-    is unique.  A path's score is the sum of its messages' scores; ties go to the longer
+    ``messages`` has conv_id, message, parent, role, text and score.  Of repeated
+    (conv_id, message) one row counts, see ``once``; ``unique`` says that there are none.
+    A path's score is the sum of its messages' scores; ties go to the longer
     path, then to the smaller leaf.  loss_spans are (begin, end) in code points of each
     assistant text inside ``formatted``.  Only the chosen paths' texts are moved.
     """
+    messages = messages if unique else once(messages)
     paths = leaf_paths(messages)
     scores = messages.select(F.col("conv_id").alias("_sc"), F.col("message").alias("_sm"), F.coalesce("score", F.lit(0.0)).alias("_score"))
     totals = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from ledgerloom.llm import pipeline
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -194,5 +194,5 @@ FROM g
     "op11_structure": _CONVERSATIONS,
     "op12_filters": _FILTERS,
 }
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = pipeline.ORACLE_SQL

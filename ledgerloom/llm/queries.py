@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from ledgerloom.llm import (
-    chat, decontaminate, filter_audit, licenses, mixing, ngram_join, quality, secret_scan, sharding, structure, token_files,
+    chat, decontaminate, filter_audit, licenses, mixing, ngram_join, pipeline as stages, quality, secret_scan, sharding, structure, token_files,
     topk, toxicity,
 )
 from ledgerloom.llm.common import read, shared_folder
@@ -64,7 +63,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)],
         "conv_id long, turn long, role string, text string",
     )
-    formatted = chat.format_trees(chat.threads(turns.unionByName(added)))
+    formatted = chat.format_trees(chat.threads(turns.unionByName(added)), unique=True)
     whole = F.col("formatted")
     texts = F.arrays_zip(chat.read_back(whole, 1).alias("role"), chat.read_back(whole, 2).alias("text"))
     said = F.concat_ws("", F.transform(texts, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
@@ -93,7 +92,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.join_documents(read(spark, sf_dir, "documents"), k=3, num=90, den=100)
-    return joined.select("doc_id", "n_shingles", "component_id")
+    return joined.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +114,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {

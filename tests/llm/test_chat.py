@@ -80,3 +80,13 @@ def test_escapes_are_reversible(spark):
 def test_empty_table(spark):
     assert chat.format_trees(tree(spark, [])).count() == 0
     assert Counter(r.conv_id for r in chat.format_trees(tree(spark, ROWS[:1])).collect()) == {1: 1}
+
+
+def test_repeated_messages_count_once(spark):
+    thread = [(1, i, i - 1 if i > 1 else None, "user" if i % 2 else "assistant", f"m{i}", 0.0) for i in range(1, 9)]
+    repeats = [thread[2], thread[2], thread[5], (1, 3, 2, "user", "zz later text", 9.0), (1, 4, None, "assistant", "m4 but a root", 5.0)]
+    (row,) = [r for r in chat.format_trees(tree(spark, [*thread, *repeats[:4]])).select(chat.read_back(F.col("formatted"), 2).alias("t")).collect()]
+    assert row.t == [f"m{i}" for i in range(1, 9)]
+    # Of rows of one message with other parents the first by parent counts: here the root.
+    texts = {tuple(r.t) for r in chat.format_trees(tree(spark, [*thread, *repeats]), 5).select(chat.read_back(F.col("formatted"), 2).alias("t")).collect()}
+    assert texts == {("m1", "m2", "m3"), ("m4 but a root", "m5", "m6", "m7", "m8")}

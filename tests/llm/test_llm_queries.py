@@ -32,12 +32,13 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_ngram_join_of_the_table_against_all_pairs(spark):
-    from test_ngram_join import brute
+    from test_ngram_join import brute, link_counts
 
     docs = common.read(spark, SF_DIR, "documents")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    got = QUERIES["op10_ngram_join"](spark, SF_DIR)
-    assert Counter(map(tuple, got.collect())) == Counter(brute(rows, 3, 90, 100))
+    got = QUERIES["op10_ngram_join"](spark, SF_DIR).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows, 3, 90, 100))
+    assert Counter((r.doc_id, r.n_links) for r in got) == link_counts(rows, 3, 90, 100)
 
 
 def test_secrets_of_the_table_against_plain_rules(spark):

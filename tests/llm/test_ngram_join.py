@@ -4,6 +4,7 @@ from collections import Counter
 import fixtures
 import pytest
 from ledgerloom.llm import graph, ngram_join
+from pyspark.sql import functions as F
 
 
 def brute(rows, k, num, den):
@@ -56,10 +57,38 @@ def test_against_all_pairs(spark, k, num, den):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(brute(rows, k, num, den))
 
 
+def link_counts(rows, k, num, den):
+    """(doc_id, links) of each row by comparing all pairs."""
+    sets = [fixtures.shingle_set(t, k) for _, t, _ in rows]
+    linked = lambda a, b: bool(a and b) and den * len(a & b) >= num * len(a | b)
+    return Counter((d, sum(linked(sets[i], b) for j, b in enumerate(sets) if i != j)) for i, (d, _, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("k,num,den,block,spread", [(3, 90, 100, 512, 1024), (5, 80, 100, 7, 5), (3, 60, 100, 3, 1)])
+def test_links_are_counted_whole(spark, monkeypatch, k, num, den, block, spread):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SPREAD", spread)
+    rows = corpus()
+    got = ngram_join.join_documents(fixtures.documents(spark, rows).repartition(4), k, num, den)
+    assert Counter((r.doc_id, r.n_links) for r in got.collect()) == link_counts(rows, k, num, den)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(20,0)"])
+def test_ids_of_other_types_lose_no_link(spark, kind):
+    rows = list({r[0]: r for r in corpus() if r[0] is not None}.values())
+    docs = fixtures.documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = ngram_join.join_documents(docs)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    sizes = Counter(r.component_id for r in got.collect() if r.n_shingles)
+    assert Counter(sizes.values()) == Counter(Counter(c for _, n, c in brute(rows, 3, 90, 100) if n).values())
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    assert Counter(r.n_links for r in ngram_join.join_documents(named).collect()) == Counter(n for _, n in link_counts(rows, 3, 90, 100).elements())
+
+
 def test_counters_do_not_change_the_answer(spark, monkeypatch):
     rows = corpus()
     expected = Counter(brute(rows, 3, 90, 100))
-    monkeypatch.setattr(ngram_join, "shingle_counts", lambda docs, k: __import__("numpy").zeros(ngram_join.COUNTERS, dtype="int64"))
+    monkeypatch.setattr(ngram_join, "word_counts", lambda docs, k: __import__("numpy").zeros(ngram_join.COUNTERS, dtype="int32"))
     got = ngram_join.join_documents(fixtures.documents(spark, rows), 3, 90, 100)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == expected
 
