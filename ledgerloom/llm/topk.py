@@ -1,11 +1,14 @@
 """Exact top-k by inner product: columnar branch and bound.
 
 Candidates are held in vertical layout, one row of the matrix per dimension.  For a
-block of queries the inner products are added up dimension block by dimension block,
-the dimensions with most query mass first.  After each block a pair's score is bounded
-by what it has plus the product of both vectors' remaining mass (their norms over the
-dimensions to come).  Pairs whose bound is below their query's k-th best lower bound are
-dropped and the survivors compacted.  All sums are of integers, so nothing is rounded.
+tile of queries the inner products are added up dimension block by dimension block, the
+dimensions with most query mass first.  After each block a pair's score is bounded by
+what it has plus the product of both vectors' remaining mass (their norms over the
+dimensions to come).  Pairs whose bound is below their query's floor are dropped and the
+survivors compacted: whole candidates and queries while many pairs are left, single
+pairs once few are.  Floors come from the best so far, and before the first block from
+the exact scores of the candidates of largest norm; candidates whose norm alone can't
+reach any floor are never multiplied.  All sums are of integers, so nothing is rounded.
 
 Queries come in blocks of at most about QUERY_BLOCK, each broadcast; candidates are
 read in place, each task keeps k rows per query, and only those are shuffled.
@@ -27,6 +30,8 @@ QUERY_BLOCK = 4096  # queries broadcast at once
 TILE = 128  # queries of a block handled at once against a batch of candidates
 BATCH = 4096  # candidates of a batch
 STEP = 16  # dimensions of a block
+SEEDS = 64  # candidates of largest norm whose exact scores make the first floors
+FEW = 0.02  # share of pairs left below which they are followed one by one
 
 
 def integers(column: str) -> Column:
@@ -40,43 +45,70 @@ def integers(column: str) -> Column:
     return F.when(finite, F.transform(column, scaled))
 
 
-def best_pairs(queries: np.ndarray, columns: np.ndarray, floor: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the k-th highest value; -inf where there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def best_pairs(queries: np.ndarray, columns: np.ndarray, floor: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, work: list | None = None) -> tuple:
     """Pairs (query, candidate, score) that may be among their query's k best.
 
     ``queries`` is (m, d), ``columns`` (d, n), both of integers; ``floor`` the score that
-    each query's pairs have to reach.  A query isn't paired with its own id.
+    each query's pairs have to reach; ``ids`` differ.  A query isn't paired with its own
+    id.  ``work`` gets the number of products each step made.
     """
-    m, n = len(queries), columns.shape[1]
+    m, n, d = len(queries), columns.shape[1], len(columns)
+    work = [] if work is None else work
     order = np.argsort(-(queries**2).sum(axis=0), kind="stable")
     queries, columns = queries[:, order], columns[order]
     q_left, c_left = (queries**2).sum(axis=1), (columns**2).sum(axis=0)
-    q, c = np.divmod(np.flatnonzero((own[:, None] != ids[None, :]).ravel()), n)
-    score, first = np.zeros(len(q)), True
-    for lo in range(0, len(columns), STEP):
-        part = slice(lo, lo + STEP)
-        if first:
-            score = (queries[:, part] @ columns[part])[q, c]
-            first = False
-        else:
-            score += np.einsum("ij,ji->i", queries[q, part], columns[part][:, c])
+    q_norm, c_norm = np.sqrt(q_left), np.sqrt(c_left)
+    # Floors from the candidates most likely to be best.
+    heavy = np.argpartition(-c_norm, SEEDS - 1)[:SEEDS] if n > SEEDS else np.arange(n)
+    seeds = np.where(own[:, None] == ids[heavy][None, :], -np.inf, queries @ columns[:, heavy])
+    work.append(m * len(heavy) * d)
+    bar = np.maximum(floor, _kth(seeds, k))
+    # A pair's score is at most the product of its norms; the one is for their rounding.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        asked = np.where(q_norm > 0, (bar - 1) / q_norm, np.where(bar <= 0, -np.inf, np.inf))
+    rows, cols = np.arange(m), np.flatnonzero(c_norm >= asked.min(initial=np.inf))
+    score = np.zeros((m, len(cols)))
+    pairs: tuple[np.ndarray, np.ndarray] | None = None
+    for lo in range(0, d, STEP):
+        part, more = slice(lo, lo + STEP), lo + STEP < d
         q_left = q_left - (queries[:, part] ** 2).sum(axis=1)
         c_left = c_left - (columns[part] ** 2).sum(axis=0)
-        rest = np.sqrt(np.maximum(q_left, 0))[q] * np.sqrt(np.maximum(c_left, 0))[c]
-        if lo + STEP < len(columns):
-            rest += 1  # rounding of the square roots only; sums of integers are exact
-        keep = score + rest >= floor[q]
-        q, c, score, rest = q[keep], c[keep], score[keep], rest[keep]
-        # The k-th best lower bound of each query, from the pairs that are left.
-        low = score - rest
-        by = np.lexsort((-low, q))
-        starts = np.searchsorted(q[by], np.arange(m))
-        counts = np.bincount(q, minlength=m)
-        enough = counts >= k
-        bar = floor.copy()
-        bar[enough] = np.maximum(bar[enough], low[by][starts[enough] + k - 1])
-        keep = score + rest >= bar[q]
-        q, c, score = q[keep], c[keep], score[keep]
-    return q, c, score
+        q_rest, c_rest = np.sqrt(np.maximum(q_left, 0)), np.sqrt(np.maximum(c_left, 0))
+        if pairs is None:
+            work.append(len(rows) * len(cols) * (min(lo + STEP, d) - lo))
+            score += queries[rows, part] @ columns[part][:, cols]
+            reach = score + q_rest[rows][:, None] * c_rest[cols][None, :] + more
+            alive = (reach >= bar[rows][:, None]) & (own[rows][:, None] != ids[cols][None, :])
+            if alive.sum() <= FEW * m * n or not more:
+                q, c = np.nonzero(alive)
+                score, pairs = score[q, c], (rows[q], cols[c])
+            else:
+                keep_rows, keep_cols = alive.any(axis=1), alive.any(axis=0)
+                rows, cols = rows[keep_rows], cols[keep_cols]
+                score = score[np.ix_(keep_rows, keep_cols)]
+        else:
+            q, c = pairs
+            work.append(len(q) * (min(lo + STEP, d) - lo))
+            score = score + np.einsum("ij,ji->i", queries[q, part], columns[part][:, c])
+            keep = score + q_rest[q] * c_rest[c] + more >= bar[q]
+            score, pairs = score[keep], (q[keep], c[keep])
+    if pairs is None:  # no dimension: every score is 0
+        pairs = np.nonzero((own[:, None] != ids[None, :]) & (bar[:, None] <= 0))
+        score = np.zeros(len(pairs[0]))
+    q, c = pairs
+    by = np.lexsort((-score, q))
+    place = np.arange(len(q)) - np.searchsorted(q[by], q[by])
+    last = np.full(m, -np.inf)
+    last[q[by][place == k - 1]] = score[by][place == k - 1]
+    keep = score >= last[q]  # ties with the k-th stay
+    return q[keep], c[keep], score[keep]
 
 
 def _exact(queries: np.ndarray, columns: np.ndarray) -> bool:

@@ -76,3 +76,34 @@ def test_bounds_drop_most_pairs_early():
 @pytest.mark.parametrize("rows", [[], [(1, [0.5])], [(50, [0.5])]])
 def test_nothing_to_find(spark, rows):
     assert run(spark, rows, parts=1) == []
+
+
+def test_products_are_few_and_columns_go_whole():
+    rng = np.random.default_rng(1)
+    norms = rng.lognormal(0, 1, 4000)
+    columns = np.floor(256 * norms * rng.normal(size=(64, 4000)) / 8)
+    queries = np.floor(256 * rng.normal(size=(32, 64)) / 8)
+    work = []
+    q, c, s = topk.best_pairs(queries, columns, np.full(32, -np.inf), np.full(32, -1), np.arange(4000), 5, work)
+    whole = queries @ columns
+    assert sum(work) < whole.size * 64 / 4
+    for i in range(32):
+        best = np.argsort(-whole[i], kind="stable")[:5]
+        assert set(best) <= set(c[q == i]) and (whole[i][c[q == i]] == s[q == i]).all()
+    again = []
+    floors = np.sort(whole, axis=1)[:, -5]
+    topk.best_pairs(queries, columns, floors, np.full(32, -1), np.arange(4000), 5, again)
+    assert sum(again) <= sum(work)
+
+
+@pytest.mark.parametrize("n,d", [(3, 8), (70, 1), (200, 33), (5, 0)])
+def test_tiles_of_all_shapes(n, d):
+    rng = np.random.default_rng(n)
+    queries, columns = np.floor(8 * rng.normal(size=(4, d))), np.floor(8 * rng.normal(size=(d, n)))
+    own = np.array([0, 1, 500, 501])
+    q, c, s = topk.best_pairs(queries, columns, np.full(4, -np.inf), own, np.arange(n), 5)
+    whole = queries @ columns
+    for i in range(4):
+        others = [j for j in range(n) if j != own[i]]
+        best = sorted((-whole[i, j] for j in others))[:5]
+        assert sorted(-s[q == i])[:5] == best and own[i] not in c[q == i]
