@@ -34,16 +34,17 @@ def training_labels(labels: DataFrame, target: str, train: Column, per_class: in
     return picked[0].unionByName(picked[1]), counts
 
 
-def sampled(docs: DataFrame, picked: DataFrame, feature: Column, bound: int) -> pa.Table:
-    """Feature and label of the picked documents, ``bound`` rows at most, on the driver."""
+def sampled(docs: DataFrame, picked: DataFrame, feature: Column) -> pa.Table:
+    """Feature and label of the picked documents, on the driver: a row per picked id.
+
+    Of rows that share an id the one whose text comes first by a hash counts, whatever
+    the number of its copies; they are reduced where they are read.
+    """
     ship(docs.sparkSession)
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(picked), "doc_id")  # 2 * per_class ids at most
-        .select("doc_id", F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("_crc"), feature.alias("x"), "_y")
-        .limit(bound)
-    )
-    return rows.toArrow().sort_by([("doc_id", "ascending"), ("_crc", "ascending")])
+    text = text_or_empty()
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_h"), text.alias("text")).join(F.broadcast(picked), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("_h", "text")).alias("_m"), F.first("_y").alias("_y"))
+    return one.select("doc_id", F.col("_m.text").alias("text"), "_y").select("doc_id", feature.alias("x"), "_y").toArrow().sort_by("doc_id")
 
 
 def flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -179,7 +179,7 @@ def scorer(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
         return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 2 * WIDTH).cast(pa.list_(pa.float64()))
 
     picked, counts = training_labels(labels, "quality", remainder(modulus) != held, per_class)
-    sample = sampled(docs, picked, pooled(hashed_words()), 4 * per_class)
+    sample = sampled(docs, picked, pooled(hashed_words()))
     x = flat(sample["x"])[0].reshape(-1, 2 * WIDTH)
     network = context.broadcast(Network(x, sample["_y"].to_numpy(), counts))
 

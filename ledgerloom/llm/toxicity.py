@@ -1,7 +1,9 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 score = sigmoid(b + sum w_i + sum over pairs <v_i, v_j>) over the distinct terms of a
-text.  The pair term lets words that are harmless alone raise the score together.
+text.  The pair term lets words that are harmless alone raise the score together: terms
+get weights and factors if their own share of toxic texts is beyond chance, or that of a
+pair with another term is.
 Terms are lower-cased runs of letters or digits, and the beginnings of longer ones,
 hashed into 2**BITS buckets.
 
@@ -27,7 +29,9 @@ RANK = 6
 BEGINNINGS = (4, 6)  # letters
 PER_CLASS = 6000  # bound of the labelled sample, per class
 MIN_DOCS = 3  # terms in fewer documents of the sample get no weight
-BOUND = 3.5  # least z score of a term that gets weights
+BOUND = 3.5  # least z score of a term that gets weights by itself
+PAIRED = 2048  # terms of most texts of the sample that are tried in pairs
+PAIR_BOUND = 10.0  # least z score of a pair; two million are tried
 DECAY = 1e-4
 EPOCHS = 15
 LEAST_ASIDE = 20
@@ -80,13 +84,43 @@ def telling(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, size: int) ->
     return (seen >= MIN_DOCS) & (np.abs(z) >= BOUND)
 
 
+def interacting(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that tell by pairs what they don't tell alone, and the pairs' z scores.
+
+    Of the PAIRED buckets in most texts of the sample every two are compared: the share of
+    toxic texts among those that hold both, against what their shares alone add up to.
+    Pairs of two buckets that tell by themselves need no test.  (buckets, z) with z zero
+    where a pair is within chance.
+    """
+    seen = np.bincount(terms, minlength=len(known))
+    often = np.argsort(-seen, kind="stable")[:PAIRED]
+    often = np.sort(often[seen[often] >= MIN_DOCS])
+    place = np.full(len(known), -1)
+    place[often] = np.arange(len(often))
+    row_of = np.repeat(np.arange(len(y)), np.diff(offsets))
+    held = place[terms] >= 0
+    grid = np.zeros((len(y), len(often)), np.float32)
+    grid[row_of[held], place[terms][held]] = 1
+    both, ones = grid.T @ grid, grid.T @ (grid * y[:, None].astype(np.float32))
+    share = y.mean()
+    alone = np.diag(ones) / np.maximum(np.diag(both), 1)
+    expected = np.clip(alone[:, None] + alone[None, :] - share, 0, 1)
+    spread = both * share * (1 - share)
+    z = (ones - both * expected) / np.sqrt(np.maximum(spread, 1))
+    z[(spread < 3) | (np.abs(z) < PAIR_BOUND) | (known[often][:, None] & known[often][None, :])] = 0
+    np.fill_diagonal(z, 0)
+    some = z.any(axis=0)
+    return often[some], z[np.ix_(some, some)]
+
+
 def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, counts: dict[int, int], bits: int = BITS, rank: int = RANK, seed: int = 11) -> Machine:
-    """Logistic loss with adaptive steps over the telling terms; other terms stay at zero.
+    """Logistic loss with adaptive steps over the terms that tell, alone or in pairs; other
+    terms stay at zero.
 
-    A fifth of the rows is kept aside to fit scale and shift of the score, weighed by the
-    classes' shares of all labels; with fewer than LEAST_ASIDE of a class there, only the
-    shift between those shares and the sample's is made.  With no row, or rows of one class only, there is nothing to learn: the score is that
-    class's smoothed share (0.5 without rows) for every text.
+    A fifth of the rows is kept aside to fit scale and shift of the score; with fewer than
+    LEAST_ASIDE of a class there, only the shift between the labels' shares and the
+    sample's is made.  With no row, or rows of one class only, there is nothing to learn:
+    the score is that class's smoothed share (0.5 without rows) for every text.
     """
     size = 1 << bits
     rng = np.random.default_rng(seed)
@@ -102,6 +136,13 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, counts: dict[int,
     y = y[~aside]
     known = telling(terms, offsets, y, size)
     factors[known] = rng.normal(0, 0.02, (int(known.sum()), rank))
+    paired, z = interacting(terms, offsets, y, known)
+    if len(paired):  # factors whose products have the signs of the pairs' scores
+        value, vector = np.linalg.eigh(z / np.abs(z).max())
+        top = np.argsort(-value)[:rank]
+        factors[paired] = 0
+        factors[paired[:, None], np.arange(len(top))] = 0.5 * vector[:, top] * np.sqrt(np.maximum(value[top], 0))
+        known[paired] = True
     row_of = np.repeat(np.arange(len(y)), np.diff(offsets))[known[terms]]
     terms = terms[known[terms]]
     begins = np.searchsorted(row_of, np.arange(len(y) + 1))
@@ -130,7 +171,7 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, counts: dict[int,
     machine = Machine(bias, linear, factors)
     if aside.any():
         z = machine.raw(*_rows(all_terms, all_offsets, np.flatnonzero(aside)))
-        machine.scale, machine.shift = _calibrated(z, all_y[aside], counts)
+        machine.scale, machine.shift = _calibrated(z, all_y[aside])
     else:
         machine.shift = log_odds_shift(counts, y)
     return machine
@@ -141,9 +182,10 @@ def _rows(terms: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.
     return np.concatenate([terms[:0], *kept]), np.concatenate([[0], np.cumsum([len(k) for k in kept], dtype=np.int64)])
 
 
-def _calibrated(z: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> tuple[float, float]:
-    """Scale and shift of least logistic loss on a grid."""
-    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of least logistic loss on a grid, both classes weighing the same:
+    toxic texts are few, and missing one costs as much as flagging a clean one."""
+    weight = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
     sign = np.where(y == 1, -1.0, 1.0)
     best = min(
         (float((weight * np.logaddexp(0, sign * (a * z + b))).sum()), float(a), float(b))
@@ -164,7 +206,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
     """
     spark = docs.sparkSession
     picked, counts = training_labels(labels, "toxic", remainder(modulus) != held, per_class)
-    sample = sampled(docs, picked, hashed_terms(), 4 * per_class)
+    sample = sampled(docs, picked, hashed_terms())
     terms, offsets = flat(sample["x"])
     machine = spark.sparkContext.broadcast(fit(terms, offsets, sample["_y"].to_numpy(), counts))
 

@@ -4,8 +4,9 @@ import zlib
 import fixtures
 import numpy as np
 import pytest
-from ledgerloom.llm import quality, toxicity
+from ledgerloom.llm import common, learning, quality, toxicity
 from ledgerloom.llm.learning import flat, sums
+from pyspark.sql import functions as F
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -84,6 +85,50 @@ def test_machine_learns_a_pair_that_is_harmless_alone():
     assert both > 0.7 > 0.5 > max(one, other)
 
 
+def test_machine_learns_terms_that_tell_nothing_alone():
+    """Toxic with both or neither of two terms: each has the same share in both classes."""
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(6000):
+        a, b = rng.random(2) < 0.5
+        own = set(rng.integers(10, 200, 8).tolist()) | ({1} if a else set()) | ({2} if b else set())
+        rows.append(sorted(own))
+        y.append(int(a == b))
+    terms, offsets = np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    y = np.array(y)
+    machine = toxicity.fit(terms, offsets, y, {0: int((y == 0).sum()), 1: int(y.sum())}, bits=8)
+    neither, one, other, both = machine.scores(np.array([1, 2, 1, 2]), np.array([0, 0, 1, 2, 4]))
+    assert min(neither, both) > 0.7 and max(one, other) < 0.3
+
+
+def test_copies_of_a_labelled_row_leave_the_sample_as_it_is(spark):
+    rng = random.Random(3)
+    rows = [(i, fixtures.prose(rng, 30), "s") for i in range(200)]
+    docs = fixtures.documents(spark, rows)
+    hot = docs.where("doc_id = 7")
+    copies = hot.crossJoin(spark.range(20_000).select()).union(docs).union(hot.withColumn("text", F.lit("another text of the id")))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], LABELS)
+    picked, _ = learning.training_labels(labels, "toxic", F.lit(True), 50)
+    few, many = (learning.sampled(d, picked, F.col("text")).to_pydict() for d in (docs, copies.repartition(6)))
+    assert len(few["doc_id"]) == 100 and few["doc_id"] == many["doc_id"] and few["_y"] == many["_y"]
+    assert [x for d, x in zip(few["doc_id"], few["x"], strict=True) if d != 7] == [x for d, x in zip(many["doc_id"], many["x"], strict=True) if d != 7]
+
+
+@pytest.mark.parametrize(
+    "score,target,caught,least",
+    [(toxicity.score_toxicity, "toxic", 1, (0.98, 0.9, 0.99)), (quality.score_quality, "quality", 0, (0.98, 0.85, 0.98))],
+)
+def test_accuracy_on_the_given_labels(spark, score, target, caught, least):
+    """Held-out rows: area under the curve, share of the bad ones caught, share of the good ones kept."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = common.read(spark, sf_dir, "labels")
+    got = score(common.read(spark, sf_dir, "documents"), labels).where("held_out").join(labels, "doc_id").collect()
+    y, s = np.array([r[target] for r in got]), np.array([r.score for r in got])
+    flagged = np.array([r.predicted for r in got]) == caught
+    assert auc(y, s) > least[0]
+    assert flagged[y == caught].mean() >= least[1] and (~flagged)[y != caught].mean() >= least[2]
+
+
 def test_machine_against_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     m = toxicity.Machine(0.3, rng.normal(size=16), rng.normal(size=(16, 3)))
