@@ -104,9 +104,15 @@ def scan_unseen(docs: DataFrame, ledger: str, rules: str = RULE_VERSION, path: s
 
 
 def findings_by_path(docs: DataFrame, ledger: str, rules: str = RULE_VERSION, path: str = "doc_id") -> DataFrame:
-    """Every row's path with its blob and findings, from the ledger alone."""
+    """Every row's path with its blob and findings, from the ledger alone.
+
+    Rows come back as often as they are in ``docs``, however often the ledger holds
+    their blob; null texts are the empty blob and null paths are paths.
+    """
     known = read_ledger(docs, ledger).where((F.col("rules") == rules) & (F.size("findings") > 0))
-    return versions(docs, path).join(known.select("blob", "findings"), "blob", "left")
+    # Two scans at once, or an append done again, may have stored a blob twice.
+    known = known.groupBy("blob").agg(F.first("findings").alias("findings"))
+    return versions(docs, path).join(known, "blob", "left")
 
 
 def scan(docs: DataFrame, ledger: str, rules: str = RULE_VERSION, path: str = "doc_id") -> DataFrame:

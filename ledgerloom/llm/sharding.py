@@ -36,20 +36,25 @@ def settle(counts: dict[int, int], shards: int, vnodes: int) -> list[tuple[int,
     """
     ring = sorted((_place_of(s, v), s) for s in range(shards) for v in range(vnodes))
     places = [p for p, _ in ring]
-    # Clockwise order of the distinct shards from each place of the ring.
-    onward: list[list[int]] = [[] for _ in ring]
-    seen: list[int] = []
-    for i in range(2 * len(ring) - 1, -1, -1):
-        shard = ring[i % len(ring)][1]
-        seen = [shard, *(s for s in seen if s != shard)]
-        if i < len(ring):
-            onward[i] = seen
     total = sum(counts.values())
     room = [total // shards + (s < total % shards) for s in range(shards)]
     used = [0] * shards
     pieces: list[tuple[int, int, int, int, int]] = []
     waiting: list[tuple[int, int, int]] = []
 
+    # Clockwise from each place, the next one whose shard may have room: paths are halved
+    # as they are walked, so all walks together take about one step a place.
+    onward = list(range(len(ring)))
+
+    def with_room(at: int) -> int:
+        while True:
+            while onward[at] != at:
+                onward[at] = onward[onward[at]]
+                at = onward[at]
+            if used[ring[at][1]] < room[ring[at][1]]:
+                return at
+            onward[at] = (at + 1) % len(ring)
+
     def put(slot: int, begin: int, end: int, shard: int) -> int:
         n = min(end - begin, room[shard] - used[shard])
         if n > 0:
@@ -60,14 +65,12 @@ def settle(counts: dict[int, int], shards: int, vnodes: int) -> list[tuple[int,
     # Slots come in scattered order, so that what overflows is spread over the ring.
     for slot in sorted(counts, key=lambda s: (s * 40503) % SLOTS):
         at = bisect_left(places, slot) % len(ring)
-        rest = put(slot, 0, counts[slot], onward[at][0])
+        rest = put(slot, 0, counts[slot], ring[at][1])
         if rest < counts[slot]:
             waiting.append((slot, rest, at))
     for slot, begin, at in waiting:
-        for shard in onward[at][1:]:
-            begin = put(slot, begin, counts[slot], shard)
-            if begin == counts[slot]:
-                break
+        while begin < counts[slot]:  # the rooms sum to the rows, so there is one
+            begin = put(slot, begin, counts[slot], ring[with_room(at)][1])
     return pieces
 
 

@@ -50,14 +50,7 @@ _PARQUET = {
 
 
 class Encoder:
-    """Encodes texts chunk by chunk between ASCII white space, and remembers chunks.
-
-    For tokenizers that never join characters across white space and drop it; then the
-    ids are those of the whole text.  ``joins_white_space`` tells others, which get
-    each text whole.
-    """
-
-    KEPT, LONGEST = 300_000, 48  # chunks remembered, and bytes of a chunk worth it
+    """A tokenizer of the tokenizers library, loaded once per task; its own threads are off."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,37 +58,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.whole = self.joins_white_space()
-        self.known: dict[bytes, bytes] = {}
-
-    def joins_white_space(self) -> bool:
-        """Whether white space, of any kind and amount, changes the ids around it."""
-        chunks = ["a", "b", "1", "."]
-        apart = b"".join(self._plain(chunks))
-        joined = [f"{s}{s.join(chunks)}{s}" for c in " \t\n\v\f\r" for s in (c, c + c)]
-        return any(ids != apart for ids in self._plain(joined))
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self.whole:
-            return self._plain([t.decode() for t in texts])
-        known = self.known
-        chunks = [t.split() for t in texts]  # of bytes: at ASCII white space alone
-        new = list(set().union(*chunks) - known.keys())
-        if len(known) + len(new) > self.KEPT:
-            known.clear()
-            new = list(set().union(*chunks))
-        fresh = dict(zip(new, self._plain([c.decode() for c in new]), strict=True))
-        known |= fresh
-        out = [b"".join(map(known.__getitem__, c)) for c in chunks]
-        for c in new:
-            if len(c) > self.LONGEST:
-                del known[c]
-        return out
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary: int) -> bytes:
@@ -149,7 +116,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
     ship(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        text_or_empty().cast("binary").alias("text"),
+        text_or_empty().alias("text"),
         F.monotonically_increasing_id().alias("_row"),
     )
     # By row too, so that a repeated id spreads over tasks.

@@ -81,5 +81,14 @@ def test_only_unseen_blobs_and_rules_are_scanned(spark, tmp_path):
     assert [tuple(x) for x in r.findings] == [("hex", 1, 2)]
 
 
+def test_a_blob_stored_twice_counts_once(spark, tmp_path):
+    ledger, rows = str(tmp_path / "ledger"), with_secrets()
+    docs = fixtures.documents(spark, rows)
+    once = Counter(map(str, secret_scan.scan(docs, ledger).collect()))
+    again = secret_scan.read_ledger(docs, ledger).collect()
+    spark.createDataFrame(again, secret_scan.LEDGER).write.mode("append").parquet(ledger)
+    assert Counter(map(str, secret_scan.scan(docs, ledger).collect())) == once
+
+
 def test_empty_table(spark, tmp_path):
     assert secret_scan.scan(fixtures.documents(spark, []), str(tmp_path / "ledger")).count() == 0

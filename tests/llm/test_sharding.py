@@ -80,3 +80,16 @@ def test_ring_against_key_by_key_placing():
     for slot, begin, end, shard, _ in pieces:
         got[slot, shard] += end - begin
     assert got == expected
+
+
+def test_many_shards_are_settled_in_seconds():
+    import time
+
+    counts = {s: 1 + s % 3 for s in range(sharding.SLOTS)}
+    began = time.perf_counter()
+    pieces = sharding.settle(counts, 10_000, 16)
+    assert time.perf_counter() - began < 20
+    sizes = Counter()
+    for _, begin, end, shard, _ in pieces:
+        sizes[shard] += end - begin
+    assert sum(sizes.values()) == sum(counts.values()) and max(sizes.values()) - min(sizes.values()) <= 1

@@ -94,24 +94,6 @@ def test_ids_are_limited():
         id_coder.encode(np.array([1]), 256, 70_000)
 
 
-def test_chunks_give_the_ids_of_the_whole_text():
-    encoder, whole = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
-    assert not encoder.joins_white_space()
-    texts = [t or "" for _, t, _ in fixtures.odd_texts()]
-    texts += ["<|endoftext|> a<|startoftext|>b", "é ́e\ń", "ΑΣ Σ\tΣΑ", "I'm\nwe'll 's ' s", "a b c\x1cd\x85e", "x" * 9000, "﻿​‍", "\x00 \x00\x00"]
-    got = encoder([t.encode() for t in texts])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-    encoder.KEPT = 10
-    assert encoder([t.encode() for t in texts]) == got
-
-
-def test_a_tokenizer_that_joins_white_space_gets_whole_texts():
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    encoder = token_files.Encoder(path)
-    assert encoder.joins_white_space()
-    assert np.frombuffer(encoder([b"a b  c\n"])[0], "<u4").tolist() == Tokenizer.from_file(path).encode("a b  c\n", add_special_tokens=False).ids
-
-
 def test_documents_read_back_from_the_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FRAME", 1 << 12)
     rows = fixtures.odd_texts()
