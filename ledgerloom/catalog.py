@@ -22,7 +22,7 @@ from ledgerloom.operators import changes, gate, listings, policies, quality, rec
 from ledgerloom.plans import upkeep
 from ledgerloom.plans.activity import activity
 from ledgerloom.session import shared_dir
-from ledgerloom.sources import testbed
+from ledgerloom.sources import due, testbed
 from ledgerloom.sources import upkeep as stored_upkeep
 from ledgerloom.sources.parquet import read_ledger, write_ledger, write_rollup
 from ledgerloom.sources.testbed import AS_OF, read_table
@@ -121,6 +121,19 @@ def _expansion(table: str | None, mode: str = "reference") -> Query:
     return query
 
 
+# Days on which schedules are run that were filed by due date the day before the first.
+RUN_DAYS = (date(2001, 6, 2), date(2001, 6, 3), date(2001, 7, 1), date(2001, 7, 31), AS_OF)
+
+
+def _due_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules are filed, then run on some days; each run reads what is due alone."""
+    ledger = _texts(load_ledger(spark, sf_dir))
+    root = _scratch(spark, "due")
+    due.file_schedules(ledger, root, date(2001, 6, 1))
+    recorded = [due.run_due(ledger, root, day, f"{root}/recorded") for day in RUN_DAYS]
+    return due.read_runs(spark, f"{root}/recorded", list(RUN_DAYS), recorded[0])
+
+
 _SCHEDULE_COLUMNS = (
     "id", "user_id", "category_id", "amount", "frequency", "start_date", "end_date", "note", "is_active",
     "created_at", "last_generated_date",
@@ -729,6 +742,7 @@ QUERIES: dict[str, Query] = {
     "expand_all_schedules": _expansion(None),
     "expand_all_schedules_anchored": _expansion(None, "anchored"),
     "advance_schedules": _on_ledger(_advance),
+    "run_due_schedules": _due_runs,
     # listings
     "list_transactions": _on_ledger(_list_transactions),
     "list_transactions_by_date": _on_ledger(_list_transactions_by_date),

@@ -90,6 +90,26 @@ def _date_after(first: Column, k: Column) -> Column:
     )
 
 
+def next_due(mark: Column) -> Column:
+    """The first date after ``mark`` on which a schedule is due, stepping from its start.
+
+    The start itself where ``mark`` is NULL.  NULL if there is none: after the end, or
+    after the one date of an unknown frequency.  Needs the columns of ``with_steps``.
+    """
+    start = F.col("start_date")
+    k = F.greatest(F.coalesce(_steps_until(start, mark), F.lit(0)), F.lit(0))
+    here, onward = _date_after(start, k), _date_after(start, k + 1)
+    # Step k can't overshoot the mark's month or day, so step k + 1 is past it.
+    first = F.when(mark.isNull(), start).when(here > mark, here).when(onward > mark, onward)
+    return F.when(F.col("end_date").isNull() | (first <= F.col("end_date")), first)
+
+
+def with_steps(schedules: DataFrame) -> DataFrame:
+    return schedules.select(
+        "*", _step(DAY_STEPS).alias("day_step"), _step(MONTH_STEPS).alias("month_step")
+    )
+
+
 def _amount_and_note(table: str) -> tuple[Column, Column]:
     amount, (_, default_note) = F.col("amount"), SCHEDULES[table]
     if table != "fixed_investments":
@@ -118,9 +138,7 @@ def expand(
     schedules = getattr(ledger, table)
     mark, start = F.col("last_generated_date"), F.col("start_date")
     last_day = F.least(F.lit(as_of), F.col("end_date"))  # ignores a NULL end
-    due = schedules.where(eligible(as_of)).select(
-        "*", _step(DAY_STEPS).alias("day_step"), _step(MONTH_STEPS).alias("month_step")
-    )
+    due = with_steps(schedules.where(eligible(as_of)))
     if spread:
         due = due.repartition(spread, "id")
     if mode == "reference":

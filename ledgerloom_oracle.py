@@ -401,6 +401,20 @@ SELECT concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr
 FROM hashed"""
 
 
+RUN_DAYS = ("2001-06-02", "2001-06-03", "2001-07-01", "2001-07-31", "2001-08-01")
+
+
+def _run_due() -> str:
+    """Every date after the mark is recorded by the first run on or after it, if the
+    schedule has not ended by then."""
+    days = ", ".join(f"(DATE '{d}')" for d in RUN_DAYS)
+    first_run = f"(SELECT min(r) FROM (VALUES {days}) AS v(r) WHERE r >= d)"
+    text = _expand(None, anchored=True).replace(f"WHERE {ELIGIBLE} AND", "WHERE is_active IS TRUE AND")
+    text = text.replace("FROM walk WHERE last", f"FROM walk WHERE (end_date IS NULL OR end_date >= {first_run}) AND (last")
+    text = text.replace("d > last_generated_date)\nSELECT", "d > last_generated_date))\nSELECT")
+    return text.replace("id AS schedule_id, user_id, category_id", "CAST(id AS VARCHAR) AS schedule_id, CAST(user_id AS VARCHAR) AS user_id, CAST(category_id AS VARCHAR) AS category_id")
+
+
 def _advance() -> str:
     return f"""{_with(SCHEDULES)}
 SELECT schedule, id, user_id, category_id, amount, frequency, start_date, end_date, note, is_active,
@@ -888,6 +902,7 @@ ORACLE: dict[str, str] = {
     "expand_all_schedules": _expand(None),
     "expand_all_schedules_anchored": _expand(None, anchored=True),
     "advance_schedules": _advance(),
+    "run_due_schedules": _run_due(),
     "list_transactions": _list_transactions(),
     "list_transactions_by_date": _list_transactions(f"date = {DAY}"),
     "lookup_by_key": _lookup(),

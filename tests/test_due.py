@@ -1,0 +1,133 @@
+"""Schedules filed by due date against running all schedules."""
+
+import random
+import re
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import recurring
+from ledgerloom.sources import due
+from small import ledger, rows, schedule, table
+
+START = date(2024, 1, 10)
+SHOWN = ("id", "schedule_id", "user_id", "amount", "date", "type", "note")
+
+
+def book(spark, seed=1, n=60):
+    rng = random.Random(seed)
+
+    def some(kind):
+        made = []
+        for i in range(n):
+            start = date(2023, 1, 1) + timedelta(days=rng.randrange(700))
+            end = start + timedelta(days=rng.randrange(600)) if rng.random() < 0.4 else None
+            mark = START if rng.random() < 0.7 else None if start > START or rng.random() < 0.5 else start + timedelta(days=3)
+            frequency = rng.choice(["daily", "weekly", "biweekly", "monthly", "quarterly", "annually", "yearly", "hourly"])
+            made.append(schedule(
+                f"{kind}{i}", "u", i + 1, frequency, str(start), str(end) if end else None, str(mark) if mark else None,
+                is_active=rng.choice([True, True, True, None, False]),
+            ))
+        return made
+
+    return ledger(spark, fixed_costs=some("f"), periodic_income=some("p"), fixed_investments=[{**s, "expected_return_rate": 5} for s in some("i")])
+
+
+def all_schedules(spark, book_, days):
+    """What running all schedules on each of the days records."""
+    found = []
+    for d in days:
+        found += rows(recurring.expand_all_schedules(book_, d, "anchored"), *SHOWN)
+        book_ = recurring.advance_schedules(book_, d)
+    return sorted(found, key=str)
+
+
+def local(spark, book_):
+    """The ledger's schedules as plain local tables, so that many runs stay short plans."""
+    return book_.with_tables(**{t: spark.createDataFrame(getattr(book_, t).collect(), getattr(book_, t).schema) for t in recurring.SCHEDULES})
+
+
+def test_next_due_is_the_first_date_of_the_expansion_after_the_mark(spark):
+    b = book(spark, n=150)
+    end = date(2027, 1, 1)
+    for name in recurring.SCHEDULES:
+        active = getattr(b, name).withColumns({"is_active": F.lit(True)})
+        anchored = active.withColumn("last_generated_date", F.lit(None).cast("date"))
+        open_ended = anchored.withColumn("end_date", F.lit(None).cast("date"))
+        dates = recurring.expand(b.with_tables(**{name: open_ended}), name, end, "anchored").select(F.col("schedule_id").alias("id"), "date")
+        wanted = active.join(dates, "id").where("(last_generated_date IS NULL OR date > last_generated_date) AND (end_date IS NULL OR date <= end_date)")
+        expected = dict(rows(wanted.groupBy("id").agg(F.min("date").alias("d")), "id", "d"))
+        got = dict(rows(recurring.with_steps(active).withColumn("d", recurring.next_due(F.col("last_generated_date"))), "id", "d"))
+        assert {i: d for i, d in got.items() if d is not None} == expected
+
+
+@pytest.mark.parametrize("gaps", [[1] * 5, [30, 7, 90, 200, 1]])
+def test_runs_record_what_running_all_schedules_does(spark, tmp_path, gaps):
+    b = local(spark, book(spark))
+    days, day = [], START
+    for g in gaps:
+        day += timedelta(days=g)
+        days.append(day)
+    due.file_schedules(b, str(tmp_path / "due"), START)
+    got = []
+    for i, d in enumerate(days):
+        got += rows(due.run_due(b, str(tmp_path / "due"), d, str(tmp_path / "out")), *SHOWN)
+        if i == 3:
+            due.compact(b, str(tmp_path / "due"))
+    assert sorted(got, key=str) == all_schedules(spark, b, days)
+    with pytest.raises(ValueError, match="covered"):
+        due.run_due(b, str(tmp_path / "due"), days[-1], str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="already"):
+        due.file_schedules(b, str(tmp_path / "due"), START)
+
+
+def test_a_broken_off_run_is_run_again(spark, tmp_path, monkeypatch):
+    b, root, out = local(spark, book(spark, 2)), str(tmp_path / "due"), str(tmp_path / "out")
+    due.file_schedules(b, root, START)
+    days = [START + timedelta(days=n) for n in (5, 40)]
+    real = due._file
+
+    def dies(*args):
+        if "fixed_investments" in args[3]:
+            raise OSError("died")
+        real(*args)
+
+    monkeypatch.setattr(due, "_file", dies)
+    with pytest.raises(OSError):
+        due.run_due(b, root, days[0], out)
+    monkeypatch.setattr(due, "_file", real)
+    got = [r for d in days for r in rows(due.run_due(b, root, d, out), *SHOWN)]
+    assert sorted(got, key=str) == all_schedules(spark, b, days)
+
+
+def test_changed_schedules(spark, tmp_path):
+    root, out = str(tmp_path / "due"), str(tmp_path / "out")
+    made = [schedule("a", "u", 1, "daily", "2024-01-11"), schedule("b", "u", 2, "weekly", "2024-01-12"), schedule("c", "u", 3, "daily", "2024-01-11", is_active=False)]
+    b = ledger(spark, fixed_costs=made)
+    due.file_schedules(b, root, START)
+    due.run_due(b, root, date(2024, 1, 12), out)
+    changed = table(spark, "fixed_costs", [
+        {**made[0], "is_active": False}, {**schedule("b", "u", 9, "daily", "2024-01-12", mark="2024-01-12")},
+        schedule("c", "u", 3, "daily", "2024-01-11"), schedule("new", "u", 4, "daily", "2024-01-14"),
+    ])
+    due.refile(b, root, "fixed_costs", changed)
+    got = rows(due.run_due(b, root, date(2024, 1, 14), out), "schedule_id", "amount", "date")
+    days = [date(2024, 1, n) for n in range(11, 15)]
+    assert sorted(got) == sorted([("b", "9.00", d) for d in days[2:]] + [("c", "3.00", d) for d in days] + [("new", "4.00", days[3])])
+    due.compact(b, root)
+    again = rows(due.run_due(b, root, date(2024, 1, 15), out), "schedule_id", "amount")
+    assert sorted(again) == [("b", "9.00"), ("c", "3.00"), ("new", "4.00")]
+
+
+def test_a_run_reads_the_due_dates_alone(spark, tmp_path):
+    root = str(tmp_path / "due")
+    b = local(spark, book(spark, 3))
+    due.file_schedules(b, root, START)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    found = due.due_schedules(b, root, START + timedelta(days=1))
+    text = found.fixed_costs._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*due#\d+ > 2024-01-10\)[^]]*due#\d+ <= 2024-01-11", text)
+    assert 0 < found.fixed_costs.count() < b.fixed_costs.where("is_active").count()
+    with pytest.raises(ValueError, match="nothing is filed"):
+        due.run_due(b, str(tmp_path / "none"), START, str(tmp_path / "out"))
