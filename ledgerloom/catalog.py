@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.model import AMOUNT, SCHEDULES, Ledger
 from ledgerloom.operators import changes, gate, listings, policies, quality, recurring, reports
@@ -28,6 +29,7 @@ from ledgerloom.sources.parquet import read_ledger, write_ledger, write_rollup
 from ledgerloom.sources.testbed import AS_OF, read_table
 from ledgerloom.sql import register_reports
 from ledgerloom.streaming import refresh
+from ledgerloom.streaming import signups as onboarding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -315,7 +317,7 @@ def _seed(ledger: Ledger) -> DataFrame:
     return changes.seed_default_categories(users, shape)
 
 
-def _onboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _signups(spark: SparkSession, sf_dir: str) -> tuple[Ledger, DataFrame]:
     """All customers sign up; those with a negative balance are known already."""
     customer = read_table(spark, sf_dir, "customer")
     ledger = load_ledger(spark, sf_dir)
@@ -328,7 +330,26 @@ def _onboard(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_nationkey") > 4, F.to_json(F.struct(F.col("c_name").alias("name")))
         ).otherwise("{}").alias("metadata"),
     )
-    result = changes.onboard_users(known, signups)
+    return known, signups
+
+
+def _onboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, signups = _signups(spark, sf_dir)
+    return _profiles_and_categories(changes.onboard_users(known, signups))
+
+
+def _onboard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sign-ups arrive in several batches, a third of them again in a later one."""
+    known, signups = _signups(spark, sf_dir)
+    store = _scratch(spark, "signups")
+    signups.repartition(3, "id").write.parquet(f"{store}/arriving")
+    signups.where("id % 3 = 0").coalesce(1).write.mode("append").parquet(f"{store}/arriving")
+    stream = spark.readStream.schema(signups.schema).option("maxFilesPerTrigger", 1).parquet(f"{store}/arriving")
+    _to_its_end(onboarding.start_onboarding(known, stream, f"{store}/new", f"{store}/checkpoint", availableNow=True))
+    return _profiles_and_categories(onboarding.read_onboarded(known, f"{store}/new"))
+
+
+def _profiles_and_categories(result: Ledger) -> DataFrame:
     profiles = result.profiles.select(
         F.col("id").cast("string").alias("id"),
         F.col("id").alias("user_id"),
@@ -690,7 +711,14 @@ def _check_constraints(ledger: Ledger) -> DataFrame:
 # --- streaming -------------------------------------------------------------
 
 
-def _refresh_monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _to_its_end(query: StreamingQuery) -> None:
+    query.awaitTermination(STREAM_SECONDS)
+    if query.isActive:
+        query.stop()
+        raise TimeoutError(f"the stream took more than {STREAM_SECONDS} seconds")
+
+
+def _refresh(spark: SparkSession, sf_dir: str, again: bool) -> DataFrame:
     """The orders, stored as a directory of parts, as a stream of several batches that
     are condensed one by one and folded in between, then read back.
 
@@ -699,18 +727,26 @@ def _refresh_monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _scratch(spark, "monthly-totals")
     orders = read_table(spark, sf_dir, "orders")
     orders.repartition(5, "o_orderkey").write.parquet(f"{store}/orders.parquet")
+    if again:
+        repeated = orders.where("o_orderkey % 3 = 0")
+        repeated.union(repeated).repartition(2).write.mode("append").parquet(f"{store}/orders.parquet")
     arriving = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1)
     stream = testbed.transactions(arriving.parquet(f"{store}/orders.parquet"))
-    query = refresh.start_refresh(
-        stream, f"{store}/totals", f"{store}/checkpoint", fold_every=2, keep=1, availableNow=True
-    )
-    query.awaitTermination(STREAM_SECONDS)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError(f"the stream took more than {STREAM_SECONDS} seconds")
+    _to_its_end(refresh.start_refresh(
+        stream, f"{store}/totals", f"{store}/checkpoint", fold_every=2, keep=1, once=again, availableNow=True
+    ))
     return refresh.monthly_totals(refresh.read_activity(spark, f"{store}/totals"))
 
 
+def _refresh_monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refresh(spark, sf_dir, again=False)
+
+
+def _refresh_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the orders is delivered three times, across batches and within one."""
+    return _refresh(spark, sf_dir, again=True)
+
+
 def _monthly_totals(ledger: Ledger) -> DataFrame:
     return refresh.monthly_totals(activity(ledger))
 
@@ -800,5 +836,7 @@ QUERIES: dict[str, Query] = {
     "warn_inconsistencies": _on_ledger(quality.warn_inconsistencies),
     # kept up to date
     "refresh_monthly_totals": _refresh_monthly_totals,
+    "refresh_redelivered": _refresh_redelivered,
+    "onboard_stream": _onboard_stream,
     "monthly_totals": _on_ledger(_monthly_totals),
 }

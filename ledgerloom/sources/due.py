@@ -5,8 +5,9 @@ transactions, and files each again under its next due date, which a closed form
 All others are neither read nor written.  Run after run this gives the transactions of
 ``recurring.run_schedules`` with the same days (mode ``anchored``).
 
-A store is (root)/(table)/batch=N/due=DATE/, and a log with one entry per batch.  A
-filed schedule is current until a run covers its date; then the run's own batch holds
+A store is (root)/(folder)/(table)/batch=N/week=DATE/, and a log with one entry per
+batch; weeks start on Mondays and are sorted by due date inside, so a run reads a week's
+files and of them the row groups of its days.  A filed schedule is current until a run covers its date; then the run's own batch holds
 it under a later one.  Nothing is deleted or overwritten but a batch that is written
 again: a broken-off run has no entry in the log, and running it again replaces what it
 left.  Changed schedules are filed anew under a higher edition, which hides what was
@@ -16,7 +17,7 @@ filed before.  One writer at a time.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -68,7 +69,8 @@ def _note(spark: SparkSession, root: str, kind: str, state: _State) -> None:
 
 def _schema(table: DataFrame) -> T.StructType:
     own = [T.StructField(f.name, f.dataType, True) for f in table.schema]
-    return T.StructType([*own, T.StructField("edition", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("due", T.DateType())])
+    return T.StructType([*own, T.StructField("edition", T.LongType()), T.StructField("due", T.DateType()),
+                         T.StructField("batch", T.LongType()), T.StructField("week", T.DateType())])
 
 
 def _file(schedules: DataFrame, edition: int | None, after: date, path: str, batch: int) -> None:
@@ -84,8 +86,10 @@ def _file(schedules: DataFrame, edition: int | None, after: date, path: str, bat
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """By due date and id: a date is in few files, and one of many schedules in several."""
-    rows.repartitionByRange("due", "id").write.mode("overwrite").partitionBy("due").parquet(path)
+    """By due date and id: a week is in few files, and one of many schedules in several."""
+    weekly = rows.withColumn("week", F.trunc("due", "week").cast("date"))
+    ordered = weekly.repartitionByRange("due", "id").sortWithinPartitions("week", "due", "id")
+    ordered.write.mode("overwrite").partitionBy("week").parquet(path)
 
 
 def file_schedules(ledger: Ledger, root: str, as_of: date) -> None:
@@ -113,9 +117,12 @@ def _current(ledger: Ledger, table: str, state: _State, until: date | None) -> D
     """Filed schedules that no run has covered, of the newest edition, due up to ``until``."""
     spark, schema = ledger.profiles.sparkSession, _schema(getattr(ledger, table))
     rows = spark.read.schema(schema).parquet(f"{state.folder}/{table}")
+    monday = lambda day: day - timedelta(days=day.weekday())
     rows = rows.where((F.col("due") > F.lit(state.day)) & (F.col("batch") <= state.batch))
+    rows = rows.where(F.col("week") >= F.lit(monday(state.day)))
     if until is not None:
-        rows = rows.where(F.col("due") <= F.lit(until))
+        rows = rows.where((F.col("due") <= F.lit(until)) & (F.col("week") <= F.lit(monday(until))))
+    rows = rows.drop("week")
     newest = _editions(spark, state.folder, table, state.batch)
     if newest is not None:
         newest = newest.select(F.col("id").alias("_id"), "newest")

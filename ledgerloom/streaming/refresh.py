@@ -10,6 +10,11 @@ what has been folded for ``keep`` folds is deleted, so that listings stay short.
 A store is (root)/deltas/batch_id=N/ and (root)/base/through=N/, where a base
 covers the batches up to N.  It belongs to one streaming query: batch numbers
 come from that query's checkpoint.
+
+Sources that deliver a row again, in the same batch or any later one, need ``once``:
+the ids of what was counted are kept in (root)/seen/batch_id=N/month=DATE/, and each
+batch is compared with those of its own months, however late its rows are.  A row that
+is delivered again is the same row; nothing is forgotten, so no row is too late.
 """
 
 from __future__ import annotations
@@ -36,8 +41,34 @@ def _as_activity(transactions: DataFrame) -> DataFrame:
     )
 
 
-def write_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Store one micro-batch's totals, replacing an earlier attempt's."""
+def _not_seen(batch: DataFrame, batch_id: int, root: str) -> DataFrame:
+    """The rows of a batch, each id once, that no earlier batch counted; notes their ids.
+
+    The ids are written first and the rows taken by what was written, so that a batch
+    that is done again counts the same rows.
+    """
+    spark, month = batch.sparkSession, F.trunc("date", "month").cast("date")
+    rows = batch.dropDuplicates(["id"])
+    ids = rows.select("id", month.alias("month"))
+    kind = batch.schema["id"].dataType.simpleString()
+    own = f"{root}/seen/batch_id={batch_id}"
+    # A row per calendar month.
+    months = [r["month"] for r in ids.select("month").distinct().collect()]
+    if batch_id > 0 and months:
+        stored = spark.read.schema(f"id {kind}, batch_id long, month date").parquet(f"{root}/seen")
+        earlier = stored.where((F.col("batch_id") < batch_id) & F.col("month").isin(months))
+        ids = ids.join(earlier.select("id"), "id", "left_anti")
+    ids.write.mode("overwrite").partitionBy("month").parquet(own)
+    noted = spark.read.schema(f"id {kind}, month date").parquet(own).select("id")
+    return rows.join(noted, "id", "left_semi")
+
+
+def write_batch(batch: DataFrame, batch_id: int, root: str, once: bool = False) -> None:
+    """Store one micro-batch's totals, replacing an earlier attempt's.
+
+    ``once`` counts rows by id, however often they are delivered.
+    """
+    batch = _not_seen(batch, batch_id, root) if once else batch
     totals = monthly_rollup(_as_activity(batch))
     totals.write.mode("overwrite").parquet(f"{root}/deltas/batch_id={batch_id}")
 
@@ -48,16 +79,18 @@ def start_refresh(
     checkpoint: str,
     fold_every: int = 60,
     keep: int = 2,
+    once: bool = False,
     **trigger,
 ) -> StreamingQuery:
     """Keep ``root`` up to date with a stream of transactions.
 
     ``root`` and ``checkpoint`` must be in storage that all executors share.
-    ``trigger`` is passed on, e.g. ``availableNow=True``.
+    ``once`` is for sources that may deliver rows again.  ``trigger`` is passed on, e.g.
+    ``availableNow=True``.
     """
 
     def store(batch: DataFrame, n: int) -> None:
-        write_batch(batch, n, root)
+        write_batch(batch, n, root, once)
         if (n + 1) % fold_every == 0:
             compact(batch.sparkSession, root)
             clean(batch.sparkSession, root, keep)

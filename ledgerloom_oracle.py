@@ -959,5 +959,7 @@ ORACLE: dict[str, str] = {
     "check_constraints": _check_constraints(),
     "warn_inconsistencies": _warn(),
     "refresh_monthly_totals": _monthly_totals(),
+    "refresh_redelivered": _monthly_totals(),
+    "onboard_stream": _onboard(),
     "monthly_totals": _monthly_totals(),
 }

@@ -127,7 +127,8 @@ def test_a_run_reads_the_due_dates_alone(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     found = due.due_schedules(b, root, START + timedelta(days=1))
     text = found.fixed_costs._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^]]*due#\d+ > 2024-01-10\)[^]]*due#\d+ <= 2024-01-11", text)
+    assert re.search(r"PartitionFilters: \[[^]]*week#\d+ >= 2024-01-08\)[^]]*week#\d+ <= 2024-01-08", text)
+    assert re.search(r"PushedFilters: \[[^]]*GreaterThan\(due,2024-01-10\)[^]]*LessThanOrEqual\(due,2024-01-11\)", text)
     assert 0 < found.fixed_costs.count() < b.fixed_costs.where("is_active").count()
     with pytest.raises(ValueError, match="nothing is filed"):
         due.run_due(b, str(tmp_path / "none"), START, str(tmp_path / "out"))

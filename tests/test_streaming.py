@@ -5,6 +5,8 @@ from ledgerloom.operators import reports
 from ledgerloom.plans.activity import activity, monthly_rollup
 from ledgerloom.sources.testbed import load_ledger
 from ledgerloom.streaming import refresh
+from ledgerloom.streaming import signups as onboarding
+from small import ledger, profile, rows
 
 SF_DIR = "/root/testdata/sf0.001"
 KEYS = ("user_id", "month", "type", "total_amount", "transaction_count")
@@ -91,3 +93,61 @@ def test_folding_and_cleaning_while_running(spark, arriving):
     assert totals(refresh.read_activity(spark, store)) == totals(activity(book))
     assert refresh._finished(spark, f"{store}/base", "through") == [5]
     assert refresh._finished(spark, f"{store}/deltas", "batch_id") == [4, 5]
+
+
+def redelivered(book):
+    """Batches with rows again in the same batch, in later ones, and late rows of old months."""
+    rows = book.transactions
+    return [
+        rows.where("id % 4 = 0"), rows.where("id % 4 IN (0, 1)").unionByName(rows.where("id % 4 = 1")),
+        rows.where("id % 4 = 2 AND date >= '1997-01-01'"), rows.where("id % 4 IN (2, 3)"), rows.where("id % 9 = 0"), rows.limit(0),
+    ]
+
+
+def test_rows_delivered_again_count_once(spark, tmp_path):
+    book, store = load_ledger(spark, SF_DIR), str(tmp_path / "store")
+    for n, batch in enumerate(redelivered(book)):
+        refresh.write_batch(batch, n, store, once=True)
+        if n == 3:  # done again, as after a crash
+            refresh.write_batch(batch, n, store, once=True)
+    assert totals(refresh.read_activity(spark, store)) == totals(activity(book))
+
+
+def test_rows_of_months_seen_before(spark, tmp_path):
+    book, store = load_ledger(spark, SF_DIR), str(tmp_path / "store")
+    refresh.write_batch(book.transactions.where("date < '1998-03-01'"), 0, store, once=True)
+    again = book.transactions.where("date >= '1998-02-01' AND date < '1998-04-01'")
+    assert refresh._not_seen(again, 1, store).count() == book.transactions.where("date >= '1998-03-01' AND date < '1998-04-01'").count()
+
+
+def signups(spark, *rows):
+    return spark.createDataFrame(list(rows), "id string, email string, metadata string")
+
+
+def test_signups_in_batches(spark, tmp_path):
+    book, root = ledger(spark, profiles=[profile("old")]), str(tmp_path / "new")
+    assert onboarding.read_onboarded(book, root).profiles.count() == 1
+    first = signups(spark, ("a", "a@x", '{"name": "Ann"}'), ("a", "z@x", None), ("old", "o@x", None), ("b", "b@x", "no json"))
+    second = signups(spark, ("a", "a@x", '{"name": "Ann"}'), ("c", None, None))
+    onboarding.write_signups(book, first, 0, root)
+    for _ in range(2):  # the second time as after a crash
+        onboarding.write_signups(book, second, 1, root)
+        after = onboarding.read_onboarded(book, root)
+        found = sorted(rows(after.profiles, "id", "name", "email", "currency"), key=str)
+        assert found == [("a", "Ann", "a@x", "USD"), ("b", "", "b@x", "USD"), ("c", "", None, "USD"), ("old", None, None, "USD")]
+        per_user = after.categories.groupBy("user_id").agg(F.count("*"), F.countDistinct("id"))
+        assert sorted(rows(per_user)) == [(u, 11, 11) for u in "abc"]
+
+
+def test_a_batch_is_seen_once_it_is_whole(spark, tmp_path, monkeypatch):
+    book, root = ledger(spark, profiles=[profile("old")]), str(tmp_path / "new")
+    onboarding.write_signups(book, signups(spark, ("a", "a@x", None)), 0, root)
+    real = onboarding.changes.seed_default_categories
+    monkeypatch.setattr(onboarding.changes, "seed_default_categories", lambda *a: (_ for _ in ()).throw(OSError("died")))
+    batch = signups(spark, ("b", "b@x", None))
+    with pytest.raises(OSError):
+        onboarding.write_signups(book, batch, 1, root)
+    assert sorted(rows(onboarding.read_onboarded(book, root).profiles, "id")) == [("a",), ("old",)]
+    monkeypatch.setattr(onboarding.changes, "seed_default_categories", real)
+    onboarding.write_signups(book, batch, 1, root)
+    assert sorted(rows(onboarding.read_onboarded(book, root).profiles, "id")) == [("a",), ("b",), ("old",)]
