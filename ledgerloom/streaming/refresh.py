@@ -12,7 +12,7 @@ covers the batches up to N.  It belongs to one streaming query: batch numbers
 come from that query's checkpoint.
 
 Sources that deliver a row again, in the same batch or any later one, need ``once``:
-the ids of what was counted are kept in (root)/seen/batch_id=N/month=DATE/, and each
+the ids of what was counted are kept in (root)/seen/batch_id=N/year=Y/, and each
 batch is compared with those of its own months, however late its rows are.  A row that
 is delivered again is the same row; nothing is forgotten, so no row is too late.
 """
@@ -47,19 +47,19 @@ def _not_seen(batch: DataFrame, batch_id: int, root: str) -> DataFrame:
     The ids are written first and the rows taken by what was written, so that a batch
     that is done again counts the same rows.
     """
-    spark, month = batch.sparkSession, F.trunc("date", "month").cast("date")
-    rows = batch.dropDuplicates(["id"])
-    ids = rows.select("id", month.alias("month"))
+    spark, rows = batch.sparkSession, batch.dropDuplicates(["id"])
+    month = F.trunc("date", "month").cast("date")
+    ids = rows.select("id", month.alias("month"), F.year("date").alias("year"))
     kind = batch.schema["id"].dataType.simpleString()
     own = f"{root}/seen/batch_id={batch_id}"
     # A row per calendar month.
     months = [r["month"] for r in ids.select("month").distinct().collect()]
     if batch_id > 0 and months:
-        stored = spark.read.schema(f"id {kind}, batch_id long, month date").parquet(f"{root}/seen")
-        earlier = stored.where((F.col("batch_id") < batch_id) & F.col("month").isin(months))
-        ids = ids.join(earlier.select("id"), "id", "left_anti")
-    ids.write.mode("overwrite").partitionBy("month").parquet(own)
-    noted = spark.read.schema(f"id {kind}, month date").parquet(own).select("id")
+        stored = spark.read.schema(f"id {kind}, month date, batch_id long, year int").parquet(f"{root}/seen")
+        stored = stored.where(F.col("year").isin(sorted({m.year for m in months})) & F.col("month").isin(months))
+        ids = ids.join(stored.where(F.col("batch_id") < batch_id).select("id"), "id", "left_anti")
+    ids.sortWithinPartitions("year", "month").write.mode("overwrite").partitionBy("year").parquet(own)
+    noted = spark.read.schema(f"id {kind}, month date, year int").parquet(own).select("id")
     return rows.join(noted, "id", "left_semi")
 
 
