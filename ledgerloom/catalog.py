@@ -684,6 +684,22 @@ def _validate_investments(ledger: Ledger) -> DataFrame:
     return _verdicts(quality.validate_investments(raw), "investment_type")
 
 
+def _typed_goals(ledger: Ledger) -> DataFrame:
+    """The goals that pass, with their values in their types."""
+    valid, _ = quality.split(quality.validate_goals(_raw_goals(ledger)))
+    return quality.typed_goals(valid).select(
+        "id", "user_id", "name", "target_amount", "current_amount", "deadline", "status"
+    )
+
+
+def _typed_investments(ledger: Ledger) -> DataFrame:
+    valid, _ = quality.split(quality.validate_investments(_raw_schedules(ledger.fixed_investments)))
+    return quality.typed_schedules(valid).select(
+        "id", "amount", "frequency", "start_date", "end_date", "category_id", "is_active", "note",
+        "expected_return_rate", "investment_type",
+    )
+
+
 def _check_constraints(ledger: Ledger) -> DataFrame:
     """A damaged ledger: profiles in the red and 'Misc' categories are gone,
     some transactions are stored twice, some types and amounts are wrong."""
@@ -832,6 +848,8 @@ QUERIES: dict[str, Query] = {
     "validate_goals": _on_ledger(_validate_goals),
     "validate_schedules": _on_ledger(_validate_schedules),
     "validate_investments": _on_ledger(_validate_investments),
+    "typed_goals": _on_ledger(_typed_goals),
+    "typed_investments": _on_ledger(_typed_investments),
     "check_constraints": _on_ledger(_check_constraints),
     "warn_inconsistencies": _on_ledger(quality.warn_inconsistencies),
     # kept up to date

@@ -84,6 +84,34 @@ def lookup_by_key(
     return table.join(keys.select(*columns), list(columns), "left_semi").select(*table.columns)
 
 
+def lookup_few(table: DataFrame, keys: list[tuple], columns: tuple[str, ...] = ("id", "user_id"), most: int = 1000) -> DataFrame:
+    """L3 for at most ``most`` keys given as values: they reach the scan.
+
+    On stored transactions the Bloom filters of ids then exclude the row groups that
+    hold none of them.  Values are asked for in groups of IN_LIST, as longer lists come to
+    Parquet as a range.  A null in a key matches nothing; repeated keys count once.
+    """
+    if len(keys) > most:
+        raise ValueError(f"{len(keys)} keys are more than {most}: use lookup_by_key")
+    wanted = sorted({k for k in keys if None not in k})
+    asked = F.lit(False)
+    for at in range(0, len(wanted), IN_LIST):
+        group = wanted[at : at + IN_LIST]
+        either = F.lit(True)
+        for i, c in enumerate(columns):
+            either = either & F.col(c).isin([k[i] for k in group])
+        asked = asked | either
+    # The pairs themselves; the lists above are what the scan can use.
+    pair = F.struct(*columns)
+    exact = F.lit(False)
+    for k in wanted:
+        exact = exact | (pair == F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, k, strict=True))))
+    return table.where(asked & exact) if wanted else table.where(F.lit(False))
+
+
+IN_LIST = 10  # spark.sql.parquet.pushdown.inFilterThreshold
+
+
 def list_categories(
     ledger: Ledger, kind: str | None = None, user_id: object | None = None
 ) -> DataFrame:

@@ -23,6 +23,11 @@ ROLLUP = "monthly_activity"
 VERSION = "version"  # log of the tables' versions; the rollup keeps the one it was made from
 
 
+# Columns looked up by single values: their row groups carry Bloom filters, as values are
+# scattered over all of them and least and greatest values exclude none.
+LOOKED_UP = ("id", "category_id")
+VALUES = 200_000  # different values a filter is sized for, per row group: about 240 KB each
+
 # How stored tables are ordered inside a year.
 CLUSTERS = {"transactions": ["user_id", "date", "id"], ROLLUP: ["user_id", "date", "category_id"]}
 
@@ -34,12 +39,19 @@ def _write_by_year(df: DataFrame, path: str, cluster: list[str], overwrite: str
         .repartitionByRange(YEAR_PARTITION, *cluster)
         .sortWithinPartitions(YEAR_PARTITION, *cluster)
         .write.mode("overwrite")
+        .options(**_bloom_filters(df))
         .option("partitionOverwriteMode", overwrite)
         .partitionBy(YEAR_PARTITION)
         .parquet(path)
     )
 
 
+def _bloom_filters(df: DataFrame) -> dict[str, str]:
+    found = [c for c in LOOKED_UP if c in df.columns]
+    on = {f"parquet.bloom.filter.enabled#{c}": "true" for c in found}
+    return on | {f"parquet.bloom.filter.expected.ndv#{c}": str(VALUES) for c in found}
+
+
 def write_ledger(ledger: Ledger, root: str) -> None:
     """Store all tables.  ``root`` must not be where the ledger is read from.
 

@@ -818,6 +818,21 @@ INVESTMENT_RULES = {
 }
 
 
+def _typed_goals() -> str:
+    return f"""{_with(GOALS)}
+SELECT CAST(id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, name, target_amount,
+       CASE WHEN id % 9 <> 5 THEN current_amount END AS current_amount, deadline, status
+FROM financial_goals WHERE id % 9 IN (0, 5, 8)"""
+
+
+def _typed_investments() -> str:
+    return f"""{_with(SCHEDULES)}
+SELECT CAST(id AS VARCHAR) AS id, amount, frequency, start_date, end_date,
+       CASE WHEN id % 9 <> 6 THEN {_uuid_text("category_id")} END AS category_id, is_active,
+       CASE WHEN id % 9 = 8 THEN 'rent' END AS note, expected_return_rate, investment_type
+FROM schedules WHERE schedule = 'fixed_investments' AND id % 9 IN (0, 6, 8) AND id % 10 NOT IN (1, 2, 3)"""
+
+
 def _check_constraints() -> str:
     checks = [
         "SELECT 'transactions' AS table_name, 'amount not null' AS rule, id AS row_id"
@@ -956,6 +971,8 @@ ORACLE: dict[str, str] = {
     "validate_investments": f"{_with(SCHEDULES, RAW_SCHEDULES)}\n"
     + _verdict(INVESTMENT_RULES, SCHEDULE_MESSAGES, "investment_type")
     + " WHERE schedule = 'fixed_investments'",
+    "typed_goals": _typed_goals(),
+    "typed_investments": _typed_investments(),
     "check_constraints": _check_constraints(),
     "warn_inconsistencies": _warn(),
     "refresh_monthly_totals": _monthly_totals(),

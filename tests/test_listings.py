@@ -74,3 +74,34 @@ def test_scoping(spark):
         "transactions": 1,
     }
     assert rows(listings.get_profiles(book(spark), "u"), "id") == [("u",)]
+
+
+def test_few_keys_read_few_row_groups(spark, tmp_path):
+    """100 keys of a ledger of 64 files: most files are excluded by their filters."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.sources.parquet import read_ledger, write_ledger
+
+    rows_ = spark.range(64_000).select(
+        F.md5(F.col("id").cast("string")).alias("id"), (F.col("id") % 50).cast("string").alias("user_id"),
+        F.lit(None).cast("string").alias("category_id"), F.lit(1).cast("decimal(12,2)").alias("amount"), F.lit(None).cast("string").alias("note"),
+        F.make_date(F.lit(1960) + (F.col("id") % 64).cast("int"), F.lit(1), F.lit(1)).alias("date"), F.lit("income").alias("type"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    book = ledger(spark).with_tables(transactions=rows_)
+    write_ledger(book, str(tmp_path / "l"))
+    table = read_ledger(spark, str(tmp_path / "l")).transactions
+    some = [(r.id, r.user_id) for r in rows_.where("date_format(date, 'yyyy') IN ('1960', '1999') AND user_id < '2'").limit(100).collect()]
+    keys = [*some, ("none", "1"), (some[0][0], "49"), (None, "1"), some[1]]
+    found = listings.lookup_few(table, keys)
+    assert {(r.id, r.user_id) for r in found.collect()} == set(some) and found.count() == len(some)
+    by_join = listings.lookup_by_key(table, spark.createDataFrame(keys, "id string, user_id string"))
+    assert {r.id for r in by_join.collect()} == {i for i, _ in some}
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    (scan,) = [p for p in (plan.collectLeaves().apply(i) for i in range(plan.collectLeaves().size()))]
+    plan.execute().count()
+    assert scan.metrics().apply("numOutputRows").value() < 64_000 / 8
+    assert listings.lookup_few(table, []).count() == 0
+    with pytest.raises(ValueError, match="lookup_by_key"):
+        listings.lookup_few(table, keys, most=5)
