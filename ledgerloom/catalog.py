@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.model import AMOUNT, SCHEDULES, Ledger
 from ledgerloom.operators import changes, gate, listings, policies, quality, recurring, reports
-from ledgerloom.plans import upkeep
+from ledgerloom.plans import balance, upkeep
 from ledgerloom.plans.activity import activity
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import due, testbed
@@ -507,6 +507,16 @@ def _transactions_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "user_id", "category_id", "amount", "date", "type")
 
 
+def _balance_after_backdated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of a ledger in which every nineteenth row was entered late, and then was."""
+    ledger = load_ledger(spark, sf_dir)
+    late = ledger.transactions.where(F.col("id") % 19 == 0)
+    early = ledger.transactions.where(F.col("id") % 19 != 0)
+    change = upkeep.RowChange(late.where(F.lit(False)), late)
+    kept = balance.after(balance.balance_of(early), change, ledger.transactions)
+    return balance.report(kept, ledger.profiles)
+
+
 def _report_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.annual_report(_changed_in_place(spark, sf_dir), YEAR, AS_OF)
 
@@ -828,6 +838,7 @@ QUERIES: dict[str, Query] = {
     "rollup_after_changes": _rollup_after_changes,
     "transactions_after_changes": _transactions_after_changes,
     "annual_report_after_changes": _report_after_changes,
+    "balance_after_backdated": _balance_after_backdated,
     # refused rows
     "gate_new_transactions": _on_ledger(_gate),
     "scoped_changes": _on_ledger(_scoped_changes),

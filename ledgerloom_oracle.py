@@ -950,6 +950,7 @@ ORACLE: dict[str, str] = {
     "rollup_after_changes": _rollup_after_changes(),
     "transactions_after_changes": f"{_with(CATEGORIES, TRANSACTIONS, CHANGED)}\nSELECT * FROM changed",
     "annual_report_after_changes": _report_after_changes(),
+    "balance_after_backdated": _all_time_balance(),
     "gate_new_transactions": _gate(),
     "scoped_changes": _scoped_changes(),
     "sql_monthly_calendar": _calendar(),

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 from ledgerloom.operators import changes, reports
-from ledgerloom.plans import upkeep
+from ledgerloom.plans import balance, upkeep
 from ledgerloom.plans.activity import activity, monthly_rollup
 from ledgerloom.sources import parquet, upkeep as stored
 from ledgerloom.sources.parquet import read_ledger, write_ledger, write_rollup
@@ -226,3 +226,20 @@ def test_a_change_reads_the_touched_years_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stored.upkeep, "after", lambda t, c: plans.append(text(real(t, c))) or real(t, c))
     stored.change_stored(spark, root, lambda b: upkeep.deleted(b.transactions, keys(spark, ("1", "u"))))
     assert re.search(r"PartitionFilters: \[[^]]*date_year#\d+ = 2022", plans[0])
+
+
+def balances(spark, book_):
+    return sorted(rows(reports.all_time_balance(book_)), key=str)
+
+
+def test_back_dated_rows_in_the_two_level_balance(spark):
+    b = book(spark)
+    kept = balance.balance_of(b.transactions)
+    assert sorted(rows(balance.report(kept, b.profiles)), key=str) == balances(spark, b)
+    new = spark.createDataFrame([("7", "u", "income", 100, date(2020, 6, 1)), ("8", "new", "expense", 5, date(2023, 1, 9))], "id string, user_id string, type string, amount int, date date")
+    change = upkeep.inserted(b.transactions, new, date(2020, 1, 1)).then(upkeep.deleted(b.transactions, keys(spark, ("1", "u"), ("5", "v"))))
+    later = b.with_tables(transactions=upkeep.after(b.transactions, change))
+    again = balance.after(kept, change, later.transactions)
+    assert sorted(rows(balance.report(again, b.profiles)), key=str) == balances(spark, later)
+    # Carries: a row for each user and active year, what came before it.
+    assert sorted(rows(again.carries.where("user_id = 'u'"), "year", "carried")) == [(2020, "0.00"), (2023, "100.00"), (2024, "86.00")]
