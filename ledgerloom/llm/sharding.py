@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import staged, text_or_empty
 
 SLOTS = 1 << 16
+CHUNK = 1 << 14  # copies of a row that one task writes out
 SUBS = 16  # parts of a slot: spreads one id that has many different texts
 
 
@@ -109,21 +110,20 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64) -> DataFrame:
         "_slot", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
     order = Window.partitionBy("_slot", "_sub").orderBy("_key", "doc_id", "text_crc32", "size")
-    ranked = (
-        keys.join(parts, ["_slot", "_sub"])
-        .withColumn("_end", F.col("_offset") + F.sum("copies").over(order))
-        .withColumn("_rank", F.explode(F.sequence(F.col("_end") - F.col("copies"), F.col("_end") - 1)))
-        .drop("_sub", "_key")
-    )
+    ends = F.col("_offset") + F.sum("copies").over(order)
+    ranked = keys.join(parts, ["_slot", "_sub"]).withColumn("_end", ends).drop("_sub", "_key")
+    ranked = ranked.withColumn("_start", F.col("_end") - F.col("copies"))
     # At most one piece for each slot and one more for each full shard.
-    return (
-        ranked.join(F.broadcast(pieces), "_slot")
-        .where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            "shard",
-            (F.col("_base") + F.col("_rank") - F.col("_from")).alias("slot"),
-        )
+    placed = ranked.join(F.broadcast(pieces), "_slot").where((F.col("_start") < F.col("_to")) & (F.col("_end") > F.col("_from")))
+    placed = placed.select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("_base") - F.col("_from")).alias("_shift"),
+        F.greatest("_start", "_from").alias("_lo"), F.least("_end", "_to").alias("_hi"),
+    )
+    # Rows become single ones in runs of CHUNK, dealt over tasks: one row may be repeated
+    # as often as a third of the table.
+    runs = placed.withColumn("_at", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1, F.lit(CHUNK).cast("long"))))
+    runs = runs.repartition("doc_id", "_at")
+    each = F.sequence(F.col("_at"), F.least(F.col("_at") + CHUNK, F.col("_hi")) - 1)
+    return runs.withColumn("_rank", F.explode(each)).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("_shift") + F.col("_rank")).alias("slot")
     )

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import fixtures
 from ledgerloom.llm import sharding
+from pyspark.sql import functions as F
 
 
 def test_every_row_once_counts_even_and_slots_gapless(spark):
@@ -32,6 +33,21 @@ def test_one_id_with_a_third_of_the_rows(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_copies_of_a_row_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 50)
+    rows = [(7, "same", "s")] * 3000 + [(i, f"t {i}", "s") for i in range(1000, 6000)]
+    out = sharding.shard(fixtures.documents(spark, rows), shards=8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these are small
+    tasks = out.withColumn("task", F.spark_partition_id()).where("doc_id = 7").groupBy("task").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = out.collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t, _ in rows)
+    for shard in range(8):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(1000))
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 3000
+
+
 def test_empty_table(spark):
     assert sharding.shard(fixtures.documents(spark, [])).count() == 0
 
