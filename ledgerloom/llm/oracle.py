@@ -133,6 +133,78 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 FROM x
 """
 
+
+def _either(word: str) -> str:
+    """A pattern for an ASCII word in either case."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")])
+_ASSIGN = f"({_NAMES})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+
+
+def _spans(kind: str, rank: int, pattern: str, least: int, group: int) -> str:
+    """Begin and end of each match whose ``group`` is long enough.
+
+    A match begins where its text comes first after the match before: an earlier place
+    of the same text would have been matched there.
+    """
+    found = f"list_transform(regexp_extract_all(text, '{pattern}'), lambda x: {{'at': 0::BIGINT, 'n': length(x), 'm': x}})"
+    sizes = f"list_transform(regexp_extract_all(text, '{pattern}', {group}), lambda g: length(g))"
+    onward = "{'at': strpos(substr(text, s.at + s.n + 1), x.m) + s.at + s.n - 1, 'n': x.n, 'm': ''}"
+    places = f"list_reduce(m[:i], lambda s, x: {onward}, {{'at': 0, 'n': 0, 'm': ''}})"
+    return f"""
+  SELECT r, {rank} AS k, '{kind}' AS kind, p.at AS a, p.at + p.n AS z
+  FROM (
+    SELECT r, unnest(list_transform(range(1, len(m) + 1), lambda i: {places})) AS p, unnest({sizes}) AS size
+    FROM (SELECT r, text, {found} AS m FROM d) WHERE len(m) > 0
+  ) WHERE size >= {least}"""
+
+
+_SECRETS = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), found AS ({_spans("assign", 0, _ASSIGN, 12, 2)}
+  UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 18, 0)}
+  UNION ALL {_spans("hex", 2, "[0-9a-f]{16,}", 16, 0)}
+), g AS (
+  SELECT r, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans, count(*) FILTER (WHERE k = 0) AS n_assign,
+         count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex
+  FROM found GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob
+FROM d LEFT JOIN g USING (r)
+"""
+
+_LINKS = f"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACES}'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, w[j:j + least(3, len(w)) - 1] AS g
+  FROM (SELECT *, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS j FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), shared AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), reached AS (
+  SELECT r, r AS t FROM n
+  UNION
+  SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.t
+), least AS (
+  SELECT reached.r, min(w.doc_id) AS component_id FROM reached JOIN w ON w.r = reached.t GROUP BY reached.r
+), counted AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE component_id END AS component_id,
+       coalesce(n_links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN n USING (r) LEFT JOIN least USING (r) LEFT JOIN counted ON counted.a = w.r
+"""
+
 ORACLE = {
     "op2_topk": """
 WITH v AS (
@@ -191,6 +263,8 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM g
 """,
+    "op6_secrets": _SECRETS,
+    "op10_ngram_join": _LINKS,
     "op11_structure": _CONVERSATIONS,
     "op12_filters": _FILTERS,
 }
