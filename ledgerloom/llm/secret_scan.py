@@ -112,7 +112,9 @@ def findings_by_path(docs: DataFrame, ledger: str, rules: str = RULE_VERSION, pa
     known = read_ledger(docs, ledger).where((F.col("rules") == rules) & (F.size("findings") > 0))
     # Two scans at once, or an append done again, may have stored a blob twice.
     known = known.groupBy("blob").agg(F.first("findings").alias("findings"))
-    return versions(docs, path).join(known, "blob", "left")
+    # As a struct the key is dealt anew for the join, so that rows of one blob are split.
+    known = known.select(F.struct("blob").alias("_key"), "findings")
+    return versions(docs, path).withColumn("_key", F.struct("blob")).join(known, "_key", "left").drop("_key")
 
 
 def scan(docs: DataFrame, ledger: str, rules: str = RULE_VERSION, path: str = "doc_id") -> DataFrame:
