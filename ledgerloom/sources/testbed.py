@@ -1,7 +1,7 @@
 """A ledger derived from the provided order, customer and part tables.
 
-The formulas are those of FIXTURES.md section 2.  Everything here is a
-projection: no joins, so predicates and pruning still reach the scans.
+The formulas are those of FIXTURES.md section 2.  There are no joins
+here, so predicates and pruning still reach the scans.
 """
 
 from __future__ import annotations
@@ -42,11 +42,29 @@ def profiles(customer: DataFrame) -> DataFrame:
     )
 
 
+# Type t and priority p of a customer's fifteen categories, as the number 10 t + p.
+SLOTS = [10 * t + p for t in (1, 2, 3) for p in (1, 2, 3, 4, 5)]
+
+
+def _shuffle_partitions(spark: SparkSession) -> int:
+    """The number that shuffles start from, as set for the size of the input."""
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def categories(customer: DataFrame) -> DataFrame:
-    """Fifteen categories per customer: three types t, five priorities p."""
+    """Fifteen categories per customer: three types t, five priorities p.
+
+    Keys compress to little, so a few megabytes of them become gigabytes of categories
+    here: they are spread over tasks first, by an explicit number that is not merged by
+    size, and multiplied by ``unpivot``, as Spark's size estimates count its rows, but
+    not those of ``explode``, and would have the categories broadcast.
+    """
+    keys = customer.select("c_custkey").repartition(_shuffle_partitions(customer.sparkSession), "c_custkey")
     return (
-        customer.selectExpr("c_custkey", "explode(sequence(1, 3)) AS t")
-        .selectExpr("c_custkey", "t", "explode(sequence(1, 5)) AS p")
+        keys.selectExpr("c_custkey", *[f"{n} AS `{n}`" for n in SLOTS])
+        .unpivot("c_custkey", [str(n) for n in SLOTS], "slot", "number")
+        .selectExpr("c_custkey", "CAST(number div 10 AS INT) AS t", "number % 10 AS p")
         .selectExpr(
             "c_custkey", "t", "p", "elt(t, 'income', 'expense', 'investment') AS type"
         )

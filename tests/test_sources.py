@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import changes, recurring, reports
 from ledgerloom.session import shared_dir
+from ledgerloom.sources import testbed
 from ledgerloom.sources.parquet import read_ledger, to_json_rows, write_ledger, write_report, write_rollup
 from small import category, ledger, profile, rows, schedule, transaction
 
@@ -119,3 +120,33 @@ def test_shared_folder_comes_from_the_session():
 
 def test_future_year_is_cut_at_the_current_month(spark):
     assert reports.annual_report(book(spark), 2025, date(2024, 2, 1), "u").count() == 2
+
+
+def _estimate(df) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_size_estimates_count_all_categories(spark):
+    """Fifteen rows a customer: a table taken for as small as its keys would be broadcast."""
+    customer = testbed.read_table(spark, "/root/testdata/sf0.001", "customer")
+    keys, categories = customer.select("c_custkey"), testbed.categories(customer)
+    assert categories.count() == 15 * keys.count()
+    assert _estimate(categories.select("id")) >= 15 * _estimate(keys)
+
+
+def test_categories_are_made_by_many_tasks(spark):
+    """One small file of keys is one task's; what is made of it is not."""
+    customer = testbed.read_table(spark, "/root/testdata/sf0.001", "customer")
+    made_by = testbed.categories(customer).select("id", F.spark_partition_id().alias("task"))
+    rows = [r["count"] for r in made_by.groupBy("task").count().collect()]
+    assert len(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(rows) < sum(rows) / 2
+
+
+def test_categories_of_odd_customers(spark):
+    rows = spark.createDataFrame([(7,), (7,), (None,)], "c_custkey long")
+    found = testbed.categories(rows).orderBy(F.desc_nulls_last("id")).collect()
+    assert len(found) == 45 and [r["id"] for r in found[:4]] == [735, 735, 734, 734]
+    assert all(r["id"] is None and r["user_id"] is None and r["name"] for r in found[30:])
+    assert tuple(found[0]) == (735, 7, "Misc", "investment", "more", "#808080", False)
+    assert tuple(found[28]) == (711, 7, "income 1", "income", "icon-11", "#110000", True)
