@@ -398,9 +398,11 @@ def all_time_balance(
 ) -> DataFrame:
     """Each active month's sums and the balance carried up to it."""
     monthly = totals_by(activity(ledger, None, user_id), "user_id", *_year_and_month())
+    # The window has the months by user already; a merge shuffles the profiles alone, which
+    # by their compressed size would be broadcast however many they are.
     opening = _of_user(ledger.profiles, user_id, "id").select(
         F.col("id").alias("user_id"), money(F.col("initial_balance")).alias("initial_balance")
-    )
+    ).hint("merge")
     so_far = (
         Window.partitionBy("user_id")
         .orderBy("year", "month")

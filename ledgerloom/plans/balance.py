@@ -77,9 +77,10 @@ def after(balance: Balance, change: RowChange, transactions_after: DataFrame) ->
 
 def report(balance: Balance, profiles: DataFrame) -> DataFrame:
     """The rows of ``reports.all_time_balance``."""
+    # As in that report, profiles are merged: by their compressed size they would be broadcast.
     opening = profiles.select(
         F.col("id").alias("user_id"), money(F.col("initial_balance")).alias("initial_balance")
-    )
+    ).hint("merge")
     reached = F.col("initial_balance") + F.col("carried") + F.col("net_so_far")
     return (
         balance.months.join(balance.carries.select(*_YEAR, "carried"), _YEAR)

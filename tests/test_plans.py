@@ -135,3 +135,15 @@ def test_recent_years_read_the_transactions_once(spark, stored):
     text = plan(reports.top_categories_recent_years(read_ledger(spark, stored)))
     assert len(re.findall(r"FileScan parquet [^\n]*ReadSchema: struct<[^>]*date:date", text)) == 1
     assert text.count("Exchange hashpartitioning") <= 6
+
+
+def test_balances_are_merged_with_profiles(spark, stored):
+    """Their number is not known from their compressed size, so they are not broadcast."""
+    from ledgerloom.plans import balance
+
+    book = read_ledger(spark, stored)
+    for df in (
+        reports.all_time_balance(book), balance.report(balance.balance_of(book.transactions), book.profiles)
+    ):
+        joins = re.findall(r"(\w+Join) [^\n]*LeftOuter", plan(df))
+        assert joins == ["SortMergeJoin"]
