@@ -19,6 +19,7 @@ is delivered again is the same row; nothing is forgotten, so no row is too late.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,23 +45,27 @@ def _as_activity(transactions: DataFrame) -> DataFrame:
 def _not_seen(batch: DataFrame, batch_id: int, root: str) -> DataFrame:
     """The rows of a batch, each id once, that no earlier batch counted; notes their ids.
 
-    The ids are written first and the rows taken by what was written, so that a batch
-    that is done again counts the same rows.
+    They depend on the batch and on earlier ones alone, so a batch that is done again
+    counts the same rows.  They are persisted, for the ids and for the totals; the caller
+    lets them go.  Rows without an id can't be told apart and aren't counted.
     """
-    spark, rows = batch.sparkSession, batch.dropDuplicates(["id"])
-    month = F.trunc("date", "month").cast("date")
-    ids = rows.select("id", month.alias("month"), F.year("date").alias("year"))
+    spark, month = batch.sparkSession, F.trunc("date", "month").cast("date")
     kind = batch.schema["id"].dataType.simpleString()
-    own = f"{root}/seen/batch_id={batch_id}"
     # A row per calendar month.
-    months = [r["month"] for r in ids.select("month").distinct().collect()]
+    months = [r["month"] for r in batch.select(month.alias("month")).distinct().collect()]
+    # A file that arrives is read by few tasks: its rows are dealt by id before they are
+    # sorted by it, and are met by earlier ids as they lie.
+    rows = batch.select("id", *_KEYS, "amount").where(F.col("id").isNotNull()).repartition("id").dropDuplicates(["id"])
     if batch_id > 0 and months:
         stored = spark.read.schema(f"id {kind}, month date, batch_id long, year int").parquet(f"{root}/seen")
         stored = stored.where(F.col("year").isin(sorted({m.year for m in months})) & F.col("month").isin(months))
-        ids = ids.join(stored.where(F.col("batch_id") < batch_id).select("id"), "id", "left_anti")
-    ids.sortWithinPartitions("year", "month").write.mode("overwrite").partitionBy("year").parquet(own)
-    noted = spark.read.schema(f"id {kind}, month date, year int").parquet(own).select("id")
-    return rows.join(noted, "id", "left_semi")
+        # Ids compress to little, so their size as stored must not have them broadcast.
+        rows = rows.join(stored.where(F.col("batch_id") < batch_id).select("id").hint("merge"), "id", "left_anti")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    # Persisted rows keep their partitions: ids are gathered by year into few files, and large years are cut.
+    ids = rows.select("id", month.alias("month"), F.year("date").alias("year")).hint("rebalance", "year")
+    ids.sortWithinPartitions("year", "month").write.mode("overwrite").partitionBy("year").parquet(f"{root}/seen/batch_id={batch_id}")
+    return rows
 
 
 def write_batch(batch: DataFrame, batch_id: int, root: str, once: bool = False) -> None:
@@ -68,9 +73,13 @@ def write_batch(batch: DataFrame, batch_id: int, root: str, once: bool = False)
 
     ``once`` counts rows by id, however often they are delivered.
     """
-    batch = _not_seen(batch, batch_id, root) if once else batch
-    totals = monthly_rollup(_as_activity(batch))
-    totals.write.mode("overwrite").parquet(f"{root}/deltas/batch_id={batch_id}")
+    rows = _not_seen(batch, batch_id, root) if once else batch
+    try:
+        totals = monthly_rollup(_as_activity(rows))
+        totals.write.mode("overwrite").parquet(f"{root}/deltas/batch_id={batch_id}")
+    finally:
+        if once:
+            rows.unpersist()
 
 
 def start_refresh(

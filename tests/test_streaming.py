@@ -120,6 +120,31 @@ def test_rows_of_months_seen_before(spark, tmp_path):
     assert refresh._not_seen(again, 1, store).count() == book.transactions.where("date >= '1998-03-01' AND date < '1998-04-01'").count()
 
 
+def test_a_batch_is_dealt_and_sorted_once(spark, tmp_path):
+    """Its rows meet earlier ids where they were dealt by id, and serve ids and totals."""
+    book, store = load_ledger(spark, SF_DIR), str(tmp_path / "store")
+    refresh.write_batch(book.transactions.where("id % 4 = 0"), 0, store, once=True)
+    late = refresh._not_seen(book.transactions.unionByName(book.transactions), 1, store)
+    try:
+        text = late._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" in text and "SortMergeJoin" in text and "Broadcast" not in text
+        assert text.count("Exchange hashpartitioning(id") <= 2 * text.count("SortMergeJoin")
+        assert late.count() == book.transactions.where("id % 4 <> 0").count()
+    finally:
+        late.unpersist()
+    refresh.write_batch(book.transactions, 1, store, once=True)
+    assert not late.is_cached
+    assert totals(refresh.read_activity(spark, store)) == totals(activity(book))
+
+
+def test_rows_without_an_id_are_not_counted_once(spark, tmp_path):
+    book, store = load_ledger(spark, SF_DIR), str(tmp_path / "store")
+    damaged = book.transactions.withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id")))
+    refresh.write_batch(damaged, 0, store, once=True)
+    kept = book.with_tables(transactions=damaged.where("id IS NOT NULL"))
+    assert totals(refresh.read_activity(spark, store)) == totals(activity(kept))
+
+
 def signups(spark, *rows):
     return spark.createDataFrame(list(rows), "id string, email string, metadata string")
 
