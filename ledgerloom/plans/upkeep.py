@@ -3,14 +3,15 @@
 A change is what it takes away and what it adds, both as whole transactions: an
 update takes the old version away and adds the new one.  The rollup follows by
 signed sums over the groups (user, category, type, month) that are touched.  Only
-a group that lost its latest date, and got no later one, has to look at its
-transactions again.
+for groups that something is taken from are transactions looked at again, for a
+latest date in place of a lost one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,10 @@ from ledgerloom.functions.money import total
 from ledgerloom.functions.periods import YEAR_PARTITION, keep_year
 from ledgerloom.model import Ledger
 from ledgerloom.operators import changes
-from ledgerloom.plans.activity import monthly_rollup
 
 _GROUP = ["user_id", "category_id", "type", "date"]
+# Latest dates of a group: as stored, added, removed, and found again.
+_DATES = ("last_date", "__added", "__removed", "__latest")
 
 
 @dataclass(frozen=True)
@@ -86,49 +88,45 @@ def touched_years(change: RowChange) -> DataFrame:
 
 
 def _signed(rows: DataFrame, sign: int, latest: str) -> DataFrame:
-    """The rollup rows of a change's side, to be added to the stored ones."""
-    seen = rows.select(
-        "user_id", "category_id", "type", "date", (F.col("amount") * F.lit(sign)).alias("amount"),
-        F.lit(1).cast("bigint").alias("n"), F.col("date").alias("last_date"),
+    """The rows of a change's side, to be added to the stored ones of the rollup."""
+    dates = {c: F.col("date") if c == latest else F.lit(None).cast("date") for c in _DATES}
+    return rows.select(
+        "user_id", "category_id", "type", F.trunc("date", "month").alias("date"),
+        (F.col("amount") * F.lit(sign)).alias("amount"), F.lit(sign).cast("bigint").alias("n"),
+        *(d.alias(c) for c, d in dates.items()),
     )
-    dates = {c: F.col("last_date") if c == latest else F.lit(None).cast("date") for c in ("__added", "__removed")}
-    return monthly_rollup(seen).withColumn("n", F.col("n") * sign).withColumns(dates).drop("last_date")
 
 
 def rollup_after(rollup: DataFrame, change: RowChange, transactions_after: DataFrame) -> DataFrame:
     """The monthly rollup of ``transactions_after``, from the one before the change.
 
     ``rollup`` may be cut to the months that the change touches.  ``transactions_after``
-    is read only for groups whose latest date went: they are sought by user and month,
-    and a change that takes nothing away reads none.  Groups left without transactions
-    go.  Taking away what the rollup never held raises when the plan runs.
+    is read only for groups that something is taken from: they are sought by user and
+    month, and a change that takes nothing away reads none.  Groups left without
+    transactions go.  Taking away what the rollup never held raises when the plan runs.
+
+    Stored rows, changes and dates found again are summed in one grouping; no join follows.
     """
     nothing = F.lit(None).cast("date")
-    stored = rollup.select(*_GROUP, "amount", "n", "last_date", nothing.alias("__added"), nothing.alias("__removed"))
-    delta = _signed(change.removed, -1, "__removed").unionByName(_signed(change.added, 1, "__added"))
+    stored = rollup.select(*_GROUP, "amount", "n", *((F.col(c) if c == "last_date" else nothing).alias(c) for c in _DATES))
+    again = _latest_again(change.removed, transactions_after).select(
+        *_GROUP, F.lit(0).cast(rollup.schema["amount"].dataType).alias("amount"), F.lit(0).cast("bigint").alias("n"),
+        *(F.col(c) if c == "__latest" else nothing.alias(c) for c in _DATES),
+    )
+    parts = (stored, _signed(change.removed, -1, "__removed"), _signed(change.added, 1, "__added"), again)
     merged = (
-        stored.unionByName(delta.withColumn("last_date", nothing))
+        reduce(DataFrame.unionByName, parts)
         .groupBy(*_GROUP)
-        .agg(
-            total(F.col("amount")).alias("amount"),
-            F.sum("n").alias("n"),
-            *(F.max(c).alias(c) for c in ("last_date", "__added", "__removed")),
-        )
+        .agg(total(F.col("amount")).alias("amount"), F.sum("n").alias("n"), *(F.max(c).alias(c) for c in _DATES))
     )
     kept, new = F.col("last_date"), F.col("__added")
     lost = (F.col("__removed") >= kept) & (new.isNull() | (new < kept)) & (F.col("n") > 0)
-    lost = F.coalesce(lost, F.lit(False))
     unheld = F.raise_error(F.lit("rows were removed that the rollup does not hold"))
-    found = merged.select(
-        "user_id", "category_id", "type", "date", "amount",
+    return merged.select(
+        *_GROUP, "amount",
         F.when(F.col("n") < 0, unheld.cast("bigint")).otherwise(F.col("n")).alias("n"),
-        F.when(~lost, F.greatest(kept, new)).alias("last_date"),
+        F.when(lost, F.col("__latest")).otherwise(F.greatest(kept, new)).alias("last_date"),
     ).where("n > 0")
-    again = _latest_again(merged.where(lost).select(*_GROUP), transactions_after)
-    same = _all(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _GROUP)
-    return found.join(again, same, "left").select(
-        *_GROUP, "amount", "n", F.coalesce("last_date", "__latest").alias("last_date")
-    )
 
 
 def _all(conditions: Iterable[Column]) -> Column:
@@ -138,15 +136,13 @@ def _all(conditions: Iterable[Column]) -> Column:
     return whole
 
 
-def _latest_again(groups: DataFrame, transactions: DataFrame) -> DataFrame:
-    """The latest date of each of ``groups``, from the transactions of its month."""
+def _latest_again(removed: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The latest date of each group that ``removed`` has rows of, from its transactions."""
     month = F.trunc("date", "month").alias("date")
     rows = transactions.select("user_id", "category_id", "type", month, F.col("date").alias("__latest"))
-    wanted = groups.select(*(F.col(c).alias(f"__{c}") for c in _GROUP))
+    wanted = removed.select("user_id", "category_id", "type", month).distinct().select(*(F.col(c).alias(f"__{c}") for c in _GROUP))
     same = _all(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _GROUP)
-    return rows.join(wanted, same, "left_semi").groupBy(*(F.col(c).alias(f"__{c}") for c in _GROUP)).agg(
-        F.max("__latest").alias("__latest")
-    )
+    return rows.join(wanted, same, "left_semi")
 
 
 def changed(ledger: Ledger, change: RowChange) -> Ledger:

@@ -4,9 +4,11 @@ A change goes in steps, each of which can be done again:
 
 1. what it takes away and adds is worked out and written to a folder of its own;
 2. the years touched are found from that, and their new rows (and the new rows of the
-   rollup, and other tables the change replaces) are written to that folder;
+   rollup, and other tables the change replaces) are written to that folder, as they are
+   to lie in the ledger: one folder per year, without rows too;
 3. the log of versions says that this folder is to be moved in;
-4. the touched years are overwritten from the folder; all other files stay;
+4. the touched years' folders are renamed into the ledger, in place of the old ones; all
+   other files stay;
 5. the log says that it is done.
 
 Before step 3 a crash leaves the ledger as it was.  After it, ``read_ledger`` refuses
@@ -86,20 +88,19 @@ def change_stored(
     folder = f"{root}/changes/{uuid.uuid4().hex}"
     tables, years = list(made.tables), []
     for name, table in made.tables.items():
-        table.write.parquet(f"{folder}/{name}")
+        write_table(name, table, f"{folder}/{name}")
     if made.transactions is not None:
         change = _staged_change(spark, made.transactions, folder)
         # A row per calendar year, whatever the size of the change.
         years = sorted(r[0] for r in upkeep.touched_years(change).collect() if r[0] is not None)
         in_years = F.col(YEAR_PARTITION).isin(years)
         rows = upkeep.after(ledger.transactions.where(in_years), change)
-        rows.write.partitionBy(YEAR_PARTITION).parquet(f"{folder}/transactions")
+        _stage_years(spark, f"{folder}/transactions", rows, "transactions", years)
         tables.append("transactions")
         if keep_rollup:
             written = _read(spark, f"{folder}/transactions", "transactions", id_type)
             rollup = upkeep.rollup_after(ledger.monthly_activity.where(in_years), change, written)
-            rollup = rollup.withColumn(YEAR_PARTITION, F.year("date"))
-            rollup.write.partitionBy(YEAR_PARTITION).parquet(f"{folder}/{ROLLUP}")
+            _stage_years(spark, f"{folder}/{ROLLUP}", rollup, ROLLUP, years)
             tables.append(ROLLUP)
     append_version(spark, f"{root}/{VERSION}", PENDING, folder=folder, years=years, tables=tables)
     finish_changes(spark, root, id_type)
@@ -125,25 +126,55 @@ def finish_changes(spark: SparkSession, root: str, id_type: T.DataType | None =
     entry = read_version(spark, f"{root}/{VERSION}")
     if entry is None or entry["state"] != PENDING:
         return False
-    tables, years = entry["tables"], entry["years"]
+    tables = entry["tables"]
     for name in tables:
         if name in CLUSTERS:
-            staged = _read(spark, f"{entry['folder']}/{name}", name, id_type)
-            _replace_years(spark, f"{root}/{name}", staged, CLUSTERS[name], years)
+            _replace_years(spark, f"{root}/{name}", f"{entry['folder']}/{name}")
         else:
-            write_table(name, _read(spark, f"{entry['folder']}/{name}", name, id_type), f"{root}/{name}")
+            _replace(spark, f"{root}/{name}", f"{entry['folder']}/{name}")
     if ROLLUP in tables:
         append_version(spark, f"{root}/{ROLLUP}_{VERSION}", DONE, entry["version"])
     append_version(spark, f"{root}/{VERSION}", DONE, entry["version"])
     return True
 
 
-def _replace_years(spark: SparkSession, path: str, rows: DataFrame, cluster: list[str], years: list[int]) -> None:
-    """Overwrites the given years; those without rows are emptied."""
-    left = {r[0] for r in rows.select(YEAR_PARTITION).distinct().collect()}
-    if left:
-        _write_by_year(rows, path, cluster, overwrite="dynamic")
-    nothing = spark.createDataFrame([], T.StructType([f for f in rows.schema if f.name != YEAR_PARTITION]))
+def _stage_years(spark: SparkSession, path: str, rows: DataFrame, name: str, years: list[int]) -> None:
+    """Writes the new rows of ``years`` to ``path``; a year that has none left gets an empty file."""
+    _write_by_year(rows.drop(YEAR_PARTITION), path, CLUSTERS[name])
+    fields = [f for f in rows.schema if f.name != YEAR_PARTITION]
+    nothing = spark.createDataFrame([], T.StructType(fields))
     for year in years:
-        if year not in left:
-            nothing.write.mode("overwrite").parquet(f"{path}/{YEAR_PARTITION}={year}")
+        folder = f"{path}/{YEAR_PARTITION}={year}"
+        if not _files(spark, folder).exists(_path(spark, folder)):
+            nothing.write.parquet(folder)
+
+
+def _replace_years(spark: SparkSession, path: str, staged: str) -> None:
+    """Moves the years in ``staged`` to ``path``; those moved before are no longer there."""
+    files = _files(spark, staged)
+    for found in files.listStatus(_path(spark, staged)):
+        year = found.getPath().getName()
+        if year.startswith(f"{YEAR_PARTITION}="):
+            _replace(spark, f"{path}/{year}", f"{staged}/{year}")
+
+
+def _replace(spark: SparkSession, path: str, staged: str) -> None:
+    """Puts the folder ``staged`` in place of ``path``, unless that was done before.
+
+    The old one goes first: until the new one is moved it is still in ``staged``.
+    """
+    files, old, new = _files(spark, staged), _path(spark, path), _path(spark, staged)
+    if not files.exists(new):
+        return
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{staged} could not be renamed to {path}")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path."""
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
