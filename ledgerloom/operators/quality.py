@@ -296,12 +296,13 @@ def _with_known(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     """Marks rows whose reference exists, in a join that splits skewed keys.
 
     As in ``functions.skew``, joining on a struct keeps the planner from reusing the
-    partitioning of the distinct keys.
+    partitioning of the distinct keys.  Ids compress to little: their size as stored must
+    not have them broadcast.
     """
     key, mark = f"__key_{column}", f"__known_{column}"
     known = parents.select("id").distinct().select(F.struct("id").alias(key), F.lit(True).alias(mark))
     given = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("id")))
-    return rows.withColumn(key, given).join(known, key, "left").drop(key)
+    return rows.withColumn(key, given).join(known.hint("merge"), key, "left").drop(key)
 
 
 def check_constraints(ledger: Ledger) -> DataFrame:

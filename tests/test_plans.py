@@ -122,6 +122,14 @@ def test_constraints_read_each_table_twice(spark, stored):
         assert len(re.findall(rf"FileScan parquet [^\n]*/{name}\]", text)) == 2, name
 
 
+def test_constraints_merge_rows_with_parents(spark, stored):
+    """Ids of profiles and categories grow with the users, so they are not broadcast."""
+    from ledgerloom.operators import quality
+
+    text = plan(quality.check_constraints(read_ledger(spark, stored)))
+    assert "Broadcast" not in text and len(re.findall(r"SortMergeJoin [^\n]*LeftOuter", text)) >= 10
+
+
 def test_guarded_changes_read_the_categories_once(spark, stored):
     from ledgerloom.operators import changes
 
