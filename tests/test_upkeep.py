@@ -177,6 +177,38 @@ def test_a_change_broken_off_earlier_leaves_the_ledger_as_it_was(spark, tmp_path
     assert read_ledger(spark, root, rollup=True).transactions.count() == 6
 
 
+def test_years_are_written_once_and_renamed(spark, tmp_path, monkeypatch):
+    """Also where the writer died between the old year's going and the new one's coming."""
+    root = written(spark, tmp_path)
+    real, died = stored._replace, []
+
+    def dies(spark, path, staged):
+        if not died:
+            died.append((path, staged, files(staged, "")))
+            files_ = stored._files(spark, path)
+            files_.delete(stored._path(spark, path), True)
+            raise OSError("the writer died")
+        real(spark, path, staged)
+
+    monkeypatch.setattr(stored, "_replace", dies)
+    with pytest.raises(OSError):
+        stored.change_stored(spark, root, lambda b: upkeep.deleted(b.transactions, keys(spark, ("4", "u"))))
+    assert stored.finish_changes(spark, root)
+    path, staged, there = died[0]
+    assert there and files(path, "") == there and not Path(staged).exists()
+    after = read_ledger(spark, root, rollup=True)
+    assert sorted(rows(after.transactions, "id")) == [(i,) for i in "12356"]
+    assert sorted(rows(after.monthly_activity, *COLUMNS), key=str) == fresh(after)
+
+
+def test_the_rollup_after_a_change_is_grouped_once(spark, tmp_path):
+    root = written(spark, tmp_path)
+    b = read_ledger(spark, root, rollup=True)
+    change = upkeep.deleted(b.transactions, keys(spark, ("4", "u")))
+    text = upkeep.rollup_after(b.monthly_activity, change, b.transactions)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^]]*last_date#", text)) == 1
+
+
 def test_a_stale_rollup_stays_stale(spark, tmp_path):
     root = written(spark, tmp_path)
     write_ledger(book(spark), root)
