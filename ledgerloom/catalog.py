@@ -580,8 +580,9 @@ def _sql_report(name: str, arguments: str = "") -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         register_reports(load_ledger(spark, sf_dir), "book_")
+        testbed.user_ids(spark, sf_dir).createOrReplaceTempView("book_user_ids")
         given = ", ".join(a for a in ("p.id", arguments) if a)
-        return spark.sql(f"SELECT p.id AS user_id, r.* FROM book_profiles p, LATERAL book_{name}({given}) r")
+        return spark.sql(f"SELECT p.id AS user_id, r.* FROM book_user_ids p, LATERAL book_{name}({given}) r")
 
     return query
 

@@ -32,6 +32,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def user_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of ``profiles``, for joins that carry nothing else of them.
+
+    Read by a schema of the key alone, so that size estimates count the whole file: as a
+    share of all declared columns, keys of millions of customers pass for few enough to
+    be broadcast.
+    """
+    return spark.read.schema("c_custkey BIGINT").parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS id")
+
+
 def profiles(customer: DataFrame) -> DataFrame:
     return customer.selectExpr(
         "c_custkey AS id",

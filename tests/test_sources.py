@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.catalog import QUERIES
 from ledgerloom.operators import changes, recurring, reports
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import testbed
@@ -134,6 +135,32 @@ def test_size_estimates_count_all_categories(spark):
     assert _estimate(categories.select("id")) > 14 * _estimate(keys)
 
 
+def test_users_of_sql_reports_are_not_broadcast_by_a_share_of_their_file(spark, tmp_path):
+    """As one of five declared columns, keys of millions of customers passed for a few megabytes."""
+    customer = "id AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "CAST(1 AS DOUBLE) AS c_acctbal", "'s' AS c_mktsegment"
+    orders = (
+        "id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice",
+        "TIMESTAMP_NTZ'1998-03-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    )
+    part = (
+        "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size",
+        "CAST(1 AS DOUBLE) AS p_retailprice",
+    )
+    for name, columns in {"customer": customer, "orders": orders, "part": part}.items():
+        spark.range(20_000).selectExpr(*columns).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    size = sum(p.stat().st_size for p in (tmp_path / "customer.parquet").glob("*.parquet"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, str(size // 2))
+    try:
+        for name in ("sql_all_time_categories", "sql_annual_categories"):
+            report = QUERIES[name](spark, str(tmp_path))
+            plan = report._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, name
+        assert report.count() == 15 * 20_000
+    finally:
+        spark.conf.unset(key)
+
+
 def test_categories_are_made_by_many_tasks(spark):
     """One small file of keys is one task's; what is made of it is not."""
     customer = testbed.read_table(spark, "/root/testdata/sf0.001", "customer")
